@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from telemill.llm import exact_dedup
+from telemill.llm import exact_dedup, secrets, warc
 from telemill.llm.common import read_table
 
 
@@ -14,8 +15,20 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.classify(read_table(spark, sf_dir, "documents"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(read_table(spark, sf_dir, "pages"))
+
+
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The owner is the source; a repository is the part of a source in one language."""
+    docs = read_table(spark, sf_dir, "documents")
+    return secrets.scan(docs, F.concat_ws("/", "source", "lang"), F.col("source"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_warc": op2_warc,
     "op4_exact_dedup": op4_exact_dedup,
+    "op9_secrets": op9_secrets,
 }
 
 ORACLES: dict[str, str] = {
