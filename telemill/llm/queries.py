@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telemill.llm import exact_dedup, licenses, quality, secrets, warc
+from telemill.llm import decontaminate, exact_dedup, licenses, quality, secrets, warc
 from telemill.llm.common import read_table
 
 
@@ -19,6 +19,10 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(read_table(spark, sf_dir, "pages"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contained(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -36,6 +40,7 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc": op2_warc,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_decontamination": op5_decontamination,
     "op6_quality": op6_quality,
     "op8_licenses": op8_licenses,
     "op9_secrets": op9_secrets,
@@ -43,5 +48,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op4_exact_dedup": exact_dedup.ORACLE,
+    "op5_decontamination": decontaminate.ORACLE,
     "op8_licenses": licenses.ORACLE,
 }
