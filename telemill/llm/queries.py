@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telemill.llm import decontaminate, exact_dedup, licenses, quality, secrets, warc
+from telemill.llm import decontaminate, exact_dedup, licenses, ngram_join, quality, secrets, warc
 from telemill.llm.common import read_table
 
 
@@ -15,6 +15,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.classify(read_table(spark, sf_dir, "documents"))
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.classify(read_table(spark, sf_dir, "documents"))
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(read_table(spark, sf_dir, "pages"))
 
@@ -38,6 +42,7 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_join": op1_ngram_join,
     "op2_warc": op2_warc,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_decontamination": op5_decontamination,
