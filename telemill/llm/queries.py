@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telemill.llm import decontaminate, exact_dedup, licenses, ngram_join, quality, secrets, warc
+from telemill.llm import decontaminate, exact_dedup, licenses, ngram_join, quality, secrets, sentencepiece_sampling, warc
 from telemill.llm.common import read_table
 
 
@@ -31,6 +31,13 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str, k: int = 2) -> DataFrame:
+    """Digests of the encoding and of k sampled segmentations; the operator itself returns the ids."""
+    out = sentencepiece_sampling.encode(read_table(spark, sf_dir, "documents"), k=k)
+    sample = lambda s: F.struct(F.size(s["ids"]).alias("n"), F.xxhash64(s["ids"]).alias("ids_hash"), *[s[c] for c in ("log_prob", "perturbed", "inclusion")])
+    return out.select("doc_id", F.size("ids").alias("n_ids"), F.xxhash64("ids").alias("ids_hash"), "round_trip", F.transform("samples", sample).alias("samples"))
+
+
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read_table(spark, sf_dir, "documents"))
 
@@ -47,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_exact_dedup": op4_exact_dedup,
     "op5_decontamination": op5_decontamination,
     "op6_quality": op6_quality,
+    "op7_sentencepiece": op7_sentencepiece,
     "op8_licenses": op8_licenses,
     "op9_secrets": op9_secrets,
 }
