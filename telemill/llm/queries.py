@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telemill.llm import decontaminate, exact_dedup, licenses, ngram_join, quality, secrets, sentencepiece_sampling, warc
+from telemill.llm import decontaminate, exact_dedup, licenses, ngram_join, quality, secrets, sentencepiece_sampling, substring_dedup, warc
 from telemill.llm.common import read_table
 
 
@@ -48,6 +48,10 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(docs, F.concat_ws("/", "source", "lang"), F.col("source"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_warc": op2_warc,
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_sentencepiece": op7_sentencepiece,
     "op8_licenses": op8_licenses,
     "op9_secrets": op9_secrets,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 ORACLES: dict[str, str] = {
