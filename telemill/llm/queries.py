@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telemill.llm import decontaminate, exact_dedup, licenses, ngram_join, quality, secrets, sentencepiece_sampling, substring_dedup, warc
+from telemill.llm import decontaminate, exact_dedup, licenses, ngram_join, passages, quality, secrets, sentencepiece_sampling, substring_dedup, warc
 from telemill.llm.common import read_table
 
 
+def op3_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.classify(read_table(spark, sf_dir, "documents"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.classify(read_table(spark, sf_dir, "documents"))
 
@@ -55,6 +59,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_warc": op2_warc,
+    "op3_passages": op3_passages,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_decontamination": op5_decontamination,
     "op6_quality": op6_quality,

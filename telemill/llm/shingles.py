@@ -60,6 +60,15 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return hashes, counts
 
 
+def shingle_runs(texts: list[str]) -> list[np.ndarray]:
+    """Of each text its shingle hashes in order, repeats kept; none where there are fewer than five words."""
+    hashes, counts = word_hashes(texts)
+    ends = np.cumsum(counts)
+    n = max(0, len(hashes) - WORDS + 1)
+    runs = mix(sum(hashes[k : k + n] * _MULT[k] for k in range(WORDS))) if n else hashes[:0]
+    return [runs[e - c : max(e - WORDS + 1, e - c)] for e, c in zip(ends.tolist(), counts.tolist(), strict=True)]
+
+
 def shingle_sets(texts: list[str]) -> list[np.ndarray]:
     """Of each text the sorted distinct shingle hashes."""
     hashes, counts = word_hashes(texts)
