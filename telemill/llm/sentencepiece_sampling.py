@@ -37,7 +37,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 _UNIT = re.compile(" +[^ ]*")
 _B = np.uint64(0x9E3779B97F4A7C15)
-_CHUNK = 3 << 20
+_CHUNK = 2 << 20
 
 
 def _uniform(*parts: np.ndarray) -> np.ndarray:
@@ -132,47 +132,58 @@ class Codec:
     def lattice(self, units: list[str]) -> None:
         """The choices at each place of a unit, the likeliest first: cumulative and own probability, length, piece.
 
-        Each is a table of (rank, place); piece -1 stands for a character spelt in bytes.
+        A place's choices stand from ``first`` on; piece -1 stands for a character spelt in bytes.
         """
         raw = "".join(units).replace(" ", SPACE)
         self.chars = chars = np.frombuffer(raw.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
         length = np.fromiter(map(len, units), np.int64, len(units))
         self.unit_at, self.unit_len = np.cumsum(length) - length, length
         n = len(chars)
-        left = np.repeat(np.cumsum(length), length) - np.arange(n)
-        mixed, rolling, here = mix(chars + np.uint64(1)), np.zeros(n, np.uint64), np.arange(n)
-        edge_at, edge_len, edge_id = [], [], []
+        left = (np.repeat(np.cumsum(length), length) - np.arange(n)).astype(np.int32)
+        mixed, rolling, here = mix(chars + np.uint64(1)), np.zeros(n, np.uint64), np.arange(n, dtype=np.int32)
+        found, degree_of = [], np.zeros(n, np.int32)
         for k in range(self.width):
-            go = left[here] > k
-            here, rolling = here[go], rolling[go]
+            if k:
+                go = left[here] > k
+                here, rolling = here[go], rolling[go]
             rolling = rolling * _B + mixed[here + k]
             likely = np.flatnonzero(self.maybe[(rolling * _B) >> np.uint64(44)])
-            at = np.searchsorted(self.hash, rolling[likely])
-            at[at == len(self.hash)] = 0
-            hit = self.hash[at] == rolling[likely]
-            edge_at.append(here[likely[hit]])
-            edge_id.append(self.id[at[hit]])
-            edge_len.append(np.full(hit.sum(), k + 1))
-        spelt = np.ones(n, bool)
-        spelt[edge_at[0] if n else []] = False
-        spelt = np.flatnonzero(spelt)
-        self.bytes_here = 1 + (chars >= 0x80).astype(np.int64) + (chars >= 0x800) + (chars >= 0x10000)
-        at = np.concatenate([*edge_at, spelt])
-        size = np.concatenate([*edge_len, np.ones(len(spelt), np.int64)])
-        piece = np.concatenate([*edge_id, np.full(len(spelt), -1, np.int32)])
-        weight = np.where(piece >= 0, self.weight[piece], self.weight[self.byte_id[0]] * self.bytes_here[at])
-
-        # backward log-sums, place by place from the units' ends
-        order = np.lexsort((at, left[at]))
-        at, size, piece, weight = at[order], size[order], piece[order], weight[order]
-        first = np.flatnonzero(np.diff(at, prepend=-1))
-        degree = np.diff(np.append(first, len(at)))
-        owner = at[first]
-        steps = np.searchsorted(left[owner], np.arange(1, int(left.max(initial=0)) + 2))
-        to, sums = np.where(size == left[at], n, at + size), np.zeros(n + 1)
+            asked = rolling[likely]
+            at = np.minimum(np.searchsorted(self.hash, asked), len(self.hash) - 1)
+            hit = self.hash[at] == asked
+            places, ids = here[likely[hit]], self.id[at[hit]]
+            if k == 0:
+                spelt = np.ones(n, bool)
+                spelt[places] = False
+                spelt = np.flatnonzero(spelt).astype(np.int32)
+                found.append((1, spelt, np.full(len(spelt), -1, np.int32)))
+                degree_of[spelt] = 1
+            found.append((k + 1, places, ids))
+            degree_of[places] += 1
+        self.bytes_here = (1 + (chars >= 0x80).astype(np.int8) + (chars >= 0x800) + (chars >= 0x10000)).astype(np.int32)
+
+        # backward log-sums, place by place from the units' ends; places stand in that order
+        longest = int(left.max(initial=0))
+        owner = np.argsort(left.astype(np.uint16) if longest < 1 << 16 else left, kind="stable").astype(np.int32)
+        degree = degree_of[owner]
+        first = (np.cumsum(degree) - degree).astype(np.int32)
+        n_edges = int(degree.sum())
+        fill = np.empty(n, np.int32)
+        fill[owner] = first
+        size, piece, to = np.empty(n_edges, np.int32), np.empty(n_edges, np.int32), np.empty(n_edges, np.int32)
+        weight = np.empty(n_edges)
+        for k, places, ids in found:
+            at = fill[places]
+            size[at], piece[at], to[at] = k, ids, np.where(left[places] == k, n, places + k)
+            weight[at] = self.weight[ids] if len(ids) and ids[0] >= 0 else self.weight[self.byte_id[0]] * self.bytes_here[places]
+            fill[places] += 1
+        steps = np.searchsorted(left[owner], np.arange(1, longest + 2))
+        sums = np.zeros(n + 1)
         score = weight
         for a, b in zip(steps[:-1], steps[1:], strict=True):
-            lo, hi = first[a], first[b] if b < len(first) else len(at)
+            if a == b:
+                continue
+            lo, hi = first[a], first[b] if b < n else n_edges
             part = score[lo:hi] + sums[to[lo:hi]]
             cut, deg = first[a:b] - lo, degree[a:b]
             top = np.maximum.reduceat(part, cut)
@@ -182,11 +193,11 @@ class Codec:
 
         # the likeliest choice first, the others by length
         chance = np.exp(score)
-        group = np.repeat(np.arange(len(first)), degree)
-        by_size = np.arange(len(at)) - first[group]
-        best = np.flatnonzero(score == np.maximum.reduceat(score, first)[group]) if len(at) else first
+        group = np.repeat(np.arange(n, dtype=np.int32), degree)
+        by_size = np.arange(n_edges, dtype=np.int32) - first[group]
+        best = np.flatnonzero(score == np.maximum.reduceat(score, first)[group]) if n_edges else first
         best = best[np.diff(group[best], prepend=-1) > 0]
-        is_best, best_size = np.zeros(len(at), bool), by_size[best][group]
+        is_best, best_size = np.zeros(n_edges, bool), by_size[best][group]
         is_best[best] = True
         rank = np.where(is_best, 0, by_size + (by_size < best_size))
         others = np.cumsum(np.where(is_best, 0.0, chance))
@@ -194,20 +205,19 @@ class Codec:
         running = chance[best][group] + np.where(is_best, 0.0, others)
         last = np.flatnonzero(rank == degree[group] - 1)
         running[last] = 1.0
-        self.choices = ranks = int(degree.max(initial=1))
-        self.cum, self.prob = np.ones((ranks, n), np.float32), np.zeros((ranks, n), np.float32)
-        self.size, self.piece = np.ones((ranks, n), np.int16), np.full((ranks, n), -1, np.int32)
-        self.cum[rank, at], self.prob[rank, at] = running, chance
-        self.size[rank, at], self.piece[rank, at] = size, piece
-        self.only = np.ones(n, bool)
-        self.only[owner] = degree == 1
+        to = first[group] + rank
+        self.cum, self.prob = np.empty(n_edges, np.float32), np.empty(n_edges, np.float32)
+        self.size, self.piece = np.empty(n_edges, np.int32), np.empty(n_edges, np.int32)
+        self.cum[to], self.prob[to], self.size[to], self.piece[to] = running, chance, size, piece
+        self.first, self.degree = np.zeros(n, np.int64), np.ones(n, np.int64)
+        self.first[owner], self.degree[owner] = first, degree
 
     # sampling
 
     def _walk(self, places, row, place, seed, sample: int, old=None):
-        """Complete one path per text: (offset of each unit's first choice, place in the lattice and rank of each choice).
+        """Complete one path per text: (offset of each unit's first choice, place in the lattice and choice).
 
-        ``old`` is a parent's path (offset, ranks) and where each row leaves it (place, step, rank).
+        ``old`` is a parent's path (offset, choices) and where each row leaves it (place, step, choice).
         """
         start, left = self.unit_at[places], self.unit_len[places].copy()
         active, step, at = np.arange(len(places)), 0, start.copy()
@@ -215,31 +225,31 @@ class Codec:
         got = []
         while len(active):
             a = at[active]
-            u = ((mix(key[active] + np.uint64(step << 40)) >> np.uint64(40)).astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-24)
-            rank = np.zeros(len(active), np.int64)
-            todo, d = np.flatnonzero(u >= self.cum[0, a]), 1
-            while len(todo) and d < self.choices:
-                rank[todo] = d
-                todo = todo[u[todo] >= self.cum[d, a[todo]]]
-                d += 1
+            u = ((mix(key[active] + np.uint64(step << 40)) >> np.uint64(41)).astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-23)
+            choice = self.first[a]
+            todo = np.flatnonzero(u >= self.cum[choice])
+            while len(todo):
+                choice[todo] += 1
+                todo = todo[u[todo] >= self.cum[choice[todo]]]
             if old is not None:
-                (offset, ranks), (b_place, b_step, b_rank) = old
+                (offset, choices), (b_place, b_step, b_choice) = old
                 r, p = row[active], place[active]
                 same = p == b_place[r]
                 copied = (p < b_place[r]) | (same & (step < b_step[r]))
-                rank = np.where(copied, ranks[np.minimum(offset[active] + step, len(ranks) - 1)], rank)
-                rank = np.where(same & (step == b_step[r]), b_rank[r], rank)
-            size = self.size[rank, a]
-            got.append((active, a, rank))
+                choice = np.where(copied, choices[np.minimum(offset[active] + step, len(choices) - 1)], choice)
+                choice = np.where(same & (step == b_step[r]), b_choice[r], choice)
+            size = self.size[choice]
+            got.append((active, a, choice))
             at[active] = a + size
             left[active] -= size
             active, step = active[left[active] > 0], step + 1
         n = np.bincount(np.concatenate([g[0] for g in got] or [np.zeros(0, np.int64)]), minlength=len(places))
         offset = np.cumsum(n) - n
-        path_at, path_rank = np.zeros(n.sum(), np.int64), np.zeros(n.sum(), np.int64)
-        for step, (active, a, rank) in enumerate(got):
-            path_at[offset[active] + step], path_rank[offset[active] + step] = a, rank
-        return offset, path_at, path_rank
+        path_at, path_choice = np.zeros(n.sum(), np.int64), np.zeros(n.sum(), np.int64)
+        for step, (active, a, choice) in enumerate(got):
+            to = offset[active] + step
+            path_at[to], path_choice[to] = a, choice
+        return offset, path_at, path_choice
 
     def sample(self, places: np.ndarray, counts: np.ndarray, seeds: np.ndarray, k: int) -> list[dict]:
         """k rounds; each has, by text: ids (in a row), n, log_prob, perturbed, inclusion, found."""
@@ -259,14 +269,14 @@ class Codec:
 
         Choices before ``cut`` belong to an earlier path; at ``cut`` the choices of probability ``gone`` are taken.
         """
-        offset, at, rank = self._walk(places, row, place, seeds, s, old)
+        offset, at, taken_here = self._walk(places, row, place, seeds, s, old)
         token_row = np.repeat(row, np.diff(np.append(offset, len(at))))
         first = np.concatenate([[0], np.cumsum(np.bincount(token_row, minlength=len(value)))])
-        chance = self.prob[rank, at].astype(np.float64)
+        chance = self.prob[taken_here].astype(np.float64)
         log_chance = np.log(np.maximum(chance, 1e-300))
         running = np.concatenate([[0.0], np.cumsum(log_chance)])
         base = running[first[:-1]]
-        rest = np.where(self.only[at], 0.0, 1.0 - chance)
+        rest = np.where(self.degree[at] == 1, 0.0, 1.0 - chance)
         token = np.arange(len(at)) - first[:-1][token_row]
         if cut is not None:
             own = np.flatnonzero(alive)
@@ -277,7 +287,7 @@ class Codec:
             priority = np.where(np.isfinite(phi), -np.logaddexp(-value[token_row], np.log(draw) - phi), -np.inf)
         if cut is not None:
             priority[token < cut[token_row]] = -np.inf
-        out = {"offset": offset, "at": at, "rank": rank, "first": first, "row": token_row, "priority": priority, "value": value, "alive": alive, "log_prob": running[first[1:]] - base, "taken": {}}
+        out = {"offset": offset, "at": at, "choice_at": taken_here, "first": first, "row": token_row, "priority": priority, "value": value, "alive": alive, "log_prob": running[first[1:]] - base, "taken": {}}
         self._best(out)
         return out
 
@@ -299,13 +309,14 @@ class Codec:
         alive = np.isfinite(value)
         cut, lattice_at = np.zeros(n, np.int64), np.zeros(n, np.int64)
         b_place, b_step = np.full(n, 1 << 60), np.zeros(n, np.int64)
-        taken = np.zeros((self.choices, n), bool)
-        offset, ranks, shift = np.zeros(len(places), np.int64), [np.zeros(1, np.int64)], 1
+        most = int(self.degree.max(initial=1))
+        taken = np.zeros((most, n), bool)
+        offset, choices, shift = np.zeros(len(places), np.int64), [np.zeros(1, np.int64)], 1
         for k, p in enumerate(paths):  # the parent's path of each text, put together from the paths so far
             mine = np.flatnonzero(alive & (which == k))
             choice = p["choice"][mine]
             cut[mine], lattice_at[mine] = choice - p["first"][mine], p["at"][choice]
-            taken[p["rank"][choice], mine] = True
+            taken[p["choice_at"][choice] - self.first[p["at"][choice]], mine] = True
             at_unit = np.searchsorted(p["offset"], choice, "right") - 1
             b_place[mine], b_step[mine] = place[at_unit], choice - p["offset"][at_unit]
             for r in mine.tolist():
@@ -313,18 +324,21 @@ class Codec:
                     taken[:, r] |= p["taken"][r][1]
             sel = (alive & (which == k))[row]
             offset[sel] = p["offset"][sel] + shift
-            ranks.append(p["rank"])
-            shift += len(p["rank"])
+            choices.append(p["choice_at"])
+            shift += len(p["choice_at"])
             p["priority"][choice] = -np.inf  # this node is spent; the new path carries what is left of it
             self._best(p)
-        chance = self.prob[:, lattice_at].astype(np.float64) if self.prob.shape[1] else np.zeros((self.choices, n))
+        chance = np.zeros((most, n))
+        for d in range(most if len(self.first) else 0):
+            has = np.flatnonzero(self.degree[lattice_at] > d)
+            chance[d, has] = self.prob[self.first[lattice_at[has]] + d]
         gone = np.where(taken, chance, 0.0).sum(0)
         free = np.cumsum(np.where(taken, 0.0, chance), 0)
         pick = (_uniform(seeds, np.full(n, 5000 + s, np.uint64)) * free[-1] >= free).sum(0)
-        alive &= pick < self.choices
-        pick = np.minimum(pick, self.choices - 1)
-        branch = (np.where(alive, b_place, 1 << 60), b_step, pick)
-        new = self._path(places, row, place, seeds, s, np.where(alive, value, -np.inf), alive, ((offset, np.concatenate(ranks)), branch), cut, gone)
+        alive &= pick < most
+        base = self.first[lattice_at] if len(self.first) else lattice_at
+        branch = (np.where(alive, b_place, 1 << 60), b_step, base + np.minimum(pick, most - 1))
+        new = self._path(places, row, place, seeds, s, np.where(alive, value, -np.inf), alive, ((offset, np.concatenate(choices)), branch), cut, gone)
         new["taken"] = {int(r): (cut[r], taken[:, r]) for r in np.flatnonzero(alive)}
         return new
 
@@ -332,7 +346,7 @@ class Codec:
         """Piece ids of a path, and how many each text has; texts whose search was over have none."""
         keep = path["alive"][path["row"]]
         at, row = path["at"][keep], path["row"][keep]
-        piece = self.piece[path["rank"][keep], at]
+        piece = self.piece[path["choice_at"][keep]]
         n = np.where(piece < 0, self.bytes_here[at], 1)
         ids = np.repeat(piece, n)
         spelt = at[piece < 0]
