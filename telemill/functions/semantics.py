@@ -50,7 +50,7 @@ def bucket(c: str | Column, seconds: int, origin: str = "1970-01-01 00:00:00") -
 def upper_median(c: str | Column) -> Column:
     """Element n div 2 of the sorted values: no mean of the middle pair."""
     x = F.sort_array(F.collect_list(_col(c)))
-    return F.element_at(x, (F.size(x) / 2).cast("int") + 1)
+    return F.get(x, (F.size(x) / 2).cast("int"))
 
 
 def frame_median(c: str | Column) -> Column:
