@@ -24,8 +24,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from telemill.llm.common import save, text_of
+from telemill.llm.common import text_of
 
 MAX_POSITIVES, MAX_UNLABELLED = 20_000, 40_000
 THRESHOLD = 0.3
@@ -127,15 +128,44 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(id_col.cast("string").cast("binary")), F.lit(5)) == 0, F.lit(True))
 
 
+def _sample(rows: DataFrame, total: int, most: int) -> np.ndarray:
+    """Features of about ``most`` rows, those whose key hash falls below their share; never more than twice as many."""
+    share = min(1.0, most / max(1, total))
+    hashed = F.pmod(F.xxhash64(F.col("_id").cast("string"), F.lit(6)), F.lit(1 << 30)) < int(share * (1 << 30))
+    some = rows.where(hashed) if share < 1 else rows
+    found = some.mapInPandas(_measure, f"_id {rows.schema['_id'].dataType.simpleString()}, _x array<double>")
+    return np.array(sorted(r[0] for r in found.select("_x").limit(2 * most).collect()))
+
+
+def model_of(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_positives: int = MAX_POSITIVES, max_unlabelled: int = MAX_UNLABELLED) -> dict | None:
+    """The fitted model; None without positives or without unlabelled rows."""
+    train = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text")).where(~held_out(F.col("_id")))
+    trusted = labels.where("quality = 1").select(F.col(id_col).alias("_lid")).where(~held_out(F.col("_lid"))).distinct()
+    positives = trusted.count()
+    share = min(1.0, max_positives / max(1, positives))
+    few = trusted.where(F.pmod(F.xxhash64(F.col("_lid").cast("string"), F.lit(6)), F.lit(1 << 30)) < int(share * (1 << 30))).limit(2 * max_positives)
+    p = _sample(train.join(F.broadcast(few), F.col("_id") == F.col("_lid"), "left_semi"), 0, max_positives)
+    u = _sample(train, train.count(), max_unlabelled)
+    return fit(p, u) if len(p) and len(u) else None
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _features(texts: pd.Series) -> pd.Series:
+    return texts.map(features)
+
+
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_positives: int = MAX_POSITIVES, max_unlabelled: int = MAX_UNLABELLED) -> DataFrame:
     """One row per document: id, held_out, score, predicted."""
-    measured = save(docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text")).mapInPandas(_measure, f"_id {docs.schema[id_col].dataType.simpleString()}, _x array<double>"), "features")
-    train = measured.where(~held_out(F.col("_id")))
-    trusted = labels.where("quality = 1").select(F.col(id_col).alias("_lid")).where(~held_out(F.col("_lid"))).distinct()
-    order = F.xxhash64(F.col("_id").cast("string"), F.lit(6))
-    take = lambda rows, n: np.array([r[0] for r in rows.orderBy(order, "_x").select("_x").limit(n).collect()])
-    p = take(train.join(trusted, F.col("_id") == F.col("_lid"), "left_semi"), max_positives)
-    u = take(train, max_unlabelled)
-    score = score_of(fit(p, u), F.col("_x")) if len(p) and len(u) else F.lit(0.5)
+    model = model_of(docs, labels, id_col, text_col, max_positives, max_unlabelled)
+    measured = docs.select(F.col(id_col).alias("_id"), _features(text_of(text_col)).alias("_x"))
+    score = score_of(model, F.col("_x")) if model else F.lit(0.5)
     out = measured.select(F.col("_id").alias(id_col), held_out(F.col("_id")).alias("held_out"), score.alias("score"))
     return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+
+
+def keep(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents that the classifier does not reject, with their columns; no row leaves its task."""
+    model = model_of(docs, labels, id_col, text_col)
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), _features(text_of(text_col)).alias("_x"))
+    score = score_of(model, F.col("_x")) if model else F.lit(0.5)
+    return rows.where(score >= THRESHOLD).select(*[F.col(f"_row.{c}").alias(c) for c in docs.columns])
