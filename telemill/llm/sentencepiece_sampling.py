@@ -10,14 +10,14 @@ Encoding follows the given model.  Sampling draws k segmentations without replac
   drawn as a Gumbel variable cut off at its parent's.  Popping a node completes it to a path, so the k-th pop is
   the k-th largest perturbed path, and no path comes twice;
 * the priority of the next node left on the agenda is the threshold that gives each sample its inclusion
-  probability 1 - exp(-exp(log_prob - threshold)).
+  probability 1 - exp(-exp(log_prob - threshold)), given as its logarithm.
 
 Uniform numbers are hashes of (row key, sample, place), so a row gives the same samples in any partition.
 Pieces never cross from letters into a space, so the lattice is a chain of the lattices of the text's units
 (spaces and what follows them); the distinct units of some texts are worked out together with numpy.
 
 Defined cases: a null text counts as empty; an empty text has no pieces and one segmentation; a text with fewer
-than k segmentations gives them all, each with inclusion 1; equal keys and texts give equal samples.
+than k segmentations gives them all, each with log_inclusion 0; equal keys and texts give equal samples.
 """
 
 from __future__ import annotations
@@ -252,7 +252,7 @@ class Codec:
         return offset, path_at, path_choice
 
     def sample(self, places: np.ndarray, counts: np.ndarray, seeds: np.ndarray, k: int) -> list[dict]:
-        """k rounds; each has, by text: ids (in a row), n, log_prob, perturbed, inclusion, found."""
+        """k rounds; each has, by text: ids (in a row), n, log_prob, perturbed, log_inclusion, found."""
         n = len(counts)
         row, place = np.repeat(np.arange(n), counts), _ranges(np.zeros(n, np.int64), counts)
         value = -np.log(-np.log(_uniform(seeds, np.full(n, 77, np.uint64))))
@@ -359,9 +359,9 @@ class Codec:
         out = []
         for p in paths:
             ids, n = self._ids(p)
-            with np.errstate(over="ignore"):
-                inclusion = np.where(np.isfinite(threshold), -np.expm1(-np.exp(np.minimum(p["log_prob"] - threshold, 50))), 1.0)
-            out.append({"ids": ids, "n": n, "log_prob": p["log_prob"], "perturbed": p["value"], "inclusion": inclusion, "found": p["alive"]})
+            above = np.where(np.isfinite(threshold), np.minimum(p["log_prob"] - threshold, 50), 50)
+            log_inclusion = np.where(above < -30, above, np.log(-np.expm1(-np.exp(above))))
+            out.append({"ids": ids, "n": n, "log_prob": p["log_prob"], "perturbed": p["value"], "log_inclusion": log_inclusion, "found": p["alive"]})
         return out
 
 
@@ -388,8 +388,8 @@ def _run(model, k: int):
                 if k:
                     codec.lattice(units)
                     for j, s in enumerate(codec.sample(places, counts, seeds[at : at + len(part)], k)):
-                        values = [_lists(s["ids"], s["n"]), *(pa.array(np.where(s["found"], s[c], 0.0)) for c in ("log_prob", "perturbed", "inclusion")), pa.array(s["found"])]
-                        columns[f"_s{j}"] = pa.StructArray.from_arrays(values, ["ids", "log_prob", "perturbed", "inclusion", "found"])
+                        values = [_lists(s["ids"], s["n"]), *(pa.array(np.where(s["found"], np.round(s[c], 6), 0.0)) for c in ("log_prob", "perturbed", "log_inclusion")), pa.array(s["found"])]
+                        columns[f"_s{j}"] = pa.StructArray.from_arrays(values, ["ids", "log_prob", "perturbed", "log_inclusion", "found"])
                 at += len(part)
                 yield pa.RecordBatch.from_pydict(columns)
 
@@ -398,14 +398,14 @@ def _run(model, k: int):
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 0, model: str = MODEL) -> DataFrame:
     """One row per document: id, ids, round_trip (decoding gives the text again), and with k > 0 samples, an array
-    of (ids, log_prob, perturbed, inclusion) in order of the perturbed log-probability."""
+    of (ids, log_prob, perturbed, log_inclusion) in order of the perturbed log-probability."""
     with open(model, "rb") as file:  # some hundred kB
         data = docs.sparkSession.sparkContext.broadcast(file.read())
     rows = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text"), F.xxhash64(F.col(id_col), F.lit(7)).alias("_seed"))
     kind = docs.schema[id_col].dataType.simpleString()
-    one = "struct<ids:array<int>,log_prob:double,perturbed:double,inclusion:double,found:boolean>"
+    one = "struct<ids:array<int>,log_prob:double,perturbed:double,log_inclusion:double,found:boolean>"
     out = rows.mapInArrow(_run(data, k), f"_id {kind}, ids array<int>, round_trip boolean" + "".join(f", _s{j} {one}" for j in range(k)))
     if k:
         found = F.filter(F.array(*[F.col(f"_s{j}") for j in range(k)]), lambda x: x["found"])
-        out = out.withColumn("samples", F.transform(found, lambda x: F.struct(*[x[c].alias(c) for c in ("ids", "log_prob", "perturbed", "inclusion")])))
+        out = out.withColumn("samples", F.transform(found, lambda x: F.struct(*[x[c].alias(c) for c in ("ids", "log_prob", "perturbed", "log_inclusion")])))
     return out.select(F.col("_id").alias(id_col), "ids", "round_trip", *["samples"][: min(k, 1)])
