@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from telemill.llm import decontaminate, exact_dedup, licenses, ngram_join, passages, quality, secrets, sentencepiece_sampling, substring_dedup, warc
 from telemill.llm.common import read_table
 
@@ -38,7 +39,7 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_sentencepiece(spark: SparkSession, sf_dir: str, k: int = 2) -> DataFrame:
     """Digests of the encoding and of k sampled segmentations; the operator itself returns the ids."""
     out = sentencepiece_sampling.encode(read_table(spark, sf_dir, "documents"), k=k)
-    sample = lambda s: F.struct(F.size(s["ids"]).alias("n"), F.xxhash64(s["ids"]).alias("ids_hash"), *[s[c] for c in ("log_prob", "perturbed", "inclusion")])
+    sample = lambda s: F.struct(F.size(s["ids"]).alias("n"), F.xxhash64(s["ids"]).alias("ids_hash"), *[s[c] for c in ("log_prob", "perturbed", "log_inclusion")])
     return out.select("doc_id", F.size("ids").alias("n_ids"), F.xxhash64("ids").alias("ids_hash"), "round_trip", F.transform("samples", sample).alias("samples"))
 
 
@@ -57,6 +58,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "pipeline": corpus_pipeline.run,
     "op1_ngram_join": op1_ngram_join,
     "op2_warc": op2_warc,
     "op3_passages": op3_passages,
