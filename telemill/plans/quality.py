@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from telemill.functions import bit_distance, on_days, round_half
@@ -16,14 +16,20 @@ from telemill.sources.scratch import scratch
 
 col, lit = F.col, F.lit
 AGREED = ["timestamp", "day", "readings", "measured", "doubtful", "pressure", "oil", "dv", "lps"]
-OLD = [("agreed columns are there", dq.has_columns(AGREED)), ("one row per slot", dq.unique("timestamp")), ("counts are not negative", dq.never(col("readings") < 0))]
-NEW = OLD + [
-    ("no other columns", dq.no_other_columns(AGREED)),
-    ("oil is in its unit", dq.aggregate_in(F.avg("oil"), 1.0, 50.0)),
-    ("digital signals are 0 or 1", dq.accepted("dv", [0.0, 1.0])),
-    ("day belongs to the time", dq.never(col("day") != F.to_date("timestamp"))),
-    ("holes have no signals", dq.never(~col("measured") & col("oil").isNotNull())),
-]
+
+
+def old_contract() -> list[dq.Promise]:
+    return [("agreed columns are there", dq.has_columns(AGREED)), ("one row per slot", dq.unique("timestamp")), ("counts are not negative", dq.never(col("readings") < 0))]
+
+
+def new_contract() -> list[dq.Promise]:
+    return old_contract() + [
+        ("no other columns", dq.no_other_columns(AGREED)),
+        ("oil is in its unit", dq.aggregate_in(F.avg("oil"), 1.0, 50.0)),
+        ("digital signals are 0 or 1", dq.accepted("dv", [0.0, 1.0])),
+        ("day belongs to the time", dq.never(col("day") != F.to_date("timestamp"))),
+        ("holes have no signals", dq.never(~col("measured") & col("oil").isNotNull())),
+    ]
 
 
 @query("dq_01_contract", tel_sql(f"""{SILVER_SQL}, c AS (
@@ -35,7 +41,7 @@ NEW = OLD + [
  UNION ALL SELECT 'holes have no signals', count(*) FROM silver WHERE NOT measured AND oil IS NOT NULL)
  SELECT promise, CAST(offenders AS BIGINT) AS offenders, offenders > 0 AS broken FROM c"""))
 def dq_01(k: Lake) -> DataFrame:
-    return dq.check(silver(k), NEW)
+    return dq.check(silver(k), new_contract())
 
 
 @query("dq_02_columns", "SELECT column_name AS \"column\", column_name IN ('event_id', 'ts', 'user_id', 'event_type', 'value') AS agreed FROM (DESCRIBE SELECT * FROM events)")
@@ -88,25 +94,28 @@ CHANGES = {
 
 @query("dq_09_breakage", "SELECT * FROM (VALUES ('renamed', 'old', 1::BIGINT), ('renamed', 'new', 4::BIGINT), ('unit', 'old', 0::BIGINT), ('unit', 'new', 1::BIGINT), ('extra column', 'old', 0::BIGINT), ('extra column', 'new', 1::BIGINT), ('twice', 'old', 1::BIGINT), ('twice', 'new', 1::BIGINT), ('negative', 'old', 1::BIGINT), ('negative', 'new', 1::BIGINT)) v(change, contract, noticed)")
 def dq_09(k: Lake) -> DataFrame:
-    return dq.breakage(silver(k), CHANGES, {"old": OLD, "new": NEW})
+    return dq.breakage(silver(k), CHANGES, {"old": old_contract(), "new": new_contract()})
 
 
-@query("dq_10_false_promise", tel_sql("SELECT nr, count(*) AS n FROM rep GROUP BY nr HAVING count(*) > 1", rep=True))
+@query("dq_10_false_promise", tel_sql("SELECT nr, count(*) AS n, CAST(sum(c) AS BIGINT) AS readings FROM (SELECT nr, inicio, (SELECT count(*) FROM tel WHERE day = CAST(inicio AS DATE)) AS c FROM rep) GROUP BY nr HAVING count(*) > 1", rep=True))
 def dq_10(k: Lake) -> DataFrame:
-    return dq.unique("nr")(k.reports)
+    """The promise that report numbers are unique must fail: who breaks it, with the readings of the reports' first days."""
+    n = k.tel.groupBy("day").agg(F.count("*").alias("c"))
+    counted = k.reports.withColumn("day", F.to_date("inicio")).join(n, "day", "left")
+    offenders = dq.unique("nr")(k.reports)
+    return offenders.join(counted.groupBy("nr").agg(F.sum("c").alias("readings")), "nr")
 
 
-RULES = {
-    "time is known": col("timestamp").isNotNull(),
-    "pressure in range": col("pressure").between(0, 500),
-    "signals agree": col("dv") != col("comp"),
-    "oil is known": col("oil").isNotNull(),
-}
+RULES_TEXT = ["time is known", "pressure in range", "signals agree", "oil is known"]
+
+
+def rules() -> dict[str, Column]:
+    return dict(zip(RULES_TEXT, (col("timestamp").isNotNull(), col("pressure").between(0, 500), col("dv") != col("comp"), col("oil").isNotNull()), strict=True))
 
 
 @query("dq_11_quarantine", tel_sql("SELECT event_id, CASE WHEN pressure > 500 AND dv = comp THEN 'pressure in range,signals agree' WHEN pressure > 500 THEN 'pressure in range' ELSE 'signals agree' END AS rules FROM tel WHERE pressure > 500 OR dv = comp"))
 def dq_11(k: Lake) -> DataFrame:
-    _, quarantine = dq.split(k.tel, RULES)
+    _, quarantine = dq.split(k.tel, rules())
     return quarantine.select("event_id", F.array_join("broken", ",").alias("rules"))
 
 
@@ -131,12 +140,16 @@ def dq_13(k: Lake) -> DataFrame:
     return twice.crossJoin(a).crossJoin(on_days(k.tel, "2024-01-05", "2024-01-05").agg(F.count("*").alias("readings_of_first")))
 
 
-@query("dq_14_rules_by_column")
-def dq_14(k: Lake) -> DataFrame:
-    return dq.rule_listing(k.spark, [(c, "type", t) for c, t in k.tel.dtypes] + [("timestamp", "not null", RULES_TEXT[0]), ("pressure", "range", RULES_TEXT[1]), ("dv", "cross", RULES_TEXT[2]), ("comp", "cross", RULES_TEXT[2]), ("oil", "not null", RULES_TEXT[3])])
+LISTED = [("timestamp", "not null"), ("pressure", "range"), ("dv", "cross"), ("comp", "cross"), ("oil", "not null")]
 
 
-RULES_TEXT = list(RULES)
+@query("dq_14_rules_by_column", tel_sql(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", 1::BIGINT AS rules, '{kind}' AS kinds, count(*) FILTER (WHERE {c} IS NULL) AS nulls, count(DISTINCT {c}) AS n_distinct FROM tel" for c, kind in LISTED)))
+def dq_14(k: Lake) -> DataFrame:
+    """Rules by column, beside what the column holds."""
+    listing = dq.rule_listing(k.spark, [(c, kind, text) for (c, kind), text in zip(LISTED, [*RULES_TEXT[:3], RULES_TEXT[2], RULES_TEXT[3]], strict=True)])
+    aggs = [a for c, _ in LISTED for a in (F.count_if(col(c).isNull()).alias(f"{c}_n"), F.count_distinct(c).alias(f"{c}_d"))]
+    held = F.array(*[F.struct(lit(c).alias("column"), col(f"{c}_n").alias("nulls"), col(f"{c}_d").alias("n_distinct")) for c, _ in LISTED])
+    return listing.join(k.tel.agg(*aggs).select(F.inline(held)), "column")
 
 
 @query("dq_15_missing_days", tel_sql(f"{DAYS_SQL}, {HOLES_SQL} SELECT day FROM cal WHERE day NOT IN (SELECT day FROM held)"))

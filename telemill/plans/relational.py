@@ -49,9 +49,10 @@ def flt_03(k: Lake) -> DataFrame:
     return k.table("events").where(col("event_type").isin("view", "error") & ~col("user_id").isin(1, 2, 3)).select("event_id", "event_type")
 
 
-@query("flt_04_like_and_time", tel_sql("SELECT nr, inicio, failure FROM rep WHERE failure LIKE 'Air L%' AND inicio < TIMESTAMP '2024-01-20 00:00:00'", rep=True))
+@query("flt_04_like_and_time", tel_sql("SELECT nr, inicio, failure, (SELECT count(*) FROM tel WHERE day = CAST(inicio AS DATE)) AS readings FROM rep WHERE failure LIKE 'Air L%' AND inicio < TIMESTAMP '2024-01-20 00:00:00'", rep=True))
 def flt_04(k: Lake) -> DataFrame:
-    return k.reports.where(col("failure").like("Air L%") & (col("inicio") < lit("2024-01-20").cast("timestamp_ntz"))).select("nr", "inicio", "failure")
+    hit = k.reports.where(col("failure").like("Air L%") & (col("inicio") < lit("2024-01-20").cast("timestamp_ntz"))).withColumn("day", F.to_date("inicio"))
+    return hit.join(k.tel.select("day", "event_id"), "day", "left").groupBy("nr", "inicio", "failure").agg(F.count("event_id").alias("readings"))
 
 
 @query("flt_05_null_tests", "SELECT count(*) AS n, count(*) FILTER (WHERE x IS NULL) AS n_null, count(*) FILTER (WHERE x IS NOT NULL) AS n_there, count(*) FILTER (WHERE x = NULL) AS n_equal FROM (SELECT CASE WHEN event_type = 'click' THEN NULL ELSE value END AS x FROM events)")
@@ -536,25 +537,25 @@ def set_05(k: Lake) -> DataFrame:
 # ---- scalar functions
 
 
-def _fn(name: str, sql: str, **columns) -> None:
-    """A query of expressions over the readings, by event_id."""
-    query(name, tel_sql(f"SELECT event_id, {sql} FROM tel"))(lambda k: k.tel.select("event_id", *[c.alias(n) for n, c in columns.items()]))
+def _fn(name: str, sql: str, columns) -> None:
+    """A query of expressions over the readings, by event_id; columns are made when it runs."""
+    query(name, tel_sql(f"SELECT event_id, {sql} FROM tel"))(lambda k: k.tel.select("event_id", *[c.alias(n) for n, c in columns().items()]))
 
 
-_fn("fn_01_cast_date", "CAST(timestamp AS DATE) AS d", d=F.to_date("timestamp"))
-_fn("fn_02_time_bucket", "time_bucket(INTERVAL 10 SECOND, timestamp) AS ten, time_bucket(INTERVAL 7 SECOND, timestamp) AS seven, time_bucket(INTERVAL 1 HOUR, timestamp) AS hour", ten=bucket("timestamp", 10), seven=bucket("timestamp", 7, "2000-01-03 00:00:00"), hour=bucket("timestamp", 3600))
-_fn("fn_03_date_trunc", "date_trunc('hour', timestamp) AS h, CAST(date_trunc('month', timestamp) AS TIMESTAMP) AS m, CAST(date_trunc('week', timestamp) AS TIMESTAMP) AS w", h=trunc_ts("hour", "timestamp"), m=trunc_ts("month", "timestamp"), w=trunc_ts("week", "timestamp"))
-_fn("fn_04_date_diff", "date_diff('second', TIMESTAMP '2024-01-01 00:00:00.5', timestamp) AS s, date_diff('minute', TIMESTAMP '2024-01-01 00:00:59', timestamp) AS m, date_diff('hour', TIMESTAMP '2024-01-01 00:59:59', timestamp) AS h", s=boundary_diff("second", lit("2024-01-01 00:00:00.5").cast("timestamp_ntz"), "timestamp"), m=boundary_diff("minute", lit("2024-01-01 00:00:59").cast("timestamp_ntz"), "timestamp"), h=boundary_diff("hour", lit("2024-01-01 00:59:59").cast("timestamp_ntz"), "timestamp"))
-_fn("fn_06_strftime", "strftime(day, '%Y-%m') AS month, strftime(timestamp, '%H:%M') AS clock", month=month_of("day"), clock=F.date_format("timestamp", "HH:mm"))
-_fn("fn_07_parts", "hour(timestamp) AS h, minute(timestamp) AS m", h=F.hour("timestamp").cast("bigint"), m=F.minute("timestamp").cast("bigint"))
-_fn("fn_09_round", f"{r('pressure', 1)} AS one, {r('oil', 2)} AS two, {r('pressure', 0)} AS none", one=round_half("pressure", 1), two=round_half("oil", 2), none=round_half("pressure", 0))
-_fn("fn_10_arithmetic", f"abs(pressure - 100) AS off, {r('oil * 3600.0::DOUBLE / 7', 6)} AS scaled, event_id % 7 AS rest, round(oil * 2, 0) / 2 AS half_step", off=F.abs(col("pressure") - 100), scaled=round_half(col("oil") * lit(3600.0) / lit(7.0), 6), rest=col("event_id") % 7, half_step=F.round(col("oil") * 2, 0) / 2)
-_fn("fn_11_case", "CASE WHEN pressure < 10 THEN 'low' WHEN pressure < 100 THEN 'middle' ELSE 'high' END AS band", band=F.when(col("pressure") < 10, "low").when(col("pressure") < 100, "middle").otherwise("high"))
-_fn("fn_12_coalesce", "coalesce(CASE WHEN dv = 1 THEN pressure END, -1.0::DOUBLE) AS x", x=F.coalesce(F.when(col("dv") == 1, col("pressure")), lit(-1.0)))
-_fn("fn_13_lower", "lower(upper(event_type)) AS kind", kind=F.lower(F.upper("event_type")))
-_fn("fn_16_predicates", "lps = 1 AS alarm, user_id IS NOT NULL AS known", alarm=col("lps") == 1, known=col("user_id").isNotNull())
-_fn("fn_17_casts", "CAST(event_id AS DOUBLE) AS as_double, CAST(event_id AS VARCHAR) AS as_text, CAST(dv AS BIGINT) AS as_long", as_double=col("event_id").cast("double"), as_text=col("event_id").cast("string"), as_long=col("dv").cast("bigint"))
-_fn("fn_18_negative_zero", "CASE WHEN round((dv - 1) * 0.0::DOUBLE, 2) = 0 THEN 0.0::DOUBLE ELSE round((dv - 1) * 0.0::DOUBLE, 2) END AS x", x=round_half((col("dv") - 1) * lit(0.0), 2))
+_fn("fn_01_cast_date", "CAST(timestamp AS DATE) AS d", lambda: dict(d=F.to_date("timestamp")))
+_fn("fn_02_time_bucket", "time_bucket(INTERVAL 10 SECOND, timestamp) AS ten, time_bucket(INTERVAL 7 SECOND, timestamp) AS seven, time_bucket(INTERVAL 1 HOUR, timestamp) AS hour", lambda: dict(ten=bucket("timestamp", 10), seven=bucket("timestamp", 7, "2000-01-03 00:00:00"), hour=bucket("timestamp", 3600)))
+_fn("fn_03_date_trunc", "date_trunc('hour', timestamp) AS h, CAST(date_trunc('month', timestamp) AS TIMESTAMP) AS m, CAST(date_trunc('week', timestamp) AS TIMESTAMP) AS w", lambda: dict(h=trunc_ts("hour", "timestamp"), m=trunc_ts("month", "timestamp"), w=trunc_ts("week", "timestamp")))
+_fn("fn_04_date_diff", "date_diff('second', TIMESTAMP '2024-01-01 00:00:00.5', timestamp) AS s, date_diff('minute', TIMESTAMP '2024-01-01 00:00:59', timestamp) AS m, date_diff('hour', TIMESTAMP '2024-01-01 00:59:59', timestamp) AS h", lambda: dict(s=boundary_diff("second", lit("2024-01-01 00:00:00.5").cast("timestamp_ntz"), "timestamp"), m=boundary_diff("minute", lit("2024-01-01 00:00:59").cast("timestamp_ntz"), "timestamp"), h=boundary_diff("hour", lit("2024-01-01 00:59:59").cast("timestamp_ntz"), "timestamp")))
+_fn("fn_06_strftime", "strftime(day, '%Y-%m') AS month, strftime(timestamp, '%H:%M') AS clock", lambda: dict(month=month_of("day"), clock=F.date_format("timestamp", "HH:mm")))
+_fn("fn_07_parts", "hour(timestamp) AS h, minute(timestamp) AS m", lambda: dict(h=F.hour("timestamp").cast("bigint"), m=F.minute("timestamp").cast("bigint")))
+_fn("fn_09_round", f"{r('pressure', 1)} AS one, {r('oil', 2)} AS two, {r('pressure', 0)} AS none", lambda: dict(one=round_half("pressure", 1), two=round_half("oil", 2), none=round_half("pressure", 0)))
+_fn("fn_10_arithmetic", f"abs(pressure - 100) AS off, {r('oil * 3600.0::DOUBLE / 7', 6)} AS scaled, event_id % 7 AS rest, round(oil * 2, 0) / 2 AS half_step", lambda: dict(off=F.abs(col("pressure") - 100), scaled=round_half(col("oil") * lit(3600.0) / lit(7.0), 6), rest=col("event_id") % 7, half_step=F.round(col("oil") * 2, 0) / 2))
+_fn("fn_11_case", "CASE WHEN pressure < 10 THEN 'low' WHEN pressure < 100 THEN 'middle' ELSE 'high' END AS band", lambda: dict(band=F.when(col("pressure") < 10, "low").when(col("pressure") < 100, "middle").otherwise("high")))
+_fn("fn_12_coalesce", "coalesce(CASE WHEN dv = 1 THEN pressure END, -1.0::DOUBLE) AS x", lambda: dict(x=F.coalesce(F.when(col("dv") == 1, col("pressure")), lit(-1.0))))
+_fn("fn_13_lower", "lower(upper(event_type)) AS kind", lambda: dict(kind=F.lower(F.upper("event_type"))))
+_fn("fn_16_predicates", "lps = 1 AS alarm, user_id IS NOT NULL AS known", lambda: dict(alarm=col("lps") == 1, known=col("user_id").isNotNull()))
+_fn("fn_17_casts", "CAST(event_id AS DOUBLE) AS as_double, CAST(event_id AS VARCHAR) AS as_text, CAST(dv AS BIGINT) AS as_long", lambda: dict(as_double=col("event_id").cast("double"), as_text=col("event_id").cast("string"), as_long=col("dv").cast("bigint")))
+_fn("fn_18_negative_zero", "CASE WHEN round((dv - 1) * 0.0::DOUBLE, 2) = 0 THEN 0.0::DOUBLE ELSE round((dv - 1) * 0.0::DOUBLE, 2) END AS x", lambda: dict(x=round_half((col("dv") - 1) * lit(0.0), 2)))
 
 
 @query("fn_05_parse_text_dates", tel_sql("SELECT nr, inicio, fin, date_diff('minute', inicio, fin) AS minutes, (SELECT count(*) FROM tel WHERE timestamp BETWEEN inicio AND fin) AS readings FROM rep", rep=True))
@@ -582,9 +583,10 @@ def fn_15(k: Lake) -> DataFrame:
     return k.tel.select("event_id", F.xxhash64(*k.tel.columns).alias("row_hash"))
 
 
-@query("fn_19_column_list", "SELECT column_name FROM (DESCRIBE SELECT * FROM events)")
+@query("fn_19_column_list", "SELECT column_name, (SELECT count(*) FROM events) AS rows FROM (DESCRIBE SELECT * FROM events)")
 def fn_19(k: Lake) -> DataFrame:
-    return k.spark.createDataFrame([(c,) for c, _ in k.table("events").dtypes], "column_name string")
+    t = k.table("events")
+    return k.spark.createDataFrame([(c,) for c, _ in t.dtypes], "column_name string").crossJoin(t.agg(F.count("*").alias("rows")))
 
 
 @query("fn_20_epoch", tel_sql("SELECT event_id, CAST(floor(epoch(timestamp)) AS BIGINT) AS s FROM tel"))

@@ -361,9 +361,10 @@ def _sweep_sql(score: str) -> str:
     return tel_sql(f"{PEAK_SQL}, {REP_DAYS_SQL}, {THR_SQL}, s AS (SELECT day, {score} AS score FROM based WHERE {score} IS NOT NULL), {SWEEP_SQL} SELECT threshold, count(DISTINCT day) FILTER (WHERE alarm) AS alarm_days, count(DISTINCT inicio) FILTER (WHERE alarm) AS detected, count(DISTINCT day) FILTER (WHERE alarm AND inicio IS NULL) AS false_days, {r('count(DISTINCT day) FILTER (WHERE alarm AND inicio IS NULL) / (SELECT m FROM months)')} AS false_per_month FROM x GROUP BY threshold", rep=True)
 
 
-@query("evt_01_report_days", tel_sql(f"{REP_DAYS_SQL} SELECT nr, inicio, count(*) AS days, min(day) AS first_day, max(day) AS last_day FROM rd GROUP BY nr, inicio", rep=True))
+@query("evt_01_report_days", tel_sql(f"{REP_DAYS_SQL}, n AS (SELECT day, count(*) AS c FROM tel GROUP BY day) SELECT nr, inicio, count(*) AS days, min(rd.day) AS first_day, max(rd.day) AS last_day, CAST(sum(c) AS BIGINT) AS readings FROM rd LEFT JOIN n ON rd.day = n.day GROUP BY nr, inicio", rep=True))
 def evt_01(k: Lake) -> DataFrame:
-    return grading.event_days(k.reports).groupBy("nr", "inicio").agg(F.count("*").alias("days"), F.min("day").alias("first_day"), F.max("day").alias("last_day"))
+    n = k.tel.groupBy("day").agg(F.count("*").alias("c"))
+    return grading.event_days(k.reports).join(n, "day", "left").groupBy("nr", "inicio").agg(F.count("*").alias("days"), F.min("day").alias("first_day"), F.max("day").alias("last_day"), F.sum("c").alias("readings"))
 
 
 ALARM_LEVEL = 0.8
