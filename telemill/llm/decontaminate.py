@@ -90,11 +90,11 @@ def contained(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", tex
     return best.select(F.col("_id").alias(id_col), F.col("_iid").alias(item_col), "_b.n_shared", "_b.n_item", "_b.containment")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The documents that hold no item."""
-    leaks = contained(docs, benchmark, id_col).select(F.col(id_col).alias("_leak")).distinct()
-    leaks = save(leaks, "leaks")
-    return docs.join(_small(leaks), F.col(id_col).eqNullSafe(F.col("_leak")), "left_anti")
+def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents that hold no item.  A document is known by its id and text together, so rows that share an id, or have none, stand for themselves."""
+    known = F.xxhash64(F.col(id_col), text_of(text_col))
+    leaks = contained(docs.select(known.alias("_known"), F.col(text_col).alias("_text")), benchmark, "_known", "_text").select(F.col("_known").alias("_leak")).distinct()
+    return docs.join(_small(save(leaks, "leaks")), known == F.col("_leak"), "left_anti")
 
 
 ORACLE = f"""

@@ -11,7 +11,7 @@
 4. The components of the verified edges are the classes.
 
 Defined cases: a text without words (null, empty) is a class of its own without links; repeated rows are copies;
-null ids are smaller than others and stay rows of their own; other columns are never read.
+null ids are larger than others; other columns are never read.
 """
 
 from __future__ import annotations
@@ -135,13 +135,18 @@ def _verify(group: pd.DataFrame) -> pd.DataFrame:
 def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, rep_id (smallest id of the same shingle set), class_id (smallest id of the
     component), n_links (other shingle sets within the threshold) and n_copies (documents of the same set)."""
+    return _classify(docs, id_col, text_col).drop("_th")
+
+
+def _classify(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """As classify, with a hash of the text."""
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text"))
-    signed = rows.select("*", F.monotonically_increasing_id().alias("_key"))
-    signed = save(signed.mapInPandas(_sign, f"_id {kind}, _key long, _h1 long, _h2 long, _n int, _bands array<long>"), "signatures")
+    signed = rows.select("*", F.monotonically_increasing_id().alias("_key"), F.xxhash64("_text").alias("_th"))
+    signed = save(signed.mapInPandas(_sign, f"_id {kind}, _key long, _th long, _h1 long, _h2 long, _n int, _bands array<long>"), "signatures")
     total = signed.count()
     worded = signed.where("_n > 0").withColumn("_set_id", F.struct("_h1", "_h2"))
-    reps = worded.groupBy("_set_id").agg(F.min(F.struct("_id", "_key")).alias("_first"), F.count("*").alias("_copies"), F.min("_bands").alias("_bands"))
+    reps = worded.groupBy("_set_id").agg(F.min(F.struct(F.col("_id").isNull().alias("_none"), "_id", "_key")).alias("_first"), F.count("*").alias("_copies"), F.min("_bands").alias("_bands"))
     reps = save(reps.select("_set_id", F.col("_first._id").alias("_rid"), F.col("_first._key").alias("_rep"), "_copies", "_bands"), "reps")
 
     # candidates: components of the edges from each member of a bucket to its smallest member
@@ -173,14 +178,18 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     named = named.select("_set_id", "_rid", "_class", "_copies", "_links")
     spread = F.struct(F.col("_key").alias("_h1"), F.xxhash64("_key", F.lit(5)).alias("_h2"))
     out = join_groups(worded, named, "_set_id", "_copies", total, spread)
-    out = out.select("_id", F.col("_rid").alias("rep_id"), F.col("_class").alias("class_id"), F.col("_links").alias("n_links"), F.col("_copies").alias("n_copies"))
-    bare = signed.where("_n = 0").select("_id", F.col("_id").alias("rep_id"), F.col("_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"))
+    out = out.select("_id", "_th", F.col("_rid").alias("rep_id"), F.col("_class").alias("class_id"), F.col("_links").alias("n_links"), F.col("_copies").alias("n_copies"))
+    bare = signed.where("_n = 0").select("_id", "_th", F.col("_id").alias("rep_id"), F.col("_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"))
     return out.union(bare).withColumnRenamed("_id", id_col)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents without those whose class has a smaller id."""
-    found = classify(docs, id_col, text_col)
-    gone = save(found.where(~F.col(id_col).eqNullSafe(F.col("class_id"))).select(F.col(id_col).alias("_gone")).distinct(), "dropped")
+    """The documents without those whose class has a smaller id.
+
+    A document is known by its id and text together; rows equal in both count as one and stay or go together.
+    """
+    found = _classify(docs, id_col, text_col)
+    gone = found.where(~F.col(id_col).eqNullSafe(F.col("class_id"))).select(F.col(id_col).alias("_gone"), F.col("_th").alias("_gone_text")).distinct()
+    gone = save(gone, "dropped")
     gone = F.broadcast(gone) if gone.count() <= MAX_BROADCAST else gone
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
+    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("_gone")) & (F.xxhash64(text_of(text_col)) == F.col("_gone_text")), "left_anti")

@@ -279,3 +279,14 @@ def test_ngram_join_empty(spark):
 def test_bands_reach_the_recall():
     bands, rows = ngram_join.choose_bands()
     assert 1 - (1 - 0.8**rows) ** bands >= 0.997 and bands * rows <= ngram_join.HASHES
+
+
+def test_shared_and_missing_ids_stand_for_themselves(spark):
+    """Rows of one id, or of none, are judged by their own texts."""
+    text = " ".join(f"n{k}" for k in range(60))
+    rows = [(None, text, "s"), (None, "quite another text of more than five words", "s"), (3, text + " tail", "s"), (3, "a third text that has nothing to do with it", "s"), (9, text + " end", "s")]
+    kept = ngram_join.keep_one(odd_rows(spark, rows)).collect()
+    assert sorted((str(r.doc_id), r.text[:7]) for r in kept) == [("3", "a third"), ("3", text[:7]), ("None", "quite a")]
+    bench = spark.createDataFrame([(1, text)], "item_id long, text string")
+    left = decontaminate.clean(odd_rows(spark, rows), bench).collect()
+    assert sorted(r.text[:7] for r in left) == ["a third", "quite a"]
