@@ -7,7 +7,8 @@ number of shingles; each partition has its own K and asks for so many hits that
 probability <= MISS.  Candidates are verified on full shingle sets: |item and document| / |item| >= THRESHOLD.
 
 Words are runs of letters, digits and characters beyond ASCII, lower-cased; shingles are five words.  The
-sketches are broadcast when they number at most MAX_BROADCAST, else joined by shuffle; so are the candidates.
+sketches are broadcast when they hold at most MAX_BROADCAST numbers, else joined by shuffle; so are the candidates
+and the items.
 
 Defined cases: null and empty texts have no words and no pairs; a text of one to four words is one shingle of
 all its words, so it is found in a text of these words alone; a pair of ids that stands for several rows counts
@@ -26,7 +27,7 @@ from telemill.llm.common import save, text_of
 WORDS, THRESHOLD, MISS = 5, 0.8, 1e-6
 #: Up to so many shingles an item gets a sketch of so many; larger items get the last one.
 PARTITIONS = ((64, 12), (256, 16), (1 << 62, 24))
-MAX_BROADCAST = 200_000
+MAX_BROADCAST = 2_000_000
 BETWEEN = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 
 
@@ -61,9 +62,10 @@ def sketches(items: DataFrame) -> DataFrame:
     return items.select("_ikey", need.alias("_need"), F.explode(F.slice(order, F.lit(1), k)).alias("_o")).select(F.col("_o.s").alias("_sh"), "_ikey", "_need")
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """Broadcast a materialised table where its rows are few enough; else leave it to a shuffled join."""
-    return F.broadcast(df) if df.count() <= MAX_BROADCAST else df
+def _small(df: DataFrame, held: Column | None = None) -> DataFrame:
+    """Broadcast a materialised table where the numbers it holds (its rows, or the sum of ``held``) are few enough; else leave it to a shuffled join."""
+    size = df.agg(F.sum(held) if held is not None else F.count("*")).first()[0] or 0
+    return F.broadcast(df) if size <= MAX_BROADCAST else df
 
 
 def contained(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -81,10 +83,10 @@ def contained(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", tex
 
     # verify on full shingle sets
     candidates = candidates.select(F.col("_id").alias("_cid"), "_ikeys")
-    found = rows.join(_small(candidates), F.col("_id").eqNullSafe(F.col("_cid")))
+    found = rows.join(_small(candidates, F.size("_ikeys")), F.col("_id").eqNullSafe(F.col("_cid")))
     found = found.select("_id", F.array_distinct(shingles_of(F.col("_w"))).alias("_have"), F.explode("_ikeys").alias("_ikey"))
     shared = F.size(F.array_intersect("_set", "_have")).cast("long")
-    found = found.join(_small(items), "_ikey").select("_id", "_iid", shared.alias("n_shared"), F.col("_n").cast("long").alias("n_item"))
+    found = found.join(_small(items, F.col("_n")), "_ikey").select("_id", "_iid", shared.alias("n_shared"), F.col("_n").cast("long").alias("n_item"))
     found = found.withColumn("containment", F.col("n_shared") / F.col("n_item")).where(F.col("containment") >= THRESHOLD)
     best = found.groupBy("_id", "_iid").agg(F.max(F.struct("containment", "n_shared", "n_item")).alias("_b"))
     return best.select(F.col("_id").alias(id_col), F.col("_iid").alias(item_col), "_b.n_shared", "_b.n_item", "_b.containment")

@@ -8,8 +8,8 @@ from trusted positives P and unlabelled texts U, of which nothing is known but t
 is estimated first: a P-against-U model orders the texts, and the prior is the smallest ratio of the share of U
 to the share of P above a threshold, with a margin for small counts.
 
-The fit uses a bounded sample (MAX_POSITIVES, MAX_UNLABELLED; the rows with the smallest key hash); features
-and scores cover every row.  Defined cases: a null text counts as empty; an empty text has all features 0 and a
+The fit uses a bounded sample (about MAX_POSITIVES and MAX_UNLABELLED rows, those whose key hash falls below their
+share, and never more than twice as many); scores cover every row.  Defined cases: a null text counts as empty; an empty text has all features 0 and a
 score; without positives or without unlabelled rows every score is 0.5; null labels are no positives.
 """
 
