@@ -396,12 +396,12 @@ def evt_04(k: Lake) -> DataFrame:
     return grading.lead_times(alarm_days_of(k), k.reports)
 
 
-@query("evt_05_false_alarms", tel_sql(f"{PEAK_SQL}, {REP_DAYS_SQL} SELECT count(*) AS false_days, {r('count(*) / (SELECT count(DISTINCT month(day)) FROM peaks)')} AS per_month FROM peaks WHERE peak > {ALARM_LEVEL} AND day NOT IN (SELECT day FROM rd)", rep=True))
+@query("evt_05_false_alarms", tel_sql(f"{PEAK_SQL}, {REP_DAYS_SQL} SELECT count(*) AS false_days, {r('count(*) / nullif((SELECT count(DISTINCT month(day)) FROM peaks), 0)')} AS per_month FROM peaks WHERE peak > {ALARM_LEVEL} AND day NOT IN (SELECT day FROM rd)", rep=True))
 def evt_05(k: Lake) -> DataFrame:
     p = peaks_of(k)
     months = p.agg(F.count_distinct(F.month("day")).alias("m"))
     false = alarm_days_of(k).join(grading.event_days(k.reports), "day", "left_anti").agg(F.count("*").alias("false_days"))
-    return false.crossJoin(months).select("false_days", round_half(col("false_days") / col("m"), 3).alias("per_month"))
+    return false.crossJoin(months).select("false_days", round_half(F.try_divide("false_days", "m"), 3).alias("per_month"))
 
 
 @query("evt_06_highest_threshold", f"SELECT max(threshold) AS threshold FROM ({_sweep_sql('peak')}) WHERE detected = 4")
@@ -409,12 +409,12 @@ def evt_06(k: Lake) -> DataFrame:
     return grading.highest_full_threshold(evt_03(k), len(REPORTS))
 
 
-@query("evt_07_installed_alarm", tel_sql(f"{RES_SQL}, {REP_DAYS_SQL}, j AS (SELECT DISTINCT day FROM hres), a AS (SELECT day, date_trunc('hour', timestamp) AS hour FROM tel WHERE lps = 1 AND day IN (SELECT day FROM j)) SELECT count(DISTINCT day) AS alarm_days, (SELECT count(DISTINCT inicio) FROM rd WHERE day IN (SELECT day FROM a)) AS detected, count(DISTINCT day) FILTER (WHERE day NOT IN (SELECT day FROM rd)) AS false_days, {r('count(*) FILTER (WHERE hour NOT IN (SELECT hour FROM hres)) / count(*)', 6)} AS in_incomplete_hours FROM a", rep=True))
+@query("evt_07_installed_alarm", tel_sql(f"{RES_SQL}, {REP_DAYS_SQL}, j AS (SELECT DISTINCT day FROM hres), a AS (SELECT day, date_trunc('hour', timestamp) AS hour FROM tel WHERE lps = 1 AND day IN (SELECT day FROM j)) SELECT count(DISTINCT day) AS alarm_days, (SELECT count(DISTINCT inicio) FROM rd WHERE day IN (SELECT day FROM a)) AS detected, count(DISTINCT day) FILTER (WHERE day NOT IN (SELECT day FROM rd)) AS false_days, {r('count(*) FILTER (WHERE hour NOT IN (SELECT hour FROM hres)) / nullif(count(*), 0)', 6)} AS in_incomplete_hours FROM a", rep=True))
 def evt_07(k: Lake) -> DataFrame:
     h, rd = hours_of(k), grading.event_days(k.reports)
     a = k.tel.where("lps = 1").join(h.select("day").distinct(), "day", "left_semi").select("day", trunc_ts("hour", "timestamp").alias("hour"))
     a = a.join(h.select("hour", lit(True).alias("_h")), "hour", "left").join(rd.select("day", lit(True).alias("_r")).distinct(), "day", "left")
-    counts = a.agg(F.count_distinct("day").alias("alarm_days"), F.count_distinct(F.when(col("_r").isNull(), col("day"))).alias("false_days"), round_half(F.count_if(col("_h").isNull()) / F.count("*"), 6).alias("in_incomplete_hours"))
+    counts = a.agg(F.count_distinct("day").alias("alarm_days"), F.count_distinct(F.when(col("_r").isNull(), col("day"))).alias("false_days"), round_half(F.try_divide(F.count_if(col("_h").isNull()), F.count("*")), 6).alias("in_incomplete_hours"))
     return counts.crossJoin(rd.join(a.select("day").distinct(), "day", "left_semi").agg(F.count_distinct("inicio").alias("detected")))
 
 
