@@ -37,7 +37,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 _UNIT = re.compile(" +[^ ]*")
 _B = np.uint64(0x9E3779B97F4A7C15)
-_CHUNK = 2 << 20
+#: Characters worked on together, and rows of a batch made text at a time: what bounds a worker's memory.
+_CHUNK, _ROWS = 5 << 18, 500
 
 
 def _uniform(*parts: np.ndarray) -> np.ndarray:
@@ -177,6 +178,7 @@ class Codec:
             size[at], piece[at], to[at] = k, ids, np.where(left[places] == k, n, places + k)
             weight[at] = self.weight[ids] if len(ids) and ids[0] >= 0 else self.weight[self.byte_id[0]] * self.bytes_here[places]
             fill[places] += 1
+        del mixed, rolling, here, found
         steps = np.searchsorted(left[owner], np.arange(1, longest + 2))
         sums = np.zeros(n + 1)
         score = weight
@@ -205,6 +207,7 @@ class Codec:
         running = chance[best][group] + np.where(is_best, 0.0, others)
         last = np.flatnonzero(rank == degree[group] - 1)
         running[last] = 1.0
+        del others, by_size, score, weight
         to = first[group] + rank
         self.cum, self.prob = np.empty(n_edges, np.float32), np.empty(n_edges, np.float32)
         self.size, self.piece = np.empty(n_edges, np.int32), np.empty(n_edges, np.int32)
@@ -377,21 +380,25 @@ def _run(model, k: int):
         codec = None
         for batch in batches:
             codec = codec or Codec(model.value)
-            texts = batch.column("_text").to_pylist()
-            seeds = np.asarray(batch.column("_seed").to_numpy(zero_copy_only=False), np.int64).view(np.uint64)
-            at = 0
-            for part in chunks(texts, _CHUNK):
-                units, places, counts = codec.units(part)
-                ids, n = codec.encode(units, places, counts)
-                back = codec.decode(ids, n)
-                columns = {"_id": batch.column("_id").slice(at, len(part)), "ids": _lists(ids, n), "round_trip": pa.array([a == b for a, b in zip(part, back, strict=True)])}
-                if k:
-                    codec.lattice(units)
-                    for j, s in enumerate(codec.sample(places, counts, seeds[at : at + len(part)], k)):
-                        values = [_lists(s["ids"], s["n"]), *(pa.array(np.where(s["found"], np.round(s[c], 6), 0.0)) for c in ("log_prob", "perturbed", "log_inclusion")), pa.array(s["found"])]
-                        columns[f"_s{j}"] = pa.StructArray.from_arrays(values, ["ids", "log_prob", "perturbed", "log_inclusion", "found"])
-                at += len(part)
-                yield pa.RecordBatch.from_pydict(columns)
+            for at in range(0, batch.num_rows, _ROWS):
+                yield from some(codec, batch.slice(at, _ROWS))
+
+    def some(codec: Codec, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        seeds = np.asarray(batch.column("_seed").to_numpy(zero_copy_only=False), np.int64).view(np.uint64)
+        at = 0
+        for part in chunks(batch.column("_text").to_pylist(), _CHUNK):
+            units, places, counts = codec.units(part)
+            ids, n = codec.encode(units, places, counts)
+            back = codec.decode(ids, n)
+            columns = {"_id": batch.column("_id").slice(at, len(part)), "ids": _lists(ids, n), "round_trip": pa.array([a == b for a, b in zip(part, back, strict=True)])}
+            del back
+            if k:
+                codec.lattice(units)
+                for j, s in enumerate(codec.sample(places, counts, seeds[at : at + len(part)], k)):
+                    values = [_lists(s["ids"], s["n"]), *(pa.array(np.where(s["found"], np.round(s[c], 6), 0.0)) for c in ("log_prob", "perturbed", "log_inclusion")), pa.array(s["found"])]
+                    columns[f"_s{j}"] = pa.StructArray.from_arrays(values, ["ids", "log_prob", "perturbed", "log_inclusion", "found"])
+            at += len(part)
+            yield pa.RecordBatch.from_pydict(columns)
 
     return run
 
