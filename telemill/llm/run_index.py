@@ -18,11 +18,11 @@ class RunIndex:
         self.reach, self.count = reach, len(texts)
         self.length = np.array([len(t) for t in texts], np.int64)
         self.start = np.cumsum(self.length + 1) - self.length - 1
-        data = np.frombuffer(b"\0".join([*texts, b""]), np.uint8).astype(np.int64) + 1
+        data = np.frombuffer(b"\0".join([*texts, b""]), np.uint8).astype(np.int16) + np.int16(1)
         ends = self.start + self.length
         data[ends] = 0
         n = len(data)
-        left = np.repeat(ends, self.length + 1) - np.arange(n)  # bytes up to the terminator
+        left = (np.repeat(ends, self.length + 1) - np.arange(n)).astype(np.int32)  # bytes up to the terminator
 
         # rank suffixes by ever longer starts; behind its terminator a text is empty
         longest = int(self.length.max(initial=0)) + 1
@@ -36,7 +36,7 @@ class RunIndex:
         sizes = [known]
         half[known] = rank
         while known < longest:
-            code = rank * (n + 1) + self._at(rank, left, known)
+            code = rank.astype(np.int64) * (n + 1) + self._at(rank, left, known)
             order, rank = self._ranked(code)
             known *= 2
             sizes.append(known)
@@ -66,15 +66,15 @@ class RunIndex:
 
     @staticmethod
     def _ranked(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.argsort(code)
+        order = np.argsort(code).astype(np.int32)
         ordered = code[order]
-        rank = np.zeros(len(code), np.int64)
+        rank = np.zeros(len(code), np.int32)
         rank[order] = np.cumsum(np.concatenate([[0], ordered[1:] != ordered[:-1]])) + 1
         return order, rank
 
     @staticmethod
     def _at(rank: np.ndarray, left: np.ndarray, by: int) -> np.ndarray:
-        out = np.zeros(len(rank), np.int64)
+        out = np.zeros(len(rank), np.int32)
         ok = np.flatnonzero(left >= by)
         out[ok] = rank[ok + by]
         return out

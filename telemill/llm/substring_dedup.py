@@ -37,7 +37,7 @@ from telemill.llm.shingles import chunks, mix
 
 REACH, GRAM = 100, 24
 WIDTH = REACH - GRAM + 1
-HOT, INDEX_BYTES, MAX_BROADCAST, CHUNK = 50_000, 3 << 20, 200_000, 1 << 20
+HOT, INDEX_BYTES, MAX_BROADCAST, CHUNK = 50_000, 1 << 20, 200_000, 1 << 20
 _BYTE = np.random.default_rng(99).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
