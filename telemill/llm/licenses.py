@@ -54,6 +54,19 @@ SENTENCES = {
     "this source code form is subject to the terms of the mozilla public license v 2 0": "mpl2-grant",
     "all rights reserved copyright": "reserved",
 }
+# fixed values: units that the cut makes of official notices with marks inside a sentence, and further official wordings
+NOTICES = {
+    "this program is free software": "gpl-free",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version": "gpl3-terms",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version": "gpl2-terms",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation": "gpl-published",
+    "either version 3 of the license or at your option any later version": "gpl3-either",
+    "either version 2 of the license or at your option any later version": "gpl2-either",
+    "this program is distributed in the hope that it will be useful but without any warranty": "gpl-hope",
+    "without even the implied warranty of merchantability or fitness for a particular purpose": "gpl-implied",
+    "this work is licensed under a creative commons attribution sharealike 4 0 international license": "cc-by-sa4",
+    "the mit license mit": "mit-title",
+}
 # fixed values: a licence and the ordered identifiers that state it
 RULES = [
     ("Apache-2.0", ["apache2-grant", "apache-comply", "apache-copy", "apache-as-is", "apache-limits"]),
@@ -76,6 +89,13 @@ RULES = [
     ("BSD-3-Clause", ["bsd3-short"]),
     ("MPL-2.0", ["mpl2-grant"]),
 ]
+NOTICE_RULES = [
+    (f"GPL-{v}.0-or-later", free + terms + warranty)
+    for v in (3, 2)
+    for terms in ([f"gpl{v}-terms"], ["gpl-published", f"gpl{v}-either"])
+    for free in (["gpl-free"], [])
+    for warranty in (["gpl-hope", "gpl-implied", "gpl-details"], [])
+]
 # fixed values: every known sentence holds one of these
 KEYWORDS = ("licen", "copyright", "permission", "warrant", "redistribut", "as is", "free software")
 
@@ -84,15 +104,16 @@ _CUT = "\x01"
 
 def unmatchable() -> list[str]:
     """Known sentences that no keyword would let through; must be empty."""
-    return [s for s in SENTENCES if not any(k in s for k in KEYWORDS)]
+    return [s for s in SENTENCES | NOTICES if not any(k in s for k in KEYWORDS)]
 
 
 def _cut(text: Column) -> Column:
-    return F.split(F.regexp_replace(text, "([.!?;:])\\s+", f"$1{_CUT}"), _CUT)
+    """Cut behind sentence marks; the point of "v. 2.0" is none."""
+    return F.split(F.regexp_replace(text, "(?!(?<=\\bv)\\.\\s+\\d)([.!?;:])\\s+", f"$1{_CUT}"), _CUT)
 
 
 def _identify(units: Column) -> Column:
-    known = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
+    known = F.create_map(*[F.lit(x) for pair in (SENTENCES | NOTICES).items() for x in pair])
     plain = lambda u: F.trim(F.regexp_replace(u, "[^a-z0-9\\x80-\\x{10FFFF}]+", " "))
     return F.filter(F.transform(units, lambda u: F.element_at(known, plain(u))), lambda x: x.isNotNull())
 
@@ -108,7 +129,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     rows = rows.select("_id", F.when(F.col("_low") == "", none).otherwise(lines).alias("_lines"), F.when(F.col("_low") == "", none).otherwise(wrapped).alias("_wrapped"))
     rows = rows.select("_id", F.when(F.size("_wrapped") > F.size("_lines"), F.col("_wrapped")).otherwise(F.col("_lines")).alias("_ids"))
     rows = rows.withColumn("_told", F.concat(F.lit("|"), F.array_join("_ids", "|"), F.lit("|")))
-    hits = F.array(*[F.when(F.contains("_told", F.lit("|" + "|".join(ids) + "|")), F.struct(F.lit(name).alias("name"), F.array(*map(F.lit, ids)).alias("ids"))) for name, ids in RULES])
+    hits = F.array(*[F.when(F.contains("_told", F.lit("|" + "|".join(ids) + "|")), F.struct(F.lit(name).alias("name"), F.array(*map(F.lit, ids)).alias("ids"))) for name, ids in RULES + NOTICE_RULES])
     rows = rows.withColumn("_hits", F.filter(hits, lambda x: x.isNotNull()))
     used = F.flatten(F.transform("_hits", lambda x: x["ids"]))
     return rows.select(

@@ -189,6 +189,56 @@ def test_licenses(spark):
     assert licenses.scan(empty(spark)).count() == 0 and not licenses.unmatchable()
 
 
+GPL = """This program is free software{mark} you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation{comma} either version {version} of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details."""
+OFFICIAL = {
+    "GPL-3.0-or-later": GPL.format(mark=":", comma=",", version=3),
+    "GPL-2.0-or-later": GPL.format(mark=";", comma=";", version=2),
+    "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
+    "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.""",
+    "BSD": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.""",
+    "CC-BY-4.0": "This work is licensed under a Creative Commons\nAttribution 4.0 International License.",
+    "CC-BY-NC-4.0": "This work is licensed under a Creative Commons\nAttribution-NonCommercial 4.0 International License.",
+    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons\nAttribution-ShareAlike 4.0 International License.",
+}
+
+
+def test_official_headers(spark):
+    """Wrapped as published, in comments, and each paragraph in one line."""
+    ways = [lambda t: t, lambda t: "/*\n" + "\n".join(" * " + x for x in t.split("\n")) + "\n */\nint main;", lambda t: "\n".join(" ".join(x.split()) for x in t.split("\n\n"))]
+    rows = {10 * i + k: (name, way(text)) for i, (name, text) in enumerate(OFFICIAL.items()) for k, way in enumerate(ways)}
+    got = {r.doc_id: r for r in licenses.scan(odd_rows(spark, [(k, t, "s") for k, (_, t) in rows.items()])).collect()}
+    assert {k: r.licenses for k, r in got.items()} == {k: name for k, (name, _) in rows.items()}
+    assert all(r.n_unmatched == 0 for k, r in got.items() if rows[k][0].startswith("GPL"))
+
+
 # decontamination
 
 
