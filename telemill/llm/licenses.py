@@ -1,9 +1,10 @@
 """License scan by sentence rules, in one projection without a shuffle.
 
 A text is cut into sentences, each is normalised and mapped to the identifier of a known licence sentence, and
-the sequence of identifiers is matched against ordered rules.  Sentences are cut in two ways, at line ends and
-sentence ends, and at sentence ends of the joined lines with comment marks removed (a wrapped notice); the way
-that recognises more sentences counts, the first one on a tie.
+the sequence of identifiers is matched against ordered rules.  Sentences are cut in three ways: at line ends and
+sentence ends; at sentence ends of the joined lines with comment marks removed (a wrapped notice); and so too, but
+with blank lines as sentence ends (a title or copyright line before the notice).  Rules are matched in each of them
+and all hits count; the identifiers told are those of the way that recognises most, the first one on a tie.
 
 A text without any of KEYWORDS cannot hold a known sentence and isn't cut.  Rules match as a run of neighbouring
 identifiers; identifiers that no matched rule uses are counted as unmatched.
@@ -125,10 +126,14 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     worth = reduce(lambda a, b: a | b, [F.contains(low, F.lit(k)) for k in KEYWORDS])
     rows = docs.select(F.col(id_col).alias("_id"), F.when(worth, low).otherwise("").alias("_low"))
     lines = _identify(_cut(F.regexp_replace("_low", "\\n", _CUT)))
-    wrapped = _identify(_cut(F.regexp_replace("_low", "\\s*\\n[\\s#*/;%-]*", " ")))
-    rows = rows.select("_id", F.when(F.col("_low") == "", none).otherwise(lines).alias("_lines"), F.when(F.col("_low") == "", none).otherwise(wrapped).alias("_wrapped"))
-    rows = rows.select("_id", F.when(F.size("_wrapped") > F.size("_lines"), F.col("_wrapped")).otherwise(F.col("_lines")).alias("_ids"))
-    rows = rows.withColumn("_told", F.concat(F.lit("|"), F.array_join("_ids", "|"), F.lit("|")))
+    joined = lambda t: _identify(_cut(F.regexp_replace(t, "\\s*\\n[\\s#*/;%-]*", " ")))
+    parted = F.regexp_replace("_low", "\\n[\\s#*/;%-]*\\n[\\s#*/;%-]*", _CUT)
+    views = {"_lines": lines, "_wrapped": joined(F.col("_low")), "_parted": joined(parted)}
+    rows = rows.select("_id", *[F.when(F.col("_low") == "", none).otherwise(view).alias(name) for name, view in views.items()])
+    best = F.when(F.size("_wrapped") > F.size("_lines"), F.col("_wrapped")).otherwise(F.col("_lines"))
+    rows = rows.withColumn("_ids", F.when(F.size("_parted") > F.greatest(F.size("_lines"), F.size("_wrapped")), F.col("_parted")).otherwise(best))
+    told = F.concat(*[x for name in views for x in (F.lit("|"), F.array_join(name, "|"), F.lit("|\n"))])
+    rows = rows.select("_id", "_ids", told.alias("_told"))
     hits = F.array(*[F.when(F.contains("_told", F.lit("|" + "|".join(ids) + "|")), F.struct(F.lit(name).alias("name"), F.array(*map(F.lit, ids)).alias("ids"))) for name, ids in RULES + NOTICE_RULES])
     rows = rows.withColumn("_hits", F.filter(hits, lambda x: x.isNotNull()))
     used = F.flatten(F.transform("_hits", lambda x: x["ids"]))

@@ -239,6 +239,32 @@ def test_official_headers(spark):
     assert all(r.n_unmatched == 0 for k, r in got.items() if rows[k][0].startswith("GPL"))
 
 
+def test_mit_file(spark):
+    """The LICENSE file as published, and a notice whose lines are all followed by a blank one."""
+    notice = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE."""
+    file = "MIT License\n\nCopyright (c) 2020 Some Body\n\n" + notice
+    rows = [(1, file, "s"), (2, "\r\n".join("# " + x for x in file.split("\n")), "s"), (3, notice.replace("\n", "\n\n"), "s"), (4, "Licensed under CC BY 4.0\nas agreed\n\n" + notice, "s")]
+    got = {r.doc_id: (r.sentences, r.licenses, r.n_unmatched) for r in licenses.scan(odd_rows(spark, rows)).collect()}
+    whole = "mit-grant|mit-notice|mit-as-is"
+    assert got == {1: ("mit-title|" + whole, "MIT", 0), 2: ("mit-title|" + whole, "MIT", 0), 3: (whole, "MIT", 0), 4: (whole, "CC-BY-4.0|MIT", 0)}
+
+
 # decontamination
 
 
