@@ -9,8 +9,9 @@ have equal anchors, so the index that holds all strings of an anchor answers exa
 2. Of equal segments the first stays and the others are wholly repeated.  A segment whose anchor has no other
    content, and stands in it once, is unique.  What is left are different segments around one anchor, and loops.
 3. These go, as text, to run-length indexes by anchor, each over about INDEX_BYTES (llm/run_index.py), through
-   which they are streamed for matching statistics.  An anchor with more than HOT different segments is routed
-   string by string instead, by the string's own hash, so that no index grows with it.
+   which they are streamed for matching statistics.  An anchor with more than HOT different segments goes into
+   none: its strings are known by 128 bits of hash, the first of each is found by aggregation, and the others are
+   marked by a join that deals out the rows of frequent strings, so that no task grows with anchor or string.
 4. The marks of a text are joined into runs, and its remaining bytes hashed.  Texts without marks never move.
 
 Exact copies of a whole text are settled beforehand: all but the first lose every byte where there are REACH.
@@ -126,7 +127,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
-    """The bytes of the segments asked for; those of hot anchors string by string."""
+    """The bytes of the segments asked for."""
     for batch in batches:
         wanted = batch.column("_asked").to_pylist()
         anchors, oids, hashes, places, contents = [], [], [], [], []
@@ -135,18 +136,25 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
             raw = text.encode("utf-8", "surrogatepass")
             for one in asked:
                 start, starts = divmod(one["pos"], 128)
-                cuts = [(start, starts, one["anchor"])]
-                if one["hot"]:
-                    cuts = [(s, 1, int.from_bytes(hashlib.blake2b(raw[s : s + REACH], digest_size=8).digest(), "little", signed=True)) for s in range(start, start + starts)]
-                for s, k, anchor in cuts:
-                    anchors.append(anchor)
-                    oids.append(oid)
-                    hashes.append(h)
-                    places.append(s)
-                    contents.append(raw[s : s + k + REACH - 1])
+                anchors.append(one["anchor"])
+                oids.append(oid)
+                hashes.append(h)
+                places.append(start)
+                contents.append(raw[start : start + starts + REACH - 1])
         yield pa.RecordBatch.from_pydict({"anchor": pa.array(anchors, pa.int64()), "_oid": pa.array(oids, pa.int64()), "_h": pa.array(hashes, pa.int64()), "start": pa.array(places, pa.int64()), "bytes": pa.array(contents, pa.binary())})
 
 
+def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hash and place of each string of the segments asked for."""
+    for batch in batches:
+        rows = zip(batch.column("_text").to_pylist(), batch.column("_oid").to_pylist(), batch.column("_h").to_pylist(), batch.column("_asked").to_pylist(), strict=True)
+        for text, oid, h, asked in rows:
+            raw = text.encode("utf-8", "surrogatepass")
+            places = [s for one in asked for s in range(one["pos"] // 128, one["pos"] // 128 + one["pos"] % 128)]
+            digests = [hashlib.blake2b(raw[s : s + REACH], digest_size=16).digest() for s in places]
+            yield pa.RecordBatch.from_pydict({"string": pa.array(digests, pa.binary()), "_oid": pa.array([oid] * len(places), pa.int64()), "_h": pa.array([h] * len(places), pa.int64()), "start": pa.array(places, pa.int64())})
+
+
 def _stream(group: pd.DataFrame) -> pd.DataFrame:
     """Marks of the segments of one index: runs of bytes that are repeated."""
     group = group.sort_values(["_oid", "_h", "start"], kind="stable").drop_duplicates(["_oid", "_h", "start"])
@@ -215,15 +223,26 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = save(found, "segments")
 
     # segments that share an anchor, through run-length indexes
-    open_ = found.where("not whole")
-    indexes = max(1, open_.count() * (REACH + WIDTH // 2) // INDEX_BYTES)
-    asked = open_.groupBy("_oid", "_h").agg(F.collect_list(F.struct("pos", "anchor", "hot")).alias("_asked"))
-    touched = _small(save(open_.select("_oid", "_h").distinct(), "asked-keys"))
-    some = rows.join(touched, ["_oid", "_h"], "left_semi") if touched is not None else rows
-    parts = some.join(asked, ["_oid", "_h"]).mapInArrow(_extract, "anchor long, _oid long, _h long, start long, bytes binary")
+    def asked_of(open_: DataFrame) -> DataFrame:
+        asked = open_.groupBy("_oid", "_h").agg(F.collect_list(F.struct("pos", "anchor")).alias("_asked"))
+        touched = _small(save(open_.select("_oid", "_h").distinct(), "asked-keys"))
+        some = rows.join(touched, ["_oid", "_h"], "left_semi") if touched is not None else rows
+        return some.join(asked, ["_oid", "_h"])
+
+    light, hot = found.where("not whole and not hot"), found.where("not whole and hot")
+    indexes = max(1, light.count() * (REACH + WIDTH // 2) // INDEX_BYTES)
+    parts = asked_of(light).mapInArrow(_extract, "anchor long, _oid long, _h long, start long, bytes binary")
     parts = parts.withColumn("_index", F.pmod(F.xxhash64("anchor"), F.lit(indexes)))
     streamed = save(parts.groupBy("_index").applyInPandas(_stream, "_oid long, _h long, a long, b long"), "marks")
 
+    # segments of hot anchors, string by string
+    if not hot.isEmpty():
+        strings = save(asked_of(hot).mapInArrow(_strings, "string binary, _oid long, _h long, start long"), "strings")
+        firsts = strings.groupBy("string").agg(F.min(F.struct("_oid", "_h", "start")).alias("_first"), F.count("*").alias("_times")).where("_times > 1")
+        spread = F.unhex(F.sha2(F.concat_ws(":", "_oid", "_h", "start"), 256))
+        later = join_groups(strings, firsts, "string", "_times", strings.count(), spread).where(F.col("_first") != F.struct("_oid", "_h", "start"))
+        streamed = streamed.union(save(later.select("_oid", "_h", F.col("start").alias("a"), (F.col("start") + REACH).alias("b")), "string-marks"))
+
     # the bytes that stay
     begin = F.expr("pos div 128")
     marks = found.where("whole").select("_oid", "_h", begin.alias("a"), (begin + F.col("pos") % 128 + (REACH - 1)).alias("b")).union(streamed)

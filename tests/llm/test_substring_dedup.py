@@ -74,3 +74,22 @@ def test_ties_and_nulls(spark):
     assert got == sorted([(None, 200, 0), (None, 0, 0), (5, n, 200), (5, n, n), (7, n + 1, n)], key=str)
     assert substring_dedup.remove_repeats(frame.where("doc_id = 0")).count() == 0
     assert {bytes(r.kept) for r in substring_dedup.remove_repeats(frame, keep_bytes=True).where("doc_id = 7").collect()} == {b"q"}
+
+
+def test_no_index_grows_with_a_string(spark, monkeypatch):
+    """A passage in many different surroundings: none of its strings meets in one index more than HOT times."""
+    monkeypatch.setattr(substring_dedup, "HOT", 20)
+    plain = substring_dedup._stream
+
+    def guarded(group):
+        strings = [b[k : k + R] for b in group["bytes"] for k in range(len(b) - R + 1)]
+        assert max(map(strings.count, set(strings)), default=0) <= 20
+        return plain(group)
+
+    monkeypatch.setattr(substring_dedup, "_stream", guarded)
+    random.seed(4)
+    noise = lambda n: "".join(random.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    passage = noise(130)
+    rows = [(k, noise(150) + passage + noise(150)) for k in range(60)] + [(99, noise(20) + passage * 3)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    assert told(substring_dedup.remove_repeats(frame)) == brute(rows)
