@@ -22,8 +22,10 @@ than k segmentations gives them all, each with log_inclusion 0; equal keys and t
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +39,20 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 _UNIT = re.compile(" +[^ ]*")
 _B = np.uint64(0x9E3779B97F4A7C15)
-#: Characters worked on together, and rows of a batch made text at a time: what bounds a worker's memory.
-_CHUNK, _ROWS = 5 << 18, 500
+#: Characters worked on together, rows of a batch made text at a time and ids of units kept: what bounds a
+#: worker's memory.
+_CHUNK, _ROWS, _KEEP = 1 << 18, 500, 3 << 18
+
+
+class _Seen(dict):
+    """Numbers what it is asked for in order of first appearance; ``fresh`` is what was new."""
+
+    fresh: list[str]
+
+    def __missing__(self, key: str) -> int:
+        self[key] = n = len(self)
+        self.fresh.append(key)
+        return n
 
 
 def _uniform(*parts: np.ndarray) -> np.ndarray:
@@ -56,9 +70,20 @@ def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 class Codec:
-    """Encoder, decoder and sampler of one model, given as bytes."""
+    """Encoder, decoder and sampler of one model, given as bytes.
 
-    def __init__(self, model: bytes):
+    Units once met are kept, with their ids and lattices, in a table of up to ``keep`` ids; the units of some
+    texts that it has no room for stay until the next texts.
+    """
+
+    _KINDS = {
+        "unit": {"unit_at": np.int64, "unit_len": np.int64, "id_at": np.int64, "id_n": np.int64},
+        "id": {"unit_ids": np.int32},
+        "place": {"chars": np.uint32, "bytes_here": np.int8, "first": np.int32, "degree": np.int8},
+        "edge": {"cum": np.float32, "log_prob": np.float64, "log_rest": np.float32, "size": np.int8, "piece": np.int32},
+    }
+
+    def __init__(self, model: bytes, keep: int = _KEEP):
         import sentencepiece
 
         self.sp = sp = sentencepiece.SentencePieceProcessor(model_proto=model)
@@ -80,46 +105,103 @@ class Codec:
         self.weight = np.full(n, -np.log(len(order) + 2.0))
         self.weight[order] = -np.log(np.arange(len(order)) + 2.0)
         self.weight -= np.log(np.exp(self.weight[order]).sum())
-        chars = [np.array([ord(c) for c in sp.id_to_piece(k)], np.uint64) for k in plain]
-        self.width = max(map(len, chars))
-        h = np.array([self._hash(c) for c in chars], np.uint64)
-        by = np.argsort(h)
+        starts = [self._starts(np.array([ord(c) for c in sp.id_to_piece(k)], np.uint64)) for k in plain]
+        h = np.array([x[-1] for x in starts], np.uint64)
+        slot = (h * _B) >> np.uint64(44)
+        by = np.argsort(slot)[::-1]
         self.hash, self.id = h[by], np.array(plain, np.int32)[by]
-        self.maybe = np.zeros(1 << 20, bool)
-        self.maybe[(self.hash * _B) >> np.uint64(44)] = True
+        self.where, self.more = np.full(1 << 20, -1, np.int32), np.zeros(1 << 20, bool)
+        self.where[slot[by]] = np.arange(len(by))  # the last piece of a slot
+        self.crowd = int(np.bincount(slot.astype(np.int64)).max())
+        self.more[(np.array([h for x in starts for h in x[:-1]], np.uint64) * _B) >> np.uint64(44)] = True  # starts of longer pieces
+        self.keep, self.known = keep, _Seen()
+        self.filled, self.buffers = dict.fromkeys(self._KINDS, 0), {c: np.empty(1 << 12, kind) for columns in self._KINDS.values() for c, kind in columns.items()}
+        self.kept = (0, dict(self.filled))
+        self._expose()
 
     @staticmethod
-    def _hash(chars: np.ndarray) -> np.uint64:
-        back = np.cumprod(np.full(len(chars), _B, np.uint64))[::-1]
-        return (mix(chars + np.uint64(1)) * np.concatenate([back[1:], np.ones(1, np.uint64)])).sum(dtype=np.uint64)
-
-    # encoding and decoding
+    def _starts(chars: np.ndarray) -> list[int]:
+        """Hashes of the first one, two, ... characters."""
+        out, h = [], 0
+        for c in mix(chars + np.uint64(1)).tolist():
+            h = (h * int(_B) + c) & 0xFFFFFFFFFFFFFFFF
+            out.append(h)
+        return out
 
-    def units(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Distinct units, the unit at each place, and how many places each text has."""
-        seen: dict[str, int] = {}
-        places, counts = [], []
+    # the table of units
+
+    def _append(self, kind: str, **columns: np.ndarray) -> None:
+        at = self.filled[kind]
+        for name, values in columns.items():
+            end, buffer = at + len(values), self.buffers[name]
+            if end > len(buffer):
+                self.buffers[name] = np.empty(end + end // 4, buffer.dtype)
+                self.buffers[name][:at] = buffer[:at]
+            self.buffers[name][at:end] = values
+        self.filled[kind] = end
+
+    def _expose(self) -> None:
+        for kind, columns in self._KINDS.items():
+            for name in columns:
+                setattr(self, name, self.buffers[name][: self.filled[kind]])
+
+    def units(self, texts: list[str], lattice: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """The unit at each place and how many places each text has; units not met before join the table."""
+        if self.filled["id"] > self.keep:  # forget what came after the table was full
+            n, filled = self.kept
+            while len(self.known) > n:
+                self.known.popitem()
+            self.filled = dict(filled)
+        known, places, counts = self.known, [], []
+        known.fresh = fresh = []
         for text in texts:
-            found = _UNIT.findall(" " + text) if text else []
+            # without the space that begins each; spaces in a row, or at an end, begin a unit together
+            if "  " in text or text[:1] == " " or text[-1:] == " ":
+                found = [u[1:] for u in _UNIT.findall(" " + text)]
+            else:
+                found = text.split(" ") if text else []
             counts.append(len(found))
-            places += [seen.setdefault(u, len(seen)) for u in found]
-        return list(seen), np.array(places, np.int64), np.array(counts, np.int64)
+            places += map(known.__getitem__, found)
+        if fresh:
+            fresh = [" " + u for u in fresh]
+            zeros = np.zeros(len(fresh), np.int64)
+            lattices = self._lattice(fresh) if lattice else {"unit_at": zeros, "unit_len": zeros}
+            self._append("unit", **lattices, **self._encode(fresh))
+            self._expose()
+        if self.filled["id"] <= self.keep:
+            self.kept = (len(known), dict(self.filled))
+        return np.array(places, np.int64), np.array(counts, np.int64)
+
+    def _encode(self, units: list[str]) -> dict[str, np.ndarray]:
+        """Ids of the units: many of them in one text, whose ids are told apart by their bytes; units of spaces alone one by one."""
+        worded = np.fromiter((u[-1] != " " for u in units), bool, len(units))
+        words = list(itertools.compress(units, worded))
+        flat = [np.zeros(0, np.int32)]
+        for at in range(0, len(words), 4096):
+            flat.append(np.array(self.sp.encode("".join(words[at : at + 4096])[1:]), np.int32))
+        flat = np.concatenate(flat)
+        size = np.zeros(len(units), np.int64)
+        raw = np.fromiter((len(w.encode("utf-8", "surrogatepass")) for w in words), np.int64, len(words))
+        ends = np.searchsorted(np.cumsum(self.piece_len[flat]), np.cumsum(raw), "right")
+        size[worded] = np.diff(ends, prepend=0)
+        blank = {k: self.sp.encode(units[k][1:]) or [self.sp.piece_to_id(SPACE)] for k in np.flatnonzero(~worded).tolist()}
+        size[list(blank)] = [len(x) for x in blank.values()]
+        start = np.cumsum(size) - size
+        ids = np.empty(int(size.sum()), np.int32)
+        ids[_ranges(start[worded], size[worded])] = flat
+        for k, x in blank.items():
+            ids[start[k] : start[k] + size[k]] = x
+        at = self.filled["id"] + start
+        self._append("id", unit_ids=ids)
+        return {"id_at": at, "id_n": size}
 
-    def encode(self, units: list[str], places: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts in a row, and how many each has."""
-        ids = self.sp.encode([u[1:] for u in units], num_threads=1)
-        alone = self.sp.piece_to_id(SPACE)  # a single space at a text's end
-        ids = [i if u != " " else [alone] for i, u in zip(ids, units, strict=True)]
-        size = np.array([len(i) for i in ids], np.int64)
-        flat = np.array([x for i in ids for x in i], np.int32)
-        return self._gather(flat, size, places, counts)
+    # encoding and decoding
 
-    @staticmethod
-    def _gather(flat: np.ndarray, size: np.ndarray, places: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.cumsum(size) - size
-        n = size[places]
+    def encode(self, places: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and how many each has."""
+        n = self.id_n[places]
         ends = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(counts)])]
-        return flat[_ranges(at[places], n)], np.diff(ends)
+        return self.unit_ids[_ranges(self.id_at[places], n)], np.diff(ends)
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[str]:
         """Texts of consecutive runs of ids."""
@@ -130,38 +212,49 @@ class Codec:
 
     # the lattice of the distinct units
 
-    def lattice(self, units: list[str]) -> None:
-        """The choices at each place of a unit, the likeliest first: cumulative and own probability, length, piece.
-
-        A place's choices stand from ``first`` on; piece -1 stands for a character spelt in bytes.
-        """
-        raw = "".join(units).replace(" ", SPACE)
-        self.chars = chars = np.frombuffer(raw.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-        length = np.fromiter(map(len, units), np.int64, len(units))
-        self.unit_at, self.unit_len = np.cumsum(length) - length, length
+    def _pieces(self, chars: np.ndarray, left: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        """(length, places, pieces) that the characters spell, without crossing from one unit into the next."""
         n = len(chars)
-        left = (np.repeat(np.cumsum(length), length) - np.arange(n)).astype(np.int32)
-        mixed, rolling, here = mix(chars + np.uint64(1)), np.zeros(n, np.uint64), np.arange(n, dtype=np.int32)
-        found, degree_of = [], np.zeros(n, np.int32)
-        for k in range(self.width):
-            if k:
-                go = left[here] > k
-                here, rolling = here[go], rolling[go]
+        mixed, rolling, here, found, k = mix(chars + np.uint64(1)), np.zeros(n, np.uint64), np.arange(n, dtype=np.int32), [], 0
+        while len(here):
             rolling = rolling * _B + mixed[here + k]
-            likely = np.flatnonzero(self.maybe[(rolling * _B) >> np.uint64(44)])
-            asked = rolling[likely]
-            at = np.minimum(np.searchsorted(self.hash, asked), len(self.hash) - 1)
+            slot = (rolling * _B) >> np.uint64(44)
+            at = self.where[slot]
+            likely = np.flatnonzero(at >= 0)
+            asked, at = rolling[likely], at[likely]
             hit = self.hash[at] == asked
+            for _ in range(self.crowd - 1):
+                miss = np.flatnonzero(~hit)
+                at[miss] -= 1
+                hit[miss] = self.hash[at[miss]] == asked[miss]
             places, ids = here[likely[hit]], self.id[at[hit]]
             if k == 0:
                 spelt = np.ones(n, bool)
                 spelt[places] = False
                 spelt = np.flatnonzero(spelt).astype(np.int32)
                 found.append((1, spelt, np.full(len(spelt), -1, np.int32)))
-                degree_of[spelt] = 1
             found.append((k + 1, places, ids))
+            k += 1
+            go = self.more[slot] & (left[here] > k)
+            here, rolling = here[go], rolling[go]
+        return found
+
+    def _lattice(self, units: list[str]) -> dict[str, np.ndarray]:
+        """The choices at each place of a unit, the longest first: cumulative probability, logarithms of its own and of
+        all the others' together, length, piece.
+
+        A place's choices stand from ``first`` on; piece -1 stands for a character spelt in bytes.
+        """
+        length = np.fromiter(map(len, units), np.int64, len(units))
+        chars = np.frombuffer("".join(units).replace(" ", SPACE).encode("utf-32-le", "surrogatepass"), np.uint32)
+        base, edge_base = self.filled["place"], self.filled["edge"]
+        n = len(chars)
+        left = (np.repeat(np.cumsum(length), length) - np.arange(n)).astype(np.int32)
+        found = self._pieces(chars.astype(np.uint64), left)
+        bytes_here = 1 + (chars >= 0x80).astype(np.int8) + (chars >= 0x800) + (chars >= 0x10000)
+        degree_of = np.zeros(n, np.int32)
+        for _, places, _ in found:
             degree_of[places] += 1
-        self.bytes_here = (1 + (chars >= 0x80).astype(np.int8) + (chars >= 0x800) + (chars >= 0x10000)).astype(np.int32)
 
         # backward log-sums, place by place from the units' ends; places stand in that order
         longest = int(left.max(initial=0))
@@ -171,17 +264,16 @@ class Codec:
         n_edges = int(degree.sum())
         fill = np.empty(n, np.int32)
         fill[owner] = first
-        size, piece, to = np.empty(n_edges, np.int32), np.empty(n_edges, np.int32), np.empty(n_edges, np.int32)
-        weight = np.empty(n_edges)
-        for k, places, ids in found:
+        size, piece, to = np.empty(n_edges, np.int8), np.empty(n_edges, np.int32), np.empty(n_edges, np.int32)
+        score = np.empty(n_edges)
+        for k, places, ids in reversed(found):
             at = fill[places]
             size[at], piece[at], to[at] = k, ids, np.where(left[places] == k, n, places + k)
-            weight[at] = self.weight[ids] if len(ids) and ids[0] >= 0 else self.weight[self.byte_id[0]] * self.bytes_here[places]
+            score[at] = self.weight[ids] if len(ids) and ids[0] >= 0 else self.weight[self.byte_id[0]] * bytes_here[places]
             fill[places] += 1
-        del mixed, rolling, here, found
+        del found
         steps = np.searchsorted(left[owner], np.arange(1, longest + 2))
         sums = np.zeros(n + 1)
-        score = weight
         for a, b in zip(steps[:-1], steps[1:], strict=True):
             if a == b:
                 continue
@@ -192,38 +284,34 @@ class Codec:
             total = top + np.log(np.add.reduceat(np.exp(part - np.repeat(top, deg)), cut))
             sums[owner[a:b]] = total
             score[lo:hi] = part - np.repeat(total, deg)
+        del to, sums
 
-        # the likeliest choice first, the others by length
+        # what the others have together is summed, never taken from one
         chance = np.exp(score)
-        group = np.repeat(np.arange(n, dtype=np.int32), degree)
-        by_size = np.arange(n_edges, dtype=np.int32) - first[group]
-        best = np.flatnonzero(score == np.maximum.reduceat(score, first)[group]) if n_edges else first
-        best = best[np.diff(group[best], prepend=-1) > 0]
-        is_best, best_size = np.zeros(n_edges, bool), by_size[best][group]
-        is_best[best] = True
-        rank = np.where(is_best, 0, by_size + (by_size < best_size))
-        others = np.cumsum(np.where(is_best, 0.0, chance))
-        others -= np.concatenate([[0.0], others])[first][group]
-        running = chance[best][group] + np.where(is_best, 0.0, others)
-        last = np.flatnonzero(rank == degree[group] - 1)
-        running[last] = 1.0
-        del others, by_size, score, weight
-        to = first[group] + rank
-        self.cum, self.prob = np.empty(n_edges, np.float32), np.empty(n_edges, np.float32)
-        self.size, self.piece = np.empty(n_edges, np.int32), np.empty(n_edges, np.int32)
-        self.cum[to], self.prob[to], self.size[to], self.piece[to] = running, chance, size, piece
-        self.first, self.degree = np.zeros(n, np.int64), np.ones(n, np.int64)
-        self.first[owner], self.degree[owner] = first, degree
+        total = np.cumsum(chance)
+        cum = total - np.repeat(total[first] - chance[first], degree)
+        cum[first + degree - 1] = 1.0
+        best = np.flatnonzero(chance > 0.5)
+        chance[best] = 0.0
+        with np.errstate(divide="ignore"):
+            log_rest = np.log1p(-chance)
+            log_rest[best] = np.log(np.repeat(np.add.reduceat(chance, first), degree)[best]) if n_edges else 0.0
+        self._append("edge", cum=cum, log_prob=score, log_rest=log_rest, size=size, piece=piece)
+        first_of, degree_of = np.empty(n, np.int32), degree_of.astype(np.int8)
+        first_of[owner] = first + edge_base
+        self._append("place", chars=chars, bytes_here=bytes_here, first=first_of, degree=degree_of)
+        return {"unit_at": base + np.cumsum(length) - length, "unit_len": length}
 
     # sampling
 
-    def _walk(self, places, row, place, seed, sample: int, old=None):
-        """Complete one path per text: (offset of each unit's first choice, place in the lattice and choice).
+    def _walk(self, places, row, place, seed, sample: int, leave=None):
+        """Complete one path per unit place: (number of choices of each, and of all choices the place in the lattice and which).
 
-        ``old`` is a parent's path (offset, choices) and where each row leaves it (place, step, choice).
+        ``leave`` is, by unit place, the step at which it leaves a given path, the choice it takes there, and that
+        path: (step, choice, offset, choices).
         """
-        start, left = self.unit_at[places], self.unit_len[places].copy()
-        active, step, at = np.arange(len(places)), 0, start.copy()
+        left = self.unit_len[places].copy()
+        active, step, at = np.arange(len(places)), 0, self.unit_at[places]
         key = mix(seed[row] + mix(np.array([sample], np.uint64))) + place.astype(np.uint64) * _B
         got = []
         while len(active):
@@ -234,32 +322,44 @@ class Codec:
             while len(todo):
                 choice[todo] += 1
                 todo = todo[u[todo] >= self.cum[choice[todo]]]
-            if old is not None:
-                (offset, choices), (b_place, b_step, b_choice) = old
-                r, p = row[active], place[active]
-                same = p == b_place[r]
-                copied = (p < b_place[r]) | (same & (step < b_step[r]))
-                choice = np.where(copied, choices[np.minimum(offset[active] + step, len(choices) - 1)], choice)
-                choice = np.where(same & (step == b_step[r]), b_choice[r], choice)
-            size = self.size[choice]
+            if leave is not None:
+                when, other, offset, choices = leave
+                given = when[active]
+                choice = np.where(step < given, choices[np.minimum(offset[active] + step, len(choices) - 1)], np.where(step == given, other[active], choice))
+            size = self.size[choice].astype(np.int64)
             got.append((active, a, choice))
             at[active] = a + size
             left[active] -= size
             active, step = active[left[active] > 0], step + 1
-        n = np.bincount(np.concatenate([g[0] for g in got] or [np.zeros(0, np.int64)]), minlength=len(places))
+        n = np.zeros(len(places), np.int64)
+        for active, _, _ in got:
+            n[active] += 1
         offset = np.cumsum(n) - n
         path_at, path_choice = np.zeros(n.sum(), np.int64), np.zeros(n.sum(), np.int64)
         for step, (active, a, choice) in enumerate(got):
             to = offset[active] + step
             path_at[to], path_choice[to] = a, choice
-        return offset, path_at, path_choice
+        return n, path_at, path_choice
+
+    def _rewalk(self, places, row, place, seed, sample: int, old, leave):
+        """A path that follows ``old`` (by unit place its number of choices and their offset, then all places and choices) up to where ``leave`` (place, step, choice by
+        row) branches off, and is drawn from there on."""
+        (n, offset, at, choices), (b_place, b_step, b_choice) = old, leave
+        walk = np.flatnonzero(place >= b_place[row])
+        r = row[walk]
+        when = np.where(place[walk] == b_place[r], b_step[r], -1)
+        n_new, at_new, choice_new = self._walk(places[walk], r, place[walk], seed, sample, (when, b_choice[r], offset[walk], choices))
+        n, offset = n.copy(), offset.copy()
+        n[walk], offset[walk] = n_new, len(at) + np.cumsum(n_new) - n_new
+        take = _ranges(offset, n)
+        return n, np.concatenate([at, at_new])[take], np.concatenate([choices, choice_new])[take]
 
     def sample(self, places: np.ndarray, counts: np.ndarray, seeds: np.ndarray, k: int) -> list[dict]:
         """k rounds; each has, by text: ids (in a row), n, log_prob, perturbed, log_inclusion, found."""
         n = len(counts)
         row, place = np.repeat(np.arange(n), counts), _ranges(np.zeros(n, np.int64), counts)
         value = -np.log(-np.log(_uniform(seeds, np.full(n, 77, np.uint64))))
-        paths = [self._path(places, row, place, seeds, 0, value, np.ones(n, bool))]
+        paths = [self._path(self._walk(places, row, place, seeds, 0), row, seeds, 0, value, np.ones(n, bool))]
         for s in range(1, k + 1):
             best = np.stack([p["best"] for p in paths])
             value = best.max(0)
@@ -267,30 +367,28 @@ class Codec:
                 paths.append(self._branch(paths, best.argmax(0), value, places, row, place, seeds, s))
         return self._finish(paths, value)
 
-    def _path(self, places, row, place, seeds, s: int, value, alive, old=None, cut=None, gone=None) -> dict:
-        """Walk, and give every choice of the path the priority of the paths that leave it there.
+    def _path(self, walked, row, seeds, s: int, value, alive, cut=None, log_left=None) -> dict:
+        """Give every choice of a path the priority of the paths that leave it there.
 
-        Choices before ``cut`` belong to an earlier path; at ``cut`` the choices of probability ``gone`` are taken.
+        Choices before ``cut`` belong to an earlier path; at ``cut`` the choices not yet taken weigh ``log_left``.
         """
-        offset, at, taken_here = self._walk(places, row, place, seeds, s, old)
-        token_row = np.repeat(row, np.diff(np.append(offset, len(at))))
+        n, at, taken_here = walked
+        token_row = np.repeat(row, n)
         first = np.concatenate([[0], np.cumsum(np.bincount(token_row, minlength=len(value)))])
-        chance = self.prob[taken_here].astype(np.float64)
-        log_chance = np.log(np.maximum(chance, 1e-300))
-        running = np.concatenate([[0.0], np.cumsum(log_chance)])
+        running = np.concatenate([[0.0], np.cumsum(self.log_prob[taken_here])])
         base = running[first[:-1]]
-        rest = np.where(self.degree[at] == 1, 0.0, 1.0 - chance)
+        log_rest = self.log_rest[taken_here].astype(np.float64)
         token = np.arange(len(at)) - first[:-1][token_row]
         if cut is not None:
             own = np.flatnonzero(alive)
-            rest[first[own] + cut[own]] -= gone[own]
+            log_rest[first[own] + cut[own]] = log_left[own]
         draw = -np.log(_uniform(seeds[token_row] + np.uint64((1000 + s) << 32), token.astype(np.uint64)))
-        with np.errstate(divide="ignore", over="ignore", invalid="ignore"):
-            phi = running[:-1] - base[token_row] + np.log(np.where(rest > 1e-6, rest, 0.0))
-            priority = np.where(np.isfinite(phi), -np.logaddexp(-value[token_row], np.log(draw) - phi), -np.inf)
-        if cut is not None:
-            priority[token < cut[token_row]] = -np.inf
-        out = {"offset": offset, "at": at, "choice_at": taken_here, "first": first, "row": token_row, "priority": priority, "value": value, "alive": alive, "log_prob": running[first[1:]] - base, "taken": {}}
+        phi = running[:-1] - base[token_row] + log_rest
+        open_ = np.isfinite(phi) if cut is None else np.isfinite(phi) & (token >= cut[token_row])
+        priority = np.full(len(at), -np.inf)
+        priority[open_] = -np.logaddexp(-value[token_row[open_]], np.log(draw[open_]) - phi[open_])
+        offset = np.cumsum(n) - n
+        out = {"n": n, "offset": offset, "at": at, "choice_at": taken_here, "first": first, "row": token_row, "priority": priority, "value": value, "alive": alive, "log_prob": running[first[1:]] - base, "taken": {}}
         self._best(out)
         return out
 
@@ -314,7 +412,8 @@ class Codec:
         b_place, b_step = np.full(n, 1 << 60), np.zeros(n, np.int64)
         most = int(self.degree.max(initial=1))
         taken = np.zeros((most, n), bool)
-        offset, choices, shift = np.zeros(len(places), np.int64), [np.zeros(1, np.int64)], 1
+        old_n, old_at = np.zeros(len(places), np.int64), np.zeros(len(places), np.int64)
+        shift = 0
         for k, p in enumerate(paths):  # the parent's path of each text, put together from the paths so far
             mine = np.flatnonzero(alive & (which == k))
             choice = p["choice"][mine]
@@ -322,26 +421,32 @@ class Codec:
             taken[p["choice_at"][choice] - self.first[p["at"][choice]], mine] = True
             at_unit = np.searchsorted(p["offset"], choice, "right") - 1
             b_place[mine], b_step[mine] = place[at_unit], choice - p["offset"][at_unit]
-            for r in mine.tolist():
+            for r in mine.tolist() if p["taken"] else ():
                 if r in p["taken"] and p["taken"][r][0] == cut[r]:
                     taken[:, r] |= p["taken"][r][1]
             sel = (alive & (which == k))[row]
-            offset[sel] = p["offset"][sel] + shift
-            choices.append(p["choice_at"])
-            shift += len(p["choice_at"])
+            old_n[sel], old_at[sel] = p["n"][sel], p["offset"][sel] + shift
+            shift += len(p["at"])
             p["priority"][choice] = -np.inf  # this node is spent; the new path carries what is left of it
             self._best(p)
-        chance = np.zeros((most, n))
+        chance = np.full((most, n), -np.inf)
         for d in range(most if len(self.first) else 0):
-            has = np.flatnonzero(self.degree[lattice_at] > d)
-            chance[d, has] = self.prob[self.first[lattice_at[has]] + d]
-        gone = np.where(taken, chance, 0.0).sum(0)
-        free = np.cumsum(np.where(taken, 0.0, chance), 0)
-        pick = (_uniform(seeds, np.full(n, 5000 + s, np.uint64)) * free[-1] >= free).sum(0)
-        alive &= pick < most
+            has = np.flatnonzero(alive & (self.degree[lattice_at] > d))
+            chance[d, has] = self.log_prob[self.first[lattice_at[has]] + d]
+        chance[taken] = -np.inf
+        scale = chance.max(0, initial=-np.inf)
+        alive &= np.isfinite(scale)
+        scale = np.where(alive, scale, 0.0)
+        free = np.cumsum(np.exp(chance - scale), 0)
+        pick = np.minimum((_uniform(seeds, np.full(n, 5000 + s, np.uint64)) * free[-1] >= free).sum(0), most - 1)
+        chance[pick, np.arange(n)] = -np.inf
+        with np.errstate(divide="ignore"):
+            log_left = scale + np.log(np.exp(chance - scale).sum(0))
+        taken[pick, np.arange(n)] = True
         base = self.first[lattice_at] if len(self.first) else lattice_at
-        branch = (np.where(alive, b_place, 1 << 60), b_step, base + np.minimum(pick, most - 1))
-        new = self._path(places, row, place, seeds, s, np.where(alive, value, -np.inf), alive, ((offset, np.concatenate(choices)), branch), cut, gone)
+        old = (old_n, old_at, np.concatenate([p["at"] for p in paths]), np.concatenate([p["choice_at"] for p in paths]))
+        walked = self._rewalk(places, row, place, seeds, s, old, (np.where(alive, b_place, 1 << 60), b_step, base + pick))
+        new = self._path(walked, row, seeds, s, np.where(alive, value, -np.inf), alive, cut, log_left)
         new["taken"] = {int(r): (cut[r], taken[:, r]) for r in np.flatnonzero(alive)}
         return new
 
@@ -363,7 +468,7 @@ class Codec:
         for p in paths:
             ids, n = self._ids(p)
             above = np.where(np.isfinite(threshold), np.minimum(p["log_prob"] - threshold, 50), 50)
-            log_inclusion = np.where(above < -30, above, np.log(-np.expm1(-np.exp(above))))
+            log_inclusion = np.where(above < -30, above, np.log(-np.expm1(-np.exp(np.maximum(above, -30)))))
             out.append({"ids": ids, "n": n, "log_prob": p["log_prob"], "perturbed": p["value"], "log_inclusion": log_inclusion, "found": p["alive"]})
         return out
 
@@ -375,11 +480,16 @@ def _lists(ids: np.ndarray, counts: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(ids.astype(np.int32)))
 
 
+@lru_cache(1)
+def _codec(model: bytes) -> Codec:
+    """One for all tasks of a worker, with the units it has met."""
+    return Codec(model)
+
+
 def _run(model, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = None
         for batch in batches:
-            codec = codec or Codec(model.value)
+            codec = _codec(model.value)
             for at in range(0, batch.num_rows, _ROWS):
                 yield from some(codec, batch.slice(at, _ROWS))
 
@@ -387,13 +497,12 @@ def _run(model, k: int):
         seeds = np.asarray(batch.column("_seed").to_numpy(zero_copy_only=False), np.int64).view(np.uint64)
         at = 0
         for part in chunks(batch.column("_text").to_pylist(), _CHUNK):
-            units, places, counts = codec.units(part)
-            ids, n = codec.encode(units, places, counts)
+            places, counts = codec.units(part, lattice=k > 0)
+            ids, n = codec.encode(places, counts)
             back = codec.decode(ids, n)
             columns = {"_id": batch.column("_id").slice(at, len(part)), "ids": _lists(ids, n), "round_trip": pa.array([a == b for a, b in zip(part, back, strict=True)])}
             del back
             if k:
-                codec.lattice(units)
                 for j, s in enumerate(codec.sample(places, counts, seeds[at : at + len(part)], k)):
                     values = [_lists(s["ids"], s["n"]), *(pa.array(np.where(s["found"], np.round(s[c], 6), 0.0)) for c in ("log_prob", "perturbed", "log_inclusion")), pa.array(s["found"])]
                     columns[f"_s{j}"] = pa.StructArray.from_arrays(values, ["ids", "log_prob", "perturbed", "log_inclusion", "found"])

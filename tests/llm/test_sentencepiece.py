@@ -18,8 +18,7 @@ def codec():
 
 
 def draw(codec, texts, seeds, k):
-    units, places, counts = codec.units(texts)
-    codec.lattice(units)
+    places, counts = codec.units(texts)
     out = codec.sample(places, counts, np.asarray(seeds, np.uint64), k)
     rounds = []
     for s in out:
@@ -64,11 +63,58 @@ def test_order_probabilities(codec):
     assert abs(weight.mean() - 1) < 0.01
 
 
+def plain_pieces(codec):
+    sp = codec.sp
+    return {sp.id_to_piece(k): k for k in range(sp.get_piece_size()) if not (sp.is_control(k) or sp.is_unknown(k) or sp.is_byte(k) or sp.is_unused(k))}
+
+
+def segmentations(codec, pieces, text):
+    """Ids of every way to spell the text, byte pieces for characters that are no piece."""
+    text = sps.SPACE + text
+
+    def rest(at):
+        if at == len(text):
+            return [()]
+        out = [(pieces[text[at:end]], *r) for end in range(at + 1, len(text) + 1) if text[at:end] in pieces and sps.SPACE not in text[at + 1 : end] for r in rest(end)]
+        if text[at] not in pieces:
+            out += [(*(int(codec.byte_id[b]) for b in text[at].encode()), *r) for r in rest(at + 1)]
+        return out
+
+    return rest(0)
+
+
 def test_all_segmentations_come_once(codec):
-    _, rounds = draw(codec, ["ab", "z"], [1, 2], 30)
-    for i in range(2):
+    """With k above their number exactly all come, however unlikely, and nothing is left; their weights are those of their pieces."""
+    pieces, spelt = plain_pieces(codec), set(codec.byte_id.tolist())
+    words = [codec.sp.id_to_piece(k).replace(sps.SPACE, "") for k in range(300, codec.sp.get_piece_size(), 17)]
+    words = [w for w in words if w and w.isascii() and 2 <= len(segmentations(codec, pieces, w)) <= 40][:50] + ["in", "z", "a\u4e00\U0001f600b"]
+    assert len(words) == 53
+    want = [set(segmentations(codec, pieces, w)) for w in words]
+    k = max(map(len, want)) + 3
+    out, rounds = draw(codec, words, mix(np.arange(len(words), dtype=np.uint64)), k)
+    for i, w in enumerate(want):
         drawn = [r[i] for r in rounds if r[i]]
-        assert len(set(drawn)) == len(drawn) and len(drawn) < 30
+        assert len(drawn) == len(w) and set(drawn) == w
+        assert abs(sum(np.exp(s["log_prob"][i]) for s in out if s["found"][i]) - 1) < 1e-9
+        assert all(s["log_inclusion"][i] == 0 for s in out if s["found"][i])
+        weigh = lambda ids: sum(codec.weight[codec.byte_id[0]] if x in spelt else codec.weight[x] for x in ids)
+        gap = [s["log_prob"][i] - weigh(r[i]) for s, r in zip(out, rounds, strict=True) if s["found"][i]]
+        assert np.ptp(gap) < 1e-8
+
+
+def test_the_table_of_units_only_saves_work(codec):
+    """Little room, no room and much: the same samples."""
+    texts = [f"word{k} common things and word{k % 7} again" for k in range(60)]
+    with open(sps.MODEL, "rb") as file:
+        model = file.read()
+    seen = []
+    for keep in (0, 300, 1 << 20):
+        other, got = sps.Codec(model, keep), []
+        for at in range(0, 60, 10):
+            _, rounds = draw(other, texts[at : at + 10], range(at, at + 10), 3)
+            got += [rounds, other.decode(*other.encode(*other.units(texts[at : at + 10])))]
+        seen.append(got)
+    assert seen[0] == seen[1] == seen[2] and seen[0][1] == texts[:10]
 
 
 def test_documents(spark, codec):
