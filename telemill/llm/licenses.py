@@ -15,6 +15,7 @@ and the text are never read.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -97,15 +98,69 @@ NOTICE_RULES = [
     for free in (["gpl-free"], [])
     for warranty in (["gpl-hope", "gpl-implied", "gpl-details"], [])
 ]
+# fixed values: further official notices, and how many of their units name the licence
+TEXTS = [
+    ("ISC", 1, """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.
+IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""),
+    ("Unlicense", 1, """This is free and unencumbered software released into the public domain.
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."""),
+    ("LGPL-2.1-or-later", 3, """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.
+This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details."""),
+    ("LGPL-3.0-or-later", 2, """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details."""),
+    ("AGPL-3.0-or-later", 2, """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details."""),
+    ("EPL-2.0", 1, "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    ("EPL-1.0", 1, "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution, and is available at http://www.eclipse.org/legal/epl-v10.html"),
+    ("BSD-3-Clause", 4, """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.
+IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""),
+    ("BSD-2-Clause", 4, """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."""),
+    ("Zlib", 3, """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"""),
+    ("BSL-1.0", 1, "Distributed under the Boost Software License, Version 1.0."),
+    ("CC0-1.0", 1, "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
+    ("Apache-2.0", 1, "Grant of Copyright License. Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form."),
+    ("MIT", 4, """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.
+IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
+]
 # fixed values: every known sentence holds one of these
-KEYWORDS = ("licen", "copyright", "permission", "warrant", "redistribut", "as is", "free software")
+KEYWORDS = ("licen", "copyright", "permission", "warrant", "redistribut", "as is", "free software", "public domain", "liab", "free to copy", "loss of use", "business interruption")
 
 _CUT = "\x01"
 
 
+def units_of(text: str) -> list[str]:
+    """The normalised units that the cut makes of a text, lines joined."""
+    joined = re.sub(r"\s*\n[\s#*/;%-]*", " ", text.lower())
+    plain = [re.sub("[^a-z0-9\x80-\U0010FFFF]+", " ", u).strip() for u in re.sub(r"(?!(?<=\bv)\.\s+\d)([.!?;:])\s+", f"\\1{_CUT}", joined).split(_CUT)]
+    return [u for u in plain if u]
+
+
+def _book() -> tuple[dict[str, str], list[tuple[str, list[str]]]]:
+    """All known sentences and all rules: TEXTS give a rule for the units that name the licence, and one for all of them."""
+    known, rules = SENTENCES | NOTICES, RULES + NOTICE_RULES
+    for name, naming, text in TEXTS:
+        ids = [known.setdefault(u, f"{name.lower()}-{k}") for k, u in enumerate(units_of(text), 1)]
+        rules = rules + [r for r in ((name, ids), (name, ids[:naming])) if r not in rules]
+    return known, rules
+
+
+KNOWN, ALL_RULES = _book()
+
+
 def unmatchable() -> list[str]:
     """Known sentences that no keyword would let through; must be empty."""
-    return [s for s in SENTENCES | NOTICES if not any(k in s for k in KEYWORDS)]
+    return [s for s in KNOWN if not any(k in s for k in KEYWORDS)]
 
 
 def _cut(text: Column) -> Column:
@@ -114,15 +169,22 @@ def _cut(text: Column) -> Column:
 
 
 def _identify(units: Column) -> Column:
-    known = F.create_map(*[F.lit(x) for pair in (SENTENCES | NOTICES).items() for x in pair])
-    plain = lambda u: F.trim(F.regexp_replace(u, "[^a-z0-9\\x80-\\x{10FFFF}]+", " "))
-    return F.filter(F.transform(units, lambda u: F.element_at(known, plain(u))), lambda x: x.isNotNull())
+    """(at, id) of the known units: how many letters and digits stand before each, and its identifier."""
+    known = F.create_map(*[F.lit(x) for pair in KNOWN.items() for x in pair])
+    plain = F.transform(units, lambda u: F.trim(F.regexp_replace(u, "[^a-z0-9\\x80-\\x{10FFFF}]+", " ")))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<at:int,id:string>>").alias("found"))
+
+    def step(out: Column, u: Column) -> Column:
+        found = F.array(F.struct(out["at"].alias("at"), F.element_at(known, u).alias("id")))
+        return F.struct((out["at"] + F.length(F.replace(u, F.lit(" "), F.lit("")))).alias("at"), F.when(F.element_at(known, u).isNotNull(), F.concat(out["found"], found)).otherwise(out["found"]).alias("found"))
+
+    return F.aggregate(plain, start, step, lambda out: out["found"])
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, sentences (identifiers in order), licenses (names in order of the alphabet), n_known, n_unmatched."""
     low = F.lower(text_of(text_col))
-    none = F.array().cast("array<string>")
+    none = F.array().cast("array<struct<at:int,id:string>>")
     worth = reduce(lambda a, b: a | b, [F.contains(low, F.lit(k)) for k in KEYWORDS])
     rows = docs.select(F.col(id_col).alias("_id"), F.when(worth, low).otherwise("").alias("_low"))
     lines = _identify(_cut(F.regexp_replace("_low", "\\n", _CUT)))
@@ -130,11 +192,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     parted = F.regexp_replace("_low", "\\n[\\s#*/;%-]*\\n[\\s#*/;%-]*", _CUT)
     views = {"_lines": lines, "_wrapped": joined(F.col("_low")), "_parted": joined(parted)}
     rows = rows.select("_id", *[F.when(F.col("_low") == "", none).otherwise(view).alias(name) for name, view in views.items()])
-    best = F.when(F.size("_wrapped") > F.size("_lines"), F.col("_wrapped")).otherwise(F.col("_lines"))
-    rows = rows.withColumn("_ids", F.when(F.size("_parted") > F.greatest(F.size("_lines"), F.size("_wrapped")), F.col("_parted")).otherwise(best))
-    told = F.concat(*[x for name in views for x in (F.lit("|"), F.array_join(name, "|"), F.lit("|\n"))])
+    merged = F.sort_array(F.array_union(F.array_union("_lines", "_wrapped"), F.col("_parted")))
+    rows = rows.withColumn("_ids", F.transform(merged, lambda x: x["id"]))
+    told = F.concat(*[x for name in views for x in (F.lit("|"), F.array_join(F.transform(name, lambda x: x["id"]), "|"), F.lit("|\n"))], F.lit("|"), F.array_join("_ids", "|"), F.lit("|"))
     rows = rows.select("_id", "_ids", told.alias("_told"))
-    hits = F.array(*[F.when(F.contains("_told", F.lit("|" + "|".join(ids) + "|")), F.struct(F.lit(name).alias("name"), F.array(*map(F.lit, ids)).alias("ids"))) for name, ids in RULES + NOTICE_RULES])
+    hits = F.array(*[F.when(F.contains("_told", F.lit("|" + "|".join(ids) + "|")), F.struct(F.lit(name).alias("name"), F.array(*map(F.lit, ids)).alias("ids"))) for name, ids in ALL_RULES])
     rows = rows.withColumn("_hits", F.filter(hits, lambda x: x.isNotNull()))
     used = F.flatten(F.transform("_hits", lambda x: x["ids"]))
     return rows.select(
@@ -147,24 +209,32 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def _oracle() -> str:
+    """The same rule in SQL, written without lookbehind: the point of "v. 2.0" is hidden from the cut."""
     quote = lambda s: "'" + s + "'"
-    known = ", ".join(f"({quote(s)}, {quote(i)})" for s, i in SENTENCES.items())
-    rules = ", ".join(f"({k}, {quote(name)}, [{', '.join(map(quote, ids))}], {quote('|' + '|'.join(ids) + '|')})" for k, (name, ids) in enumerate(RULES))
+    known = ", ".join(f"({quote(s)}, {quote(i)})" for s, i in KNOWN.items())
+    rules = ", ".join(f"({k}, {quote(name)}, [{', '.join(map(quote, ids))}], {quote('|' + '|'.join(ids) + '|')})" for k, (name, ids) in enumerate(ALL_RULES))
     worth = " OR ".join(f"contains(lower(text), {quote(k)})" for k in KEYWORDS)
-    cut = lambda t: f"string_split(regexp_replace({t}, '([.!?;:])\\s+', '\\1' || chr(1), 'g'), chr(1))"
+    cut = lambda t: f"string_split(regexp_replace(regexp_replace({t}, '\\bv\\.(\\s+\\d)', 'v' || chr(2) || '\\1', 'g'), '([.!?;:])\\s+', '\\1' || chr(1), 'g'), chr(1))"
+    joined = lambda t: f"regexp_replace({t}, '\\s*\\n[\\s#*/;%-]*', ' ', 'g')"
+    parted = "regexp_replace(t, '\\n[\\s#*/;%-]*\\n[\\s#*/;%-]*', chr(1), 'g')"
     return f"""
 WITH known(s, i) AS (VALUES {known}), rules(k, name, ids, told) AS (VALUES {rules}),
 low AS (SELECT doc_id, lower(text) AS t FROM documents WHERE {worth}),
 views AS (SELECT doc_id, 1 AS v, {cut("replace(t, chr(10), chr(1))")} AS u FROM low
-          UNION ALL SELECT doc_id, 2, {cut("regexp_replace(t, '\\s*\\n[\\s#*/;%-]*', ' ', 'g')")} FROM low),
-units AS (SELECT doc_id, v, unnest(u) AS u, unnest(range(1, len(u) + 1)) AS pos FROM views),
-hit AS (SELECT doc_id, v, list(i ORDER BY pos) AS ids FROM units JOIN known ON s = trim(regexp_replace(u, '[^a-z0-9\\x{{80}}-\\x{{10FFFF}}]+', ' ', 'g')) GROUP BY doc_id, v),
-best AS (SELECT doc_id, arg_max(ids, len(ids) * 10 - v) AS ids FROM hit GROUP BY doc_id),
-told AS (SELECT doc_id, ids, '|' || array_to_string(ids, '|') || '|' AS told FROM best),
-named AS (SELECT b.doc_id, string_agg(DISTINCT r.name, '|' ORDER BY r.name) AS licenses, flatten(list(r.ids)) AS used FROM told b JOIN rules r ON contains(b.told, r.told) GROUP BY b.doc_id)
-SELECT d.doc_id, coalesce(array_to_string(b.ids, '|'), '') AS sentences, coalesce(n.licenses, '') AS licenses, coalesce(len(b.ids), 0) AS n_known,
-       coalesce(len(list_filter(b.ids, lambda x: NOT coalesce(list_contains(n.used, x), FALSE))), 0) AS n_unmatched
-FROM documents d LEFT JOIN told b ON d.doc_id = b.doc_id LEFT JOIN named n ON d.doc_id = n.doc_id
+          UNION ALL SELECT doc_id, 2, {cut(joined("t"))} FROM low
+          UNION ALL SELECT doc_id, 3, {cut(joined(parted))} FROM low),
+cells AS (SELECT doc_id, v, unnest(u) AS u, unnest(range(1, len(u) + 1)) AS pos FROM views),
+units AS (SELECT doc_id, v, pos, trim(regexp_replace(u, '[^a-z0-9\\x{{80}}-\\x{{10FFFF}}]+', ' ', 'g')) AS u FROM cells),
+placed AS (SELECT doc_id, v, u, coalesce(sum(length(replace(u, ' ', ''))) OVER (PARTITION BY doc_id, v ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS p FROM units),
+hit AS (SELECT doc_id, v, p, i FROM placed JOIN known ON s = u),
+merged AS (SELECT doc_id, list(i ORDER BY p, i) AS ids FROM (SELECT DISTINCT doc_id, p, i FROM hit) GROUP BY doc_id),
+told AS (SELECT doc_id, '|' || string_agg(i, '|' ORDER BY p) || '|' AS told FROM hit GROUP BY doc_id, v
+         UNION ALL SELECT doc_id, '|' || array_to_string(ids, '|') || '|' FROM merged),
+won AS (SELECT DISTINCT b.doc_id, r.k, r.name, r.ids FROM told b JOIN rules r ON contains(b.told, r.told)),
+named AS (SELECT doc_id, string_agg(DISTINCT name, '|' ORDER BY name) AS licenses, flatten(list(ids)) AS used FROM won GROUP BY doc_id)
+SELECT d.doc_id, coalesce(array_to_string(m.ids, '|'), '') AS sentences, coalesce(n.licenses, '') AS licenses, coalesce(len(m.ids), 0) AS n_known,
+       coalesce(len(list_filter(m.ids, lambda x: NOT coalesce(list_contains(n.used, x), FALSE))), 0) AS n_unmatched
+FROM documents d LEFT JOIN merged m ON d.doc_id = m.doc_id LEFT JOIN named n ON d.doc_id = n.doc_id
 """
 
 
