@@ -6,12 +6,15 @@ document with probability >= THRESHOLD when the item is contained that far.  Ite
 number of shingles; each partition has its own K and asks for so many hits that a contained item is missed with
 probability <= MISS.  Candidates are verified on full shingle sets: |item and document| / |item| >= THRESHOLD.
 
-Words are runs of letters, digits and characters beyond ASCII, lower-cased; shingles are five words.  The
-sketches are broadcast when they hold at most MAX_BROADCAST numbers, else joined by shuffle; so are the candidates
+Documents are probed shingle by shingle instead of by a sketch of their own: a document of any length then
+meets an item exactly as often as it holds shingles of its sketch, and its size needs no partition.
+
+Words are runs of letters, digits and characters beyond ASCII, lower-cased; shingles are five words.  An item of one
+to four words is one shingle of all of them, and documents are probed for runs of as many words.  The sketches are broadcast when they hold at most MAX_BROADCAST numbers, else joined by shuffle; so are the candidates
 and the items.
 
-Defined cases: null and empty texts have no words and no pairs; a text of one to four words is one shingle of
-all its words, so it is found in a text of these words alone; a pair of ids that stands for several rows counts
+Defined cases: null and empty texts have no words and no pairs; an item of one to four words is found wherever these
+stand in a row; a pair of ids that stands for several rows counts
 once, with the largest containment; null ids pair like others; other columns are never read.
 """
 
@@ -35,11 +38,17 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), BETWEEN), "")
 
 
+def runs_of(words: Column, length: int) -> Column:
+    """Hashes of the runs of so many words, repeats kept."""
+    last = F.size(words) - (length - 1)
+    runs = F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.slice(words, i, length)))
+    return F.when(last > 0, runs).otherwise(F.array().cast("array<bigint>"))
+
+
 def shingles_of(words: Column) -> Column:
-    """Hashes of the runs of five words, repeats kept; of all words where there are fewer."""
-    n = F.size(words)
-    runs = F.transform(F.sequence(F.lit(1), n - (WORDS - 1)), lambda i: F.xxhash64(F.slice(words, i, WORDS)))
-    return F.when(n >= WORDS, runs).when(n > 0, F.array(F.xxhash64(words))).otherwise(F.array().cast("array<bigint>"))
+    """Hashes of an item's runs of five words, or of all its words where there are fewer, repeats kept."""
+    short = F.when(F.size(words) > 0, F.array(F.xxhash64(words))).otherwise(F.array().cast("array<bigint>"))
+    return F.when(F.size(words) >= WORDS, runs_of(words, WORDS)).otherwise(short)
 
 
 def hits_needed(k: int, threshold: float = THRESHOLD, miss: float = MISS) -> int:
@@ -71,20 +80,22 @@ def _small(df: DataFrame, held: Column | None = None) -> DataFrame:
 def contained(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """Pairs (id, item, n_shared, n_item, containment) of documents and the items they hold."""
     items = benchmark.select(F.col(item_col).alias("_iid"), words_of(text_of(item_text)).alias("_w"))
-    items = items.select("_iid", F.xxhash64("_iid", "_w").alias("_ikey"), F.array_distinct(shingles_of(F.col("_w"))).alias("_set")).where(F.size("_set") > 0)
+    items = items.select("_iid", F.xxhash64("_iid", "_w").alias("_ikey"), F.array_distinct(shingles_of(F.col("_w"))).alias("_set"), F.least(F.size("_w"), F.lit(WORDS)).alias("_long")).where("_long > 0")
     items = save(items.dropDuplicates(["_ikey"]).withColumn("_n", F.size("_set")), "items")
+    lengths = sorted(r[0] for r in items.select("_long").distinct().collect())  # WORDS numbers at most
+    runs = F.concat(F.array().cast("array<bigint>"), *[runs_of(F.col("_w"), n) for n in lengths])
     rows = docs.select(F.col(id_col).alias("_id"), words_of(text_of(text_col)).alias("_w"))
 
     # search: which documents hold enough of an item's sketch
     index = save(sketches(items), "sketches")
-    probes = rows.select("_id", F.explode(shingles_of(F.col("_w"))).alias("_sh"))
+    probes = rows.select("_id", F.explode(runs).alias("_sh"))
     hits = probes.join(_small(index), "_sh").groupBy("_id", "_ikey", "_need").agg(F.count_distinct("_sh").alias("_hits"))
     candidates = save(hits.where("_hits >= _need").groupBy("_id").agg(F.collect_set("_ikey").alias("_ikeys")), "candidates")
 
     # verify on full shingle sets
     candidates = candidates.select(F.col("_id").alias("_cid"), "_ikeys")
     found = rows.join(_small(candidates, F.size("_ikeys")), F.col("_id").eqNullSafe(F.col("_cid")))
-    found = found.select("_id", F.array_distinct(shingles_of(F.col("_w"))).alias("_have"), F.explode("_ikeys").alias("_ikey"))
+    found = found.select("_id", F.array_distinct(runs).alias("_have"), F.explode("_ikeys").alias("_ikey"))
     shared = F.size(F.array_intersect("_set", "_have")).cast("long")
     found = found.join(_small(items, F.col("_n")), "_ikey").select("_id", "_iid", shared.alias("n_shared"), F.col("_n").cast("long").alias("n_item"))
     found = found.withColumn("containment", F.col("n_shared") / F.col("n_item")).where(F.col("containment") >= THRESHOLD)
@@ -102,7 +113,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 ORACLE = f"""
 WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '{BETWEEN}'), lambda x: x <> '') AS w FROM documents),
      v AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '{BETWEEN}'), lambda x: x <> '') AS w FROM benchmark),
-     s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= {WORDS} THEN list_transform(range(1, len(w) - {WORDS} + 2), lambda i: array_to_string(w[i:i + {WORDS - 1}], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS sh FROM w),
+     l AS (SELECT DISTINCT least(len(w), {WORDS}) AS n FROM v WHERE len(w) > 0),
+     s AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS sh FROM w, l WHERE len(w) >= n),
      t AS (SELECT DISTINCT item_id, unnest(CASE WHEN len(w) >= {WORDS} THEN list_transform(range(1, len(w) - {WORDS} + 2), lambda i: array_to_string(w[i:i + {WORDS - 1}], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS sh FROM v),
      n AS (SELECT item_id, count(*) AS n_item FROM t GROUP BY item_id),
      c AS (SELECT doc_id, item_id, count(*) AS n_shared FROM s JOIN t USING (sh) GROUP BY doc_id, item_id)
