@@ -1,11 +1,15 @@
-"""Run-length index of a collection of short texts: a run-compressed Burrows-Wheeler transform.
+"""Run-length index of a collection of short texts: a run-compressed Burrows-Wheeler transform with sampled run ends.
 
-Every text ends in a terminator of its own, smaller than any byte; terminators order as their texts do.  The
-transform is kept as runs (first row, and where the run's rows map to) with the text position sampled at each
-run's end, and the rows are cut into groups of suffixes that agree in their first ``reach`` bytes, each with its
-first text position.  Texts are then streamed backwards through the runs, all in step: the row reached at a
-place tells by its group whether the ``reach`` bytes there start anywhere earlier in the collection, that is,
-whether the matching statistic against what comes before is ``reach`` or more.
+Every text ends in a terminator of its own, smaller than any byte; terminators order as their texts do.  Rows are the
+suffixes in order, and a run is a stretch of rows with the same byte before them.  Where two neighbouring rows have
+the same byte before them, the suffixes one byte longer are neighbours as well; so of a position p that heads no run,
+the neighbour before it is one behind the neighbour of p - 1, and shares one byte less with it.  It is enough to keep
+of each run, in order of text positions: ``head``, the position of its first row; ``end``, the position of the row
+before, which is the last of the run before; and ``common``, how many bytes these two share.  Nothing that is kept
+grows with a text, but with the number of runs.
+
+Texts are streamed through these samples for their matching statistics: for every position the neighbour before it
+and the length of the match.  Positions linked by matches of ``reach`` bytes or more start the same string.
 """
 
 from __future__ import annotations
@@ -14,84 +18,100 @@ import numpy as np
 
 
 class RunIndex:
-    def __init__(self, texts: list[bytes], reach: int):
-        self.reach, self.count = reach, len(texts)
+    def __init__(self, texts: list[bytes]):
         self.length = np.array([len(t) for t in texts], np.int64)
         self.start = np.cumsum(self.length + 1) - self.length - 1
-        data = np.frombuffer(b"\0".join([*texts, b""]), np.uint8).astype(np.int16) + np.int16(1)
+        self.size = n = int((self.length + 1).sum())
+        data = np.frombuffer(b"\0".join([*texts, b""]), np.uint8)
         ends = self.start + self.length
-        data[ends] = 0
-        n = len(data)
         left = (np.repeat(ends, self.length + 1) - np.arange(n)).astype(np.int32)  # bytes up to the terminator
+        order, levels = self._sorted(data, left)
+
+        # runs: rows whose byte differs from that of the row before; no two texts begin with the same byte before them
+        before = data[order - 1].astype(np.int32)
+        before[np.isin(order, self.start)] = -1
+        heads = np.flatnonzero((before[1:] != before[:-1]) | (before[1:] < 0)) + 1
+        head, end = order[heads], order[heads - 1]
+        common = self._common(head, end, data, left, levels)
+        # the very first row has none before it: it shares nothing, with itself
+        head, end, common = np.append(head, order[0]), np.append(end, order[0]), np.append(common, 0)
+        by = np.argsort(head)
+        self.head, self.end, self.common = head[by], end[by], common[by]
 
-        # rank suffixes by ever longer starts; behind its terminator a text is empty
-        longest = int(self.length.max(initial=0)) + 1
-        known, half = 7, {}
+    @staticmethod
+    def _sorted(data: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
+        """Suffixes in order, ranked by ever longer starts, and the ranks by the length of these starts; behind its terminator a text is empty."""
+        n, longest = len(data), int(left.max(initial=0)) + 1
+        place = np.arange(n)
+        bits = max(1, n.bit_length())
+        used = np.flatnonzero(np.bincount(data, minlength=256))
+        letter = np.zeros(256, np.int64)
+        letter[used] = np.arange(1, len(used) + 1)
+        wide = max(1, int(len(used) + 1).bit_length())
+        known = max(1, min((63 - bits) // wide, longest))
         code = np.zeros(n, np.int64)
         for k in range(known):
-            code <<= 9
-            ok = np.flatnonzero(left >= k)
-            code[ok] += data[ok + k]
-        order, rank = self._ranked(code)
-        sizes = [known]
-        half[known] = rank
-        while known < longest:
-            code = rank.astype(np.int64) * (n + 1) + self._at(rank, left, known)
-            order, rank = self._ranked(code)
+            code <<= wide
+            ok = np.flatnonzero(left > k)
+            code[ok] += letter[data[ok + k]]
+        levels = []
+        while True:
+            if 3 * bits <= 63 or not levels:  # places ride in the low bits, so one plain sort of numbers does
+                packed = (code << bits) | place
+                packed.sort()
+                order, ordered = packed & ((1 << bits) - 1), packed >> bits
+            else:
+                order = np.argsort(code, kind="stable")
+                ordered = code[order]
+            rank = np.empty(n, np.int32)
+            rank[order] = np.cumsum(np.concatenate([[0], ordered[1:] != ordered[:-1]])) + 1
+            levels.append((known, rank))
+            if known >= longest or int(rank[order[-1]]) == n:
+                return order, levels
+            ok = np.flatnonzero(left >= known)
+            code = rank.astype(np.int64) << bits
+            code[ok] |= rank[ok + known]
             known *= 2
-            sizes.append(known)
-            if known < reach:
-                half[known] = rank
-        # texts that agree to the end order by their terminators
-        order = order[np.lexsort((order, rank[order]))] if (np.diff(rank[order]) == 0).any() else order
-        base = max((s for s in sizes if s < reach), default=7)
-        first = half[base]
-        second = self._at(first, left, reach - base) if reach <= 2 * base else rank
-        enough = left >= reach
-
-        # groups of suffixes with the same first bytes, and where each group starts first
-        same = (first[order][1:] == first[order][:-1]) & (second[order][1:] == second[order][:-1]) & enough[order][1:] & enough[order][:-1]
-        self.group = np.concatenate([[0], np.flatnonzero(~same) + 1])
-        self.earliest = np.minimum.reduceat(order, self.group)
-
-        # the transform and its runs
-        last = np.where(order > 0, data[order - 1], 0)
-        last[np.isin(order, self.start)] = 0
-        self.run = np.concatenate([[0], np.flatnonzero(np.diff(last)) + 1])
-        heads, lengths = last[self.run], np.diff(np.append(self.run, n))
-        by = np.argsort(heads.astype(np.int16), kind="stable")
-        self.maps_to = np.zeros(len(heads), np.int64)
-        self.maps_to[by] = np.cumsum(lengths[by]) - lengths[by]
-        self.sampled = order[self.run + lengths - 1]
-
-    @staticmethod
-    def _ranked(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.argsort(code).astype(np.int32)
-        ordered = code[order]
-        rank = np.zeros(len(code), np.int32)
-        rank[order] = np.cumsum(np.concatenate([[0], ordered[1:] != ordered[:-1]])) + 1
-        return order, rank
 
     @staticmethod
-    def _at(rank: np.ndarray, left: np.ndarray, by: int) -> np.ndarray:
-        out = np.zeros(len(rank), np.int32)
-        ok = np.flatnonzero(left >= by)
-        out[ok] = rank[ok + by]
+    def _common(a: np.ndarray, b: np.ndarray, data: np.ndarray, left: np.ndarray, levels: list[tuple[int, np.ndarray]]) -> np.ndarray:
+        """How many bytes the suffixes of a and b share, by the longest starts of equal rank first."""
+        a, b, out = a.copy(), b.copy(), np.zeros(len(a), np.int64)
+        live = np.arange(len(a))
+        for size, rank in [*reversed(levels), *((1, data),) * (levels[0][0] - 1)]:
+            x, y = a[live], b[live]
+            same = (left[x] >= size) & (left[y] >= size) & (rank[x] == rank[y])
+            step = live[same]
+            a[step], b[step] = a[step] + size, b[step] + size
+            out[step] += size
         return out
 
-    def repeated(self) -> tuple[np.ndarray, np.ndarray]:
+    def matching_statistics(self, first: int = 0, last: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Of the positions from first up to last the neighbour before each in the order of suffixes, and the length of the match."""
+        place = np.arange(first, self.size if last is None else last)
+        run = np.searchsorted(self.head, place, "right") - 1
+        ahead = place - self.head[np.maximum(run, 0)]
+        length = np.where(run >= 0, np.maximum(self.common[np.maximum(run, 0)] - ahead, 0), 0)
+        return np.where(length > 0, self.end[np.maximum(run, 0)] + ahead, place), length
+
+    def repeated(self, reach: int) -> tuple[np.ndarray, np.ndarray]:
         """(text, place) of every place whose next ``reach`` bytes start earlier in the collection."""
-        texts, row, found = np.arange(self.count), np.arange(self.count), []
-        for back in range(1, int(self.length.max(initial=0)) + 1):
-            go = self.length[texts] >= back
-            texts, row = texts[go], row[go]
-            run = np.searchsorted(self.run, row, "right") - 1
-            row = self.maps_to[run] + row - self.run[run]
-            if back >= self.reach:
-                place = self.length[texts] - back
-                group = np.searchsorted(self.group, row, "right") - 1
-                hit = self.earliest[group] < self.start[texts] + place
-                found.append((texts[hit], place[hit]))
-        if not found:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+        link = np.arange(self.size)
+        linked = []
+        for first in range(0, self.size, 1 << 18):
+            source, length = self.matching_statistics(first, min(first + (1 << 18), self.size))
+            long = np.flatnonzero(length >= reach)
+            link[first + long] = source[long]
+            linked.append(first + long)
+        linked = np.concatenate(linked) if linked else np.zeros(0, np.int64)
+        todo = linked  # follow the links to the first of each string in the order of suffixes
+        while len(todo):
+            link[todo] = link[link[todo]]
+            todo = todo[link[link[todo]] != link[todo]]
+        root = link[linked]
+        earliest = np.arange(self.size)
+        np.minimum.at(earliest, root, linked)
+        place = np.union1d(linked, root)
+        place = place[place > earliest[link[place]]]
+        text = np.searchsorted(self.start, place, "right") - 1
+        return text, place - self.start[text]

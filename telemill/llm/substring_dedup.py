@@ -5,13 +5,15 @@ Of the GRAM-byte strings within a REACH-byte string the one with the smallest ha
 have equal anchors, so the index that holds all strings of an anchor answers exactly for them.
 
 1. Each text is cut into segments: runs of neighbouring string starts with the same anchor, at most WIDTH starts.
-   Segments that repeat within a batch are decided there; the others are shuffled by anchor.
+   Segments that repeat within a batch are decided there; of the others the first two of each anchor are shuffled
+   by anchor, which tells all batches whether it has several contents, and the rest are dealt out.
 2. Of equal segments the first stays and the others are wholly repeated.  A segment whose anchor has no other
    content, and stands in it once, is unique.  What is left are different segments around one anchor, and loops.
 3. These go, as text, to run-length indexes by anchor, each over about INDEX_BYTES (llm/run_index.py), through
-   which they are streamed for matching statistics.  An anchor with more than HOT different segments goes into
-   none: its strings are known by 128 bits of hash, the first of each is found by aggregation, and the others are
-   marked by a join that deals out the rows of frequent strings, so that no task grows with anchor or string.
+   which they are streamed for matching statistics: a match of REACH bytes or more that starts earlier is removed.
+   An anchor with more than HOT segments (counted by batches) goes into none: its strings are known by 128 bits of
+   hash, the first of each is found by aggregation, and the others are marked by a join that deals out the rows of
+   frequent strings, so that no task grows with anchor or string.
 4. The marks of a text are joined into runs, and its remaining bytes hashed.  Texts without marks never move.
 
 Exact copies of a whole text are settled beforehand: all but the first lose every byte where there are REACH.
@@ -38,7 +40,7 @@ from telemill.llm.shingles import chunks, mix
 
 REACH, GRAM = 100, 24
 WIDTH = REACH - GRAM + 1
-HOT, INDEX_BYTES, MAX_BROADCAST, CHUNK = 50_000, 1 << 20, 200_000, 1 << 20
+HOT, INDEX_BYTES, MAX_BROADCAST, CHUNK = 5_000, 1 << 20, 200_000, 1 << 20
 _BYTE = np.random.default_rng(99).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -120,10 +122,18 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             a, b = order[1:], order[:-1]
             same[1:] = (o[a] == o[b]) & (t[a] == t[b]) & (pos[a] == pos[b]) & (anchor[a] == anchor[b]) & (content[a] == content[b])
             order = order[~same]
-            again = np.zeros(len(o), bool)  # an equal segment comes before it
-            a, b = order[1:], order[:-1]
-            again[a] = (anchor[a] == anchor[b]) & (content[a] == content[b])
-            yield pa.RecordBatch.from_pydict({"anchor": anchor.view(np.int64), "content": content.view(np.int64), "_oid": o, "_h": t, "pos": pos, "again": again, "loops": loops}).take(pa.array(order))
+            anchor, content, o, t, pos, loops = (x[order] for x in (anchor, content, o, t, pos, loops))
+            first = np.ones(len(order), bool)  # of its anchor
+            first[1:] = anchor[1:] != anchor[:-1]
+            again = np.zeros(len(order), bool)  # an equal segment comes before it
+            again[1:] = ~first[1:] & (content[1:] == content[:-1])
+            begin = np.flatnonzero(first)
+            size = np.diff(np.append(begin, len(order)))
+            nth = np.cumsum(~again) - 1  # which content of its anchor
+            nth = nth - np.repeat(nth[begin], size)
+            kinds = np.repeat(np.maximum.reduceat(nth, begin), size) if len(begin) else nth
+            mates = np.where(first, np.repeat(np.add.reduceat((~again).astype(np.int64), begin), size), 0) if len(begin) else nth
+            yield pa.RecordBatch.from_pydict({"anchor": anchor.view(np.int64), "content": content.view(np.int64), "_oid": o, "_h": t, "pos": pos, "again": again, "apart": again | (nth > 1), "several": kinds > 0, "mates": mates, "loops": loops})
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
@@ -158,13 +168,13 @@ def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _stream(group: pd.DataFrame) -> pd.DataFrame:
     """Marks of the segments of one index: runs of bytes that are repeated."""
     group = group.sort_values(["_oid", "_h", "start"], kind="stable").drop_duplicates(["_oid", "_h", "start"])
-    text, place = RunIndex(group["bytes"].tolist(), REACH).repeated()
+    text, place = RunIndex(group["bytes"].tolist()).repeated(REACH)
     order = np.lexsort((place, text))
     text, place = text[order], place[order]
     new = np.ones(len(text), bool)
     new[1:] = (text[1:] != text[:-1]) | (place[1:] != place[:-1] + 1)
     at = np.flatnonzero(new)
-    last = np.append(at[1:], len(text)) - 1
+    last = np.append(at[1:], len(text))[: len(at)] - 1
     rows = group.iloc[text[at]]
     start = rows["start"].to_numpy()
     return pd.DataFrame({"_oid": rows["_oid"].to_numpy(), "_h": rows["_h"].to_numpy(), "a": start + place[at], "b": start + place[last] + REACH})
@@ -212,24 +222,27 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = rows.join(few, ["_oid", "_h"], "left_anti") if few is not None else rows
 
     # segments by anchor
-    cut = rows.mapInArrow(_cut, "anchor long, content long, _oid long, _h long, pos long, again boolean, loops boolean")
-    cut = cut.withColumn("_k", F.when(F.col("again"), F.xxhash64("_oid", "_h", "pos")).otherwise(F.col("anchor")))
-    by_anchor = W.partitionBy("_k", "anchor")
+    cut = rows.mapInArrow(_cut, "anchor long, content long, _oid long, _h long, pos long, again boolean, apart boolean, several boolean, mates long, loops boolean")
+    cut = cut.withColumn("_k", F.when(F.col("apart"), F.xxhash64("_oid", "_h", "pos")).otherwise(F.col("anchor")))
+    by_anchor = W.partitionBy("_k", "anchor")  # two rows a batch at most
     by_content = W.partitionBy("_k", "anchor").orderBy("content", "_oid", "_h", "pos")
     cut = cut.withColumn("_before", F.lag(F.struct("content", "_oid", "_h", "pos")).over(by_content)).withColumn("_one", F.min("content").over(by_anchor)).withColumn("_other", F.max("content").over(by_anchor))
-    cut = cut.withColumn("_mates", F.count("*").over(by_anchor))
+    cut = cut.withColumn("_mates", F.sum("mates").over(by_anchor))
     whole = F.col("again") | F.coalesce((F.col("_before.content") == F.col("content")) & (F.col("_before") != F.struct("content", "_oid", "_h", "pos")), F.lit(False))
-    found = cut.where(whole | F.col("loops") | (F.col("_one") != F.col("_other"))).select("_oid", "_h", "pos", "anchor", whole.alias("whole"), (F.col("_mates") > HOT).alias("hot"))
+    found = cut.where(whole | F.col("loops") | F.col("several") | (F.col("_one") != F.col("_other"))).select("_oid", "_h", "pos", "anchor", whole.alias("whole"), (~F.col("apart") & (F.col("_mates") > HOT)).alias("hot"))
     found = save(found, "segments")
+    crowds = save(found.where("hot").select(F.col("anchor").alias("_crowd")).distinct(), "crowds")
 
     # segments that share an anchor, through run-length indexes
-    def asked_of(open_: DataFrame) -> DataFrame:
-        asked = open_.groupBy("_oid", "_h").agg(F.collect_list(F.struct("pos", "anchor")).alias("_asked"))
-        touched = _small(save(open_.select("_oid", "_h").distinct(), "asked-keys"))
-        some = rows.join(touched, ["_oid", "_h"], "left_semi") if touched is not None else rows
-        return some.join(asked, ["_oid", "_h"])
-
-    light, hot = found.where("not whole and not hot"), found.where("not whole and hot")
+    def asked_of(some: DataFrame) -> DataFrame:
+        asked = some.groupBy("_oid", "_h").agg(F.collect_list(F.struct("pos", "anchor")).alias("_asked"))
+        touched = _small(save(some.select("_oid", "_h").distinct(), "asked-keys"))
+        texts = rows.join(touched, ["_oid", "_h"], "left_semi") if touched is not None else rows
+        return texts.join(asked, ["_oid", "_h"])
+
+    open_ = found.where("not whole")
+    few = _small(crowds)
+    light, hot = (open_.join(crowds if few is None else few, F.col("anchor") == F.col("_crowd"), kind) for kind in ("left_anti", "left_semi"))
     indexes = max(1, light.count() * (REACH + WIDTH // 2) // INDEX_BYTES)
     parts = asked_of(light).mapInArrow(_extract, "anchor long, _oid long, _h long, start long, bytes binary")
     parts = parts.withColumn("_index", F.pmod(F.xxhash64("anchor"), F.lit(indexes)))

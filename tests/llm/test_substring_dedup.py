@@ -48,11 +48,30 @@ def test_run_index():
                 if t[p : p + reach] in seen:
                     want.add((i, p))
                 seen.add(t[p : p + reach])
-        got = RunIndex(texts, reach).repeated()
+        got = RunIndex(texts).repeated(reach)
         assert set(zip(got[0].tolist(), got[1].tolist(), strict=True)) == want
 
 
-@pytest.mark.parametrize("hot", [50_000, 1])
+def test_samples_of_runs():
+    """The neighbour before each suffix and the length of the match, from the samples alone; few runs where texts repeat."""
+    random.seed(3)
+    for trial in range(60):
+        texts = [bytes(random.choice(b"ab\0") for _ in range(random.randint(0, 60))) for _ in range(random.randint(1, 8))]
+        texts += texts[: trial % 4]
+        index = RunIndex(texts)
+        places = [(i, p) for i, t in enumerate(texts) for p in range(len(t) + 1)]
+        rows = sorted(range(len(places)), key=lambda k: ([*(c + 1 for c in texts[places[k][0]][places[k][1] :]), 0], places[k][0]))
+        source, length = index.matching_statistics()
+        for above, row in zip(rows, rows[1:]):
+            a, b = (texts[places[k][0]][places[k][1] :] for k in (above, row))
+            common = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+            assert length[row] == common and (not common or source[row] == above)
+    text = bytes(random.choice(b"acgt") for _ in range(2000))
+    once, often = RunIndex([text]), RunIndex([text] * 50)
+    assert len(often.head) < len(once.head) + 50 * 3 and len(often.end) == len(often.common) == len(often.head)
+
+
+@pytest.mark.parametrize("hot", [5_000, 1])
 def test_against_brute_force(spark, monkeypatch, hot):
     monkeypatch.setattr(substring_dedup, "HOT", hot)
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
@@ -93,3 +112,33 @@ def test_no_index_grows_with_a_string(spark, monkeypatch):
     rows = [(k, noise(150) + passage + noise(150)) for k in range(60)] + [(99, noise(20) + passage * 3)]
     frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
     assert told(substring_dedup.remove_repeats(frame)) == brute(rows)
+
+
+def test_a_line_in_every_row(spark, monkeypatch):
+    """One line of 120 bytes in all rows: two rows a batch at most meet at its anchor."""
+    plain = substring_dedup._cut
+
+    def counted(batches):
+        for batch in plain(batches):
+            table = batch.to_pandas()
+            near = table[~table["apart"]].groupby("anchor").size()
+            assert near.max() <= 2 and (table.groupby("anchor")["mates"].sum() == (~table["again"]).groupby(table["anchor"]).sum()).all()
+            yield batch
+
+    random.seed(8)
+    noise = lambda n: "".join(random.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    line = noise(120)
+    rows = [(k, noise(130) + line + noise(110)) for k in range(300)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = brute(rows)
+    assert told(substring_dedup.remove_repeats(frame)) == want
+    monkeypatch.setattr(substring_dedup, "_cut", counted)
+    monkeypatch.setattr(substring_dedup, "HOT", 50)
+    assert told(substring_dedup.remove_repeats(frame)) == want
+
+
+def test_a_text_of_megabytes(spark):
+    random.seed(9)
+    noise = "".join(random.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(700_000))
+    rows = [(1, noise + noise[100_000:400_000]), (2, "é" * 200_000), (3, noise[650_000:])]
+    assert told(substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
