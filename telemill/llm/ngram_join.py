@@ -5,9 +5,11 @@
 2. Each representative has HASHES minima in bands; the rows per band are as many as the target recall at the
    threshold allows.  Band hashes are shuffled; each member of a bucket gets an edge to the bucket's smallest
    member, and the components of these edges hold every pair that shares a band.
-3. Within a component all pairs are verified on full shingle sets.  Members are dealt into blocks of bounded
-   size and pairs of blocks go to tasks, each of which returns the number of links and one edge per member:
-   no pair is ever a row.
+3. All pairs are verified on full shingle sets, within a component or, where that takes fewer copies of sets, within
+   each of its buckets: a component that chains many unlike texts is larger than any bucket, one of near copies has
+   the same members in many buckets.  A pair that shares several buckets counts in that of its first common band, so
+   both ways find the same.  Members are dealt into blocks of bounded size and pairs of blocks go to tasks, each of
+   which returns the number of links and one edge per member: no pair is ever a row.
 4. The components of the verified edges are the classes.
 
 Defined cases: a text without words (null, empty) is a class of its own without links; repeated rows are copies;
@@ -84,7 +86,7 @@ def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in _parts(batch):
             sets = shingle_sets(part["_text"].tolist())
             same = [len(s) > 0 and set_hash(s) == (a, b) for s, a, b in zip(sets, part["_h1"], part["_h2"], strict=True)]
-            out = part[["_rep", "root", "_blocks"]].assign(_set=[s.view(np.int64) for s in sets])
+            out = part[["_rep", "_split", "_groups", "_blocks", "_bands"]].assign(_set=[s.view(np.int64) for s in sets])
             yield out[same]
 
 
@@ -124,6 +126,13 @@ def _verify(group: pd.DataFrame) -> pd.DataFrame:
     else:
         linked = both >= THRESHOLD * (size[:, None] + size - both) - 1e-6
         np.fill_diagonal(linked, False)
+    if group["_split"].iloc[0]:  # a pair belongs to the bucket of its first common band
+        a, b = np.nonzero(linked)
+        bands = np.stack(group["_bands"].to_list()).astype(np.int64)
+        for at in range(0, len(a), 1 << 15):
+            x, y = a[at : at + (1 << 15)], b[at : at + (1 << 15)]
+            first = (bands[x] == bands[y]).argmax(1)
+            linked[x, y] = bands[x, first] == group["_g"].iloc[0]
     label, before = rep.copy(), None
     while before is None or (label != before).any():
         before = label
@@ -146,27 +155,36 @@ def _classify(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     signed = save(signed.mapInPandas(_sign, f"_id {kind}, _key long, _th long, _h1 long, _h2 long, _n int, _bands array<long>"), "signatures")
     total = signed.count()
     worded = signed.where("_n > 0").withColumn("_set_id", F.struct("_h1", "_h2"))
-    reps = worded.groupBy("_set_id").agg(F.min(F.struct(F.col("_id").isNull().alias("_none"), "_id", "_key")).alias("_first"), F.count("*").alias("_copies"), F.min("_bands").alias("_bands"))
-    reps = save(reps.select("_set_id", F.col("_first._id").alias("_rid"), F.col("_first._key").alias("_rep"), "_copies", "_bands"), "reps")
+    reps = worded.groupBy("_set_id").agg(F.min(F.struct(F.col("_id").isNull().alias("_none"), "_id", "_key", "_th")).alias("_first"), F.count("*").alias("_copies"), F.min("_bands").alias("_bands"))
+    reps = save(reps.select("_set_id", F.col("_first._id").alias("_rid"), F.col("_first._key").alias("_rep"), F.col("_first._th").alias("_th"), "_copies", "_bands"), "reps")
 
     # candidates: components of the edges from each member of a bucket to its smallest member
     banded = reps.select("_rep", F.explode("_bands").alias("_band"))
     buckets = banded.groupBy("_band").agg(F.min("_rep").alias("_least"), F.count("*").alias("_m")).where("_m > 1")
-    edges = join_groups(banded, buckets, "_band", "_m", reps.count() * BANDS, F.xxhash64("_rep", F.lit(2)))
-    near = components(edges.where("_rep != _least").select("_rep", "_least"), "_rep", "_least")
-
-    # verification on full sets, by pairs of blocks
-    members = near.groupBy("root").agg(F.count("*").alias("_m"))
+    within = join_groups(banded, buckets, "_band", "_m", reps.count() * BANDS, F.xxhash64("_rep", F.lit(2))).where("_m is not null")
+    within = save(within, "buckets")
+    near = components(within.where("_rep != _least").select("_rep", "_least"), "_rep", "_least")
+
+    # verification on full sets, by pairs of blocks of a component or of its buckets, whichever copies less
+    blocks = lambda m: F.ceil(F.col(m) / BLOCK).cast("int")
+    mine = within.groupBy("_rep").agg(F.collect_list(F.struct(F.col("_band").alias("g"), blocks("_m").alias("n"))).alias("_in"), F.sum(blocks("_m")).alias("_copies_in"))
+    near = save(near.join(mine, F.col("node") == F.col("_rep")), "members")
+    members = near.groupBy("root").agg(F.count("*").alias("_m"), F.sum("_copies_in").alias("_by_bucket"))
     near = join_groups(near, members, "root", "_m", max(1, near.count()), F.xxhash64("node", F.lit(3)))
-    asked = near.join(reps, F.col("node") == F.col("_rep")).select("_rep", "_rid", "root", F.ceil(F.col("_m") / BLOCK).cast("int").alias("_blocks"), F.col("_set_id._h1").alias("_h1"), F.col("_set_id._h2").alias("_h2"))
-    asked = save(asked, "candidates")
+    near = near.withColumn("_split", F.col("_by_bucket") < F.col("_m") * blocks("_m"))
+    near = near.withColumn("_in", F.when(F.col("_split"), F.col("_in")).otherwise(F.array(F.struct(F.col("root").alias("g"), blocks("_m").alias("n")))))
+    asked = near.drop("_rep").join(reps, F.col("node") == F.col("_rep")).select("_rep", "_rid", "_split", "_in.g", "_in.n", F.when(F.col("_split"), F.col("_bands")).alias("_bands"), F.col("_set_id._h1").alias("_h1"), F.col("_set_id._h2").alias("_h2"), "_th")
+    asked = save(asked.withColumnsRenamed({"g": "_groups", "n": "_blocks", "_th": "_rth"}), "candidates")
     asked = F.broadcast(asked) if asked.count() <= MAX_BROADCAST else asked
-    sets = rows.join(asked, F.col("_id").eqNullSafe(F.col("_rid"))).select("_text", "_rep", "root", "_blocks", "_h1", "_h2")
-    sets = sets.mapInPandas(_sets, "_rep long, root long, _blocks int, _set array<long>")
-    sets = sets.withColumn("_block", F.pmod(F.xxhash64("_rep"), F.col("_blocks")).cast("int"))
-    sets = sets.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    sets = sets.select("_rep", "root", "_block", "_set", F.least("_block", "_other").alias("_i"), F.greatest("_block", "_other").alias("_j"))
-    verified = save(sets.dropDuplicates(["_rep", "_i", "_j"]).groupBy("root", "_i", "_j").applyInPandas(_verify, "_rep long, _links long, _to long"), "links")
+    sets = rows.withColumn("_th", F.xxhash64("_text")).join(asked, F.col("_id").eqNullSafe(F.col("_rid")) & (F.col("_th") == F.col("_rth")))
+    sets = sets.select("_text", "_rep", "_split", "_groups", "_blocks", "_bands", "_h1", "_h2")
+    sets = sets.mapInPandas(_sets, "_rep long, _split boolean, _groups array<long>, _blocks array<int>, _bands array<long>, _set array<long>")
+    sets = sets.withColumn("_in", F.explode(F.arrays_zip("_groups", "_blocks"))).select("_rep", "_split", F.col("_in._groups").alias("_g"), F.col("_in._blocks").alias("_n"), "_bands", "_set")
+    sets = sets.withColumn("_block", F.pmod(F.xxhash64("_rep", "_g"), F.col("_n")).cast("int"))
+    sets = sets.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    sets = sets.select("_rep", "_split", "_g", "_bands", "_block", "_set", F.least("_block", "_other").alias("_i"), F.greatest("_block", "_other").alias("_j"))
+    verified = sets.dropDuplicates(["_rep", "_split", "_g", "_i", "_j"]).groupBy("_split", "_g", "_i", "_j").applyInPandas(_verify, "_rep long, _links long, _to long")
+    verified = save(verified, "links")
 
     # classes
     links = verified.groupBy("_rep").agg(F.sum("_links").alias("_links"))
