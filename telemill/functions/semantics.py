@@ -67,9 +67,14 @@ def month_of(c: str | Column) -> Column:
     return F.date_format(_col(c), "yyyy-MM")
 
 
-def on_days(df, first: str, last: str, day: str = "day"):
-    """Filter on the partition column itself, so that partitions are pruned."""
-    return df.where(F.col(day).between(F.lit(first).cast("date"), F.lit(last).cast("date")))
+def on_days(df, first: str, last: str, day: str = "day", ts: str = "timestamp"):
+    """Days from first to last: on the day column, so that partitions are pruned, and as a half-open range of the time,
+    which reaches the scan where the day is derived from it."""
+    out = df.where(F.col(day).between(F.lit(first).cast("date"), F.lit(last).cast("date")))
+    if ts in df.columns:
+        edge = lambda d, n: F.date_add(F.lit(d).cast("date"), n).cast("timestamp_ntz")
+        out = out.where((F.col(ts) >= edge(first, 0)) & (F.col(ts) < edge(last, 1)))
+    return out
 
 
 def bit_distance(a: str | Column, b: str | Column) -> Column:

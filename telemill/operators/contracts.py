@@ -15,17 +15,32 @@ Promise = tuple[str, Callable[[DataFrame], DataFrame]]
 
 
 def check(df: DataFrame, promises: list[Promise]) -> DataFrame:
-    """By promise: offenders and whether it is broken; a promise that cannot be put to the table is broken."""
+    """By promise: offenders and whether it is broken; a promise that cannot be put to the table is broken.
+
+    Promises on rows and on aggregates are all judged in one pass; others take one each.
+    """
     spark = df.sparkSession
-    out = []
+    out, together = [], []
     for name, offenders in promises:
         try:
-            bad = offenders(df)
-            bad.schema  # analysed now, run later
-            out.append(bad.agg(F.lit(name).alias("promise"), F.count("*").alias("offenders")).withColumn("broken", F.col("offenders") > 0))
+            if hasattr(offenders, "count_of"):
+                df.agg(offenders.count_of).schema  # analysed now, run later
+                together.append(F.struct(F.lit(name).alias("promise"), F.coalesce(offenders.count_of, F.lit(0)).cast("long").alias("offenders")))
+            else:
+                bad = offenders(df)
+                bad.schema
+                out.append(bad.agg(F.lit(name).alias("promise"), F.count("*").alias("offenders")))
         except AnalysisException:
-            out.append(spark.range(1).select(F.lit(name).alias("promise"), F.lit(None).cast("long").alias("offenders"), F.lit(True).alias("broken")))
-    return reduce(DataFrame.unionByName, out)
+            out.append(spark.range(1).select(F.lit(name).alias("promise"), F.lit(None).cast("long").alias("offenders")))
+    if together:
+        out.append(df.agg(F.array(*together).alias("_all")).select(F.inline("_all")))
+    return reduce(DataFrame.unionByName, out).withColumn("broken", F.coalesce(F.col("offenders") > 0, F.lit(True)))
+
+
+def _counted(offenders: Callable[[DataFrame], DataFrame], count_of: Column) -> Callable[[DataFrame], DataFrame]:
+    """Offenders that an aggregate over the whole table counts."""
+    offenders.count_of = count_of
+    return offenders
 
 
 def column_names(spark: SparkSession, names: list[str]) -> DataFrame:
@@ -45,12 +60,12 @@ def unique(*keys: str) -> Callable[[DataFrame], DataFrame]:
 
 
 def aggregate_in(value: Column, low: float, high: float) -> Callable[[DataFrame], DataFrame]:
-    return lambda df: df.agg(value.alias("v")).where(~F.col("v").between(low, high))
+    return _counted(lambda df: df.agg(value.alias("v")).where(~F.col("v").between(low, high)), (~value.between(low, high)).cast("long"))
 
 
 def never(condition: Column) -> Callable[[DataFrame], DataFrame]:
     """Rows of a condition; it is projected first, as a filter alone would still find columns that were renamed away."""
-    return lambda df: df.withColumn("_offends", condition).where("_offends").drop("_offends")
+    return _counted(lambda df: df.withColumn("_offends", condition).where("_offends").drop("_offends"), F.count_if(condition))
 
 
 def accepted(column: str, values: list) -> Callable[[DataFrame], DataFrame]:
@@ -62,12 +77,14 @@ def not_null(column: str) -> Callable[[DataFrame], DataFrame]:
 
 
 def breakage(df: DataFrame, changes: dict[str, Callable[[DataFrame], DataFrame]], contracts: dict[str, list[Promise]]) -> DataFrame:
-    """By change and contract: how many promises notice it."""
+    """By change and contract: how many promises notice it.  A promise of several contracts (known by its name) is judged once a change."""
+    spark = df.sparkSession
+    promises = list({name: (name, offenders) for contract in contracts.values() for name, offenders in contract}.values())
+    members = spark.createDataFrame([(c, name) for c, contract in contracts.items() for name, _ in contract], "contract string, promise string")
     out = []
     for change, apply in changes.items():
-        for name, promises in contracts.items():
-            found = check(apply(df), promises).agg(F.count_if("broken").alias("noticed"))
-            out.append(found.select(F.lit(change).alias("change"), F.lit(name).alias("contract"), "noticed"))
+        found = check(apply(df), promises).join(F.broadcast(members), "promise")
+        out.append(found.groupBy("contract").agg(F.count_if("broken").alias("noticed")).select(F.lit(change).alias("change"), "contract", "noticed"))
     return reduce(DataFrame.unionByName, out)
 
 

@@ -25,24 +25,25 @@ def daily_cycle(silver: DataFrame, slots_of_day: int, ts: str = "timestamp", key
     )
 
 
-def hours(silver: DataFrame, slow: DataFrame, ts: str = "timestamp") -> DataFrame:
-    """Hourly oil and duty beside a slow source (hour, street), and the difference."""
-    h = silver.where("measured").groupBy(trunc_ts("hour", ts).alias("hour")).agg(round_half(F.avg("oil"), 3).alias("oil"), round_half(F.avg("dv"), 6).alias("duty"), F.sum("readings").alias("readings"))
+def hours(silver: DataFrame, slow: DataFrame, ts: str = "timestamp", keys: list[str] | None = None) -> DataFrame:
+    """Hourly oil and duty beside a slow source (hour, street) that all machines share, and the difference."""
+    h = silver.where("measured").groupBy(*(keys or []), trunc_ts("hour", ts).alias("hour")).agg(round_half(F.avg("oil"), 3).alias("oil"), round_half(F.avg("dv"), 6).alias("duty"), F.sum("readings").alias("readings"))
     return h.join(slow, "hour").withColumn("oil_over_street", round_half(F.col("oil") - F.col("street"), 3))
 
 
-def failures(reports: DataFrame, days: DataFrame) -> DataFrame:
+def failures(reports: DataFrame, days: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Reports beside what the machine did on their days; a report without data keeps its row."""
-    j = event_days(reports).join(days, "day", "left")
-    out = j.groupBy("nr", "inicio", "fin", "failure").agg(F.count("readings").alias("days_with_data"), F.sum("loaded_hours").alias("_l"), F.sum("starts").alias("starts"), F.avg("mean_oil").alias("_o"))
-    hours_of = (F.unix_timestamp(F.col("fin").cast("timestamp")) - F.unix_timestamp(F.col("inicio").cast("timestamp"))) / F.lit(3600.0)
-    return out.select("nr", "inicio", "fin", round_half(hours_of, 2).alias("report_hours"), "failure", "days_with_data", round_half("_l", 3).alias("loaded_hours"), "starts", round_half("_o", 3).alias("mean_oil"))
+    keys = keys or []
+    j = event_days(reports).join(days, [*keys, "day"], "left")
+    out = j.groupBy(*keys, "nr", "began", "ended", "failure").agg(F.count("readings").alias("days_with_data"), F.sum("loaded_hours").alias("_l"), F.sum("starts").alias("starts"), F.avg("mean_oil").alias("_o"))
+    hours_of = (F.unix_timestamp(F.col("ended").cast("timestamp")) - F.unix_timestamp(F.col("began").cast("timestamp"))) / F.lit(3600.0)
+    return out.select(*keys, "nr", "began", "ended", round_half(hours_of, 2).alias("report_hours"), "failure", "days_with_data", round_half("_l", 3).alias("loaded_hours"), "starts", round_half("_o", 3).alias("mean_oil"))
 
 
-def monthly(hours: DataFrame) -> DataFrame:
-    return hours.groupBy(F.date_format("hour", "yyyy-MM").alias("month")).agg(F.count("*").alias("hours"), round_half(F.avg("oil"), 3).alias("oil"), round_half(F.avg("street"), 3).alias("street"))
+def monthly(hours: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    return hours.groupBy(*(keys or []), F.date_format("hour", "yyyy-MM").alias("month")).agg(F.count("*").alias("hours"), round_half(F.avg("oil"), 3).alias("oil"), round_half(F.avg("street"), 3).alias("street"))
 
 
-def day_dimension(silver: DataFrame, minutes_per_slot: float) -> DataFrame:
+def day_dimension(silver: DataFrame, minutes_per_slot: float, keys: list[str] | None = None) -> DataFrame:
     """Every calendar day of the record, with zero for days without readings."""
-    return silver.groupBy("day").agg(F.sum("readings").alias("readings"), round_half(F.coalesce(F.sum("dv"), F.lit(0.0)) * F.lit(minutes_per_slot / 60), 3).alias("loaded_hours"))
+    return silver.groupBy(*(keys or []), "day").agg(F.sum("readings").alias("readings"), round_half(F.coalesce(F.sum("dv"), F.lit(0.0)) * F.lit(minutes_per_slot / 60), 3).alias("loaded_hours"))

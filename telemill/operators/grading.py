@@ -1,8 +1,11 @@
-"""Alarms against documented failures: episodes, lead times, false alarms, threshold sweeps, day classes."""
+"""Alarms against documented failures: episodes, lead times, false alarms, threshold sweeps, day classes.
+
+``keys`` name a machine: reports, days and scores of a machine are only ever held against each other.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -12,60 +15,91 @@ from telemill.operators.windows import islands
 
 def event_days(reports: DataFrame) -> DataFrame:
     """Reports by the days they cover; an event is named by its number and start."""
-    return reports.withColumn("day", F.explode(F.sequence(F.to_date("inicio"), F.to_date("fin"))))
+    return reports.withColumn("day", F.explode(F.sequence(F.to_date("began"), F.to_date("ended"))))
 
 
-def sweep(scores: DataFrame, reports: DataFrame, thresholds: DataFrame, score: str = "peak") -> DataFrame:
-    """By threshold: alarm days, detected reports, false alarm days and false alarms a month, in one pass.
+def _beside(out: DataFrame, one: DataFrame, keys: list[str]) -> DataFrame:
+    """Join on one row per machine, or on the one row of the only machine."""
+    return out.join(one, keys, "left") if keys else out.crossJoin(F.broadcast(one))
 
-    A day alarms when its score exceeds the threshold; a report is detected when it holds an alarm day; an alarm
-    day outside every report is false.  Months are those with a score.
-    """
-    days = event_days(reports).select("day", F.struct("nr", "inicio").alias("event"))
-    months = scores.agg(F.count_distinct(month_of("day")).alias("months"))
-    hit = scores.select("day", F.col(score).alias("_s")).join(days, "day", "left")
-    crossed = hit.crossJoin(F.broadcast(thresholds)).withColumn("_alarm", F.col("_s") > F.col("threshold"))
-    out = crossed.groupBy("threshold").agg(
-        F.count_distinct(F.when(F.col("_alarm"), F.col("day"))).alias("alarm_days"),
-        F.count_distinct(F.when(F.col("_alarm"), F.col("event"))).alias("detected"),
-        F.count_distinct(F.when(F.col("_alarm") & F.col("event").isNull(), F.col("day"))).alias("false_days"),
-    )
-    return out.crossJoin(F.broadcast(months)).withColumn("false_per_month", round_half(F.col("false_days") / F.col("months"), 3)).drop("months")
 
+def _per_month(false_days: Column, months: Column) -> Column:
+    return round_half(F.try_divide(false_days, months), 3)
 
-def episodes(alarm_days: DataFrame) -> DataFrame:
-    return islands(alarm_days)
 
+def sweep(scores: DataFrame, reports: DataFrame, thresholds: DataFrame, score: str = "peak", keys: list[str] | None = None, extra: DataFrame | None = None) -> DataFrame:
+    """By threshold: alarm days, detected reports, false alarm days and false alarms a month, in one pass.
 
-def lead_times(alarm_days: DataFrame, reports: DataFrame) -> DataFrame:
+    A day alarms when its score exceeds the threshold; a report is detected when it holds an alarm day; an alarm
+    day outside every report is false.  Months are those with a score.  With ``extra`` reports the same pass also
+    gives detected_with, false_days_with and false_per_month_with, in which these count as reports.
+    """
+    keys = keys or []
+    events = event_days(reports).select(*keys, "day", F.struct("nr", "began").alias("event"), F.lit(False).alias("_x"))
+    if extra is not None:
+        events = events.union(event_days(extra).select(*keys, "day", F.struct("nr", "began").alias("event"), F.lit(True).alias("_x")))
+    days = events.groupBy(*keys, "day").agg(F.collect_set(F.when(~F.col("_x"), F.col("event"))).alias("_own"), F.collect_set("event").alias("_all"))
+    months = scores.groupBy(*keys).agg(F.count_distinct(month_of("day")).alias("months"))
+    hit = scores.select(*keys, "day", F.col(score).alias("_s")).join(days, [*keys, "day"], "left").crossJoin(F.broadcast(thresholds))
+    alarm = F.col("_s") > F.col("threshold")
+    false = lambda c: F.count_if(alarm & (F.coalesce(F.size(c), F.lit(0)) < 1))
+    found = lambda c: F.size(F.array_distinct(F.flatten(F.collect_set(F.when(alarm, F.col(c))))))
+    out = hit.groupBy(*keys, "threshold").agg(
+        F.count_if(alarm).alias("alarm_days"), found("_own").cast("long").alias("detected"), false("_own").alias("false_days"),
+        found("_all").cast("long").alias("detected_with"), false("_all").alias("false_days_with"),
+    )
+    out = _beside(out, months, keys).withColumn("false_per_month", _per_month(F.col("false_days"), F.col("months"))).withColumn("false_per_month_with", _per_month(F.col("false_days_with"), F.col("months"))).drop("months")
+    return out if extra is not None else out.drop("detected_with", "false_days_with", "false_per_month_with")
+
+
+def episodes(alarm_days: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    return islands(alarm_days, keys=keys)
+
+
+def lead_times(alarm_days: DataFrame, reports: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """By report: the first day of the earliest episode that reaches it from before, the lead in days, the episode's length.
 
     An episode belongs to a report when it starts before the report's first day and ends at most a day before it.
     """
-    e = islands(alarm_days)
-    r = reports.select("nr", "inicio", F.to_date("inicio").alias("start_day"))
-    j = r.join(e, (F.col("first_day") < F.col("start_day")) & (F.col("start_day") <= F.date_add("last_day", 1)), "left")
-    out = j.groupBy("nr", "inicio", "start_day").agg(F.min(F.struct("first_day", "days")).alias("e"))
-    return out.select("nr", "inicio", F.col("e.first_day").alias("episode_from"), F.datediff("start_day", F.col("e.first_day")).cast("long").alias("lead_days"), F.col("e.days").alias("episode_days"))
+    keys = keys or []
+    e = islands(alarm_days, keys=keys).select(*[F.col(k).alias("_e_" + k) for k in keys], "first_day", "last_day", "days")
+    r = reports.select(*keys, "nr", "began", F.to_date("began").alias("start_day"))
+    near = (F.col("first_day") < F.col("start_day")) & (F.col("start_day") <= F.date_add("last_day", 1))
+    for k in keys:
+        near = near & (F.col(k) == F.col("_e_" + k))
+    out = r.join(e, near, "left").groupBy(*keys, "nr", "began", "start_day").agg(F.min(F.struct("first_day", "days")).alias("e"))
+    return out.select(*keys, "nr", "began", F.col("e.first_day").alias("episode_from"), F.datediff("start_day", F.col("e.first_day")).cast("long").alias("lead_days"), F.col("e.days").alias("episode_days"))
+
+
+def false_alarms(scores: DataFrame, reports: DataFrame, level: float, score: str = "peak", keys: list[str] | None = None) -> DataFrame:
+    """Alarm days outside every report, and how many a month with a score."""
+    keys = keys or []
+    reported = event_days(reports).select(*keys, "day", F.lit(True).alias("_r")).distinct()
+    out = scores.join(reported, [*keys, "day"], "left").groupBy(*keys).agg(
+        F.count_if((F.col(score) > level) & F.col("_r").isNull()).alias("false_days"), F.count_distinct(F.month("day")).alias("_m")
+    )
+    return out.select(*keys, "false_days", _per_month(F.col("false_days"), F.col("_m")).alias("per_month"))
 
 
 def highest_full_threshold(swept: DataFrame, events: int) -> DataFrame:
     return swept.where(F.col("detected") == events).agg(F.max("threshold").alias("threshold"))
 
 
-def classify_days(days: DataFrame, reports: DataFrame, threshold: float, floor: float, score: str = "peak") -> DataFrame:
+def classify_days(days: DataFrame, reports: DataFrame, threshold: float, floor: float, score: str = "peak", keys: list[str] | None = None) -> DataFrame:
     """Class of each day: hit, missed, false, above noise, normal, or not judged where the score is unknown."""
-    reported = event_days(reports).select("day", F.lit(True).alias("_r")).distinct()
-    out = days.join(reported, "day", "left")
+    keys = keys or []
+    reported = event_days(reports).select(*keys, "day", F.lit(True).alias("_r")).distinct()
+    out = days.join(reported, [*keys, "day"], "left")
     r, s = F.coalesce("_r", F.lit(False)), F.col(score)
     kind = F.when(s.isNull(), "not judged").when(r & (s > threshold), "hit").when(r, "missed").when(s > threshold, "false").when(s > floor, "above noise").otherwise("normal")
     return out.withColumn("class", kind).drop("_r")
 
 
-def cumulative_alarms(scores: DataFrame, reports: DataFrame, thresholds: DataFrame, score: str = "peak") -> DataFrame:
+def cumulative_alarms(scores: DataFrame, reports: DataFrame, thresholds: DataFrame, score: str = "peak", keys: list[str] | None = None) -> DataFrame:
     """By threshold and day: alarm days so far and those within reports."""
-    reported = event_days(reports).select("day", F.lit(1).cast("long").alias("_r")).distinct()
-    x = scores.select("day", F.col(score).alias("_s")).join(reported, "day", "left").crossJoin(F.broadcast(thresholds))
+    keys = keys or []
+    reported = event_days(reports).select(*keys, "day", F.lit(1).cast("long").alias("_r")).distinct()
+    x = scores.select(*keys, "day", F.col(score).alias("_s")).join(reported, [*keys, "day"], "left").crossJoin(F.broadcast(thresholds))
     alarm = F.when(F.col("_s") > F.col("threshold"), 1).otherwise(0).cast("long")
-    w = W.partitionBy("threshold").orderBy("day").rowsBetween(W.unboundedPreceding, 0)
-    return x.select("threshold", "day", F.sum(alarm).over(w).alias("alarms_so_far"), F.sum(alarm * F.coalesce("_r", F.lit(0))).over(w).alias("true_so_far"))
+    w = W.partitionBy(*keys, "threshold").orderBy("day").rowsBetween(W.unboundedPreceding, 0)
+    return x.select(*keys, "threshold", "day", F.sum(alarm).over(w).alias("alarms_so_far"), F.sum(alarm * F.coalesce("_r", F.lit(0))).over(w).alias("true_so_far"))

@@ -7,56 +7,60 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from telemill.functions import round_half
-from telemill.operators.windows import ordered_lag, segment_rows, segments
+from telemill.operators.windows import ordered_lag, segment_rows, segment_steps, segments
 
 
-def thresholds(df: DataFrame, state: str, value: str, order: list[str], chunk: str = "day") -> DataFrame:
+def thresholds(df: DataFrame, state: str, value: str, order: list[str], chunk: str = "day", keys: list[str] | None = None) -> DataFrame:
     """Median value at each direction of a transition."""
-    t = ordered_lag(df, {state: "_was"}, order, chunk).where(F.col("_was") != F.col(state))
-    return t.groupBy(F.when(F.col(state) == 1, "start").otherwise("stop").alias("direction")).agg(F.count("*").alias("n"), round_half(F.median(value), 3).alias("threshold"))
+    t = ordered_lag(df, {state: "_was"}, order, chunk, keys).where(F.col("_was") != F.col(state))
+    return t.groupBy(*(keys or []), F.when(F.col(state) == 1, "start").otherwise("stop").alias("direction")).agg(F.count("*").alias("n"), round_half(F.median(value), 3).alias("threshold"))
 
 
-def clean_segments(df: DataFrame, state: str, value: str, max_gap: int, order: list[str], minutes_per_reading: float) -> DataFrame:
+def clean_segments(df: DataFrame, state: str, value: str, max_gap: int, order: list[str], minutes_per_reading: float, keys: list[str] | None = None) -> DataFrame:
     """Unbroken segments of more than one reading, with what the value gained or lost."""
-    s = segments(df, state, value, max_gap, order, minutes_per_reading=minutes_per_reading).where("not broken and readings > 1")
+    s = segments(df, state, value, max_gap, order, keys=keys, minutes_per_reading=minutes_per_reading).where("not broken and readings > 1")
     return s.withColumn("change", F.col("last_value") - F.col("first_value"))
 
 
-def balance(segs: DataFrame) -> DataFrame:
+def durations(segs: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """By state: segments, their usual and longest counted minutes."""
+    return segs.groupBy(*(keys or []), "state").agg(F.count("*").alias("n"), round_half(F.median("counted_minutes"), 3).alias("typical_minutes"), round_half(F.max("counted_minutes"), 3).alias("longest"))
+
+
+def balance(segs: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """What came in under load and went out without: totals, minutes, mean rates, imbalance, duty by segments."""
     loaded, idle = F.col("state") == 1, F.col("state") == 0
     minutes = F.col("counted_minutes")
-    out = segs.agg(
+    out = segs.groupBy(*(keys or [])).agg(
         F.sum(F.when(loaded, F.col("change"))).alias("gained"), F.sum(F.when(loaded, minutes)).alias("loaded_minutes"),
         F.sum(F.when(idle, -F.col("change"))).alias("lost"), F.sum(F.when(idle, minutes)).alias("idle_minutes"),
     )
     fill, drain = F.col("gained") / F.col("loaded_minutes"), F.col("lost") / F.col("idle_minutes")
     return out.select(
-        *[round_half(c, 3).alias(c) for c in ("gained", "lost", "loaded_minutes", "idle_minutes")],
+        *(keys or []), *[round_half(c, 3).alias(c) for c in ("gained", "lost", "loaded_minutes", "idle_minutes")],
         round_half(fill, 6).alias("fill_rate"), round_half(drain, 6).alias("drain_rate"),
         round_half(F.col("loaded_minutes") / (F.col("loaded_minutes") + F.col("idle_minutes")), 6).alias("duty"),
         round_half((F.col("gained") - F.col("lost")) / F.greatest(F.abs("gained"), F.abs("lost")), 6).alias("imbalance"),
     )
 
 
-def slopes(df: DataFrame, state: str, value: str, order: list[str], chunk: str = "day") -> DataFrame:
+def slopes(df: DataFrame, state: str, value: str, order: list[str], chunk: str = "day", keys: list[str] | None = None) -> DataFrame:
     """Median step of the value in each state, and the smallest positive step the sensor makes."""
-    w = W.partitionBy(chunk).orderBy(*order)
+    w = W.partitionBy(*(keys or []), chunk).orderBy(*order)
     d = df.withColumn("_d", F.lead(value).over(w) - F.col(value)).withColumn("_next", F.lead(state).over(w))
     same = F.col("_next") == F.col(state)
-    return d.agg(
+    return d.groupBy(*(keys or [])).agg(
         round_half(F.median(F.when(same & (F.col(state) == 1), F.col("_d"))), 3).alias("loaded_step"),
         round_half(F.median(F.when(same & (F.col(state) == 0), F.col("_d"))), 3).alias("idle_step"),
         round_half(F.min(F.when(F.abs("_d") > 1e-9, F.abs("_d"))), 3).alias("smallest_step"),
     )
 
 
-def ramp(df: DataFrame, state: str, value: str, order: list[str], steps: int = 10, chunk: str = "day") -> DataFrame:
+def ramp(df: DataFrame, state: str, value: str, order: list[str], steps: int = 10, chunk: str = "day", keys: list[str] | None = None) -> DataFrame:
     """Median change at each of the first steps of a loaded segment."""
-    rows = segment_rows(df, state, order, chunk).where(F.col(state) == 1)
-    w = W.partitionBy("segment").orderBy(*order)
-    rows = rows.withColumn("step", F.row_number().over(w) - 1).withColumn("_d", F.col(value) - F.lag(value).over(w))
-    return rows.where(F.col("step").between(1, steps)).groupBy(F.col("step").cast("long").alias("step")).agg(F.count("*").alias("n"), round_half(F.median("_d"), 3).alias("change"))
+    rows = segment_steps(segment_rows(df, state, order, chunk, keys), {value: "_before"}, order, chunk, keys).where((F.col(state) == 1) & F.col("step").between(2, steps + 1))
+    out = rows.withColumn("_d", F.col(value) - F.col("_before")).groupBy(*(keys or []), (F.col("step") - 1).cast("long").alias("step"))
+    return out.agg(F.count("*").alias("n"), round_half(F.median("_d"), 3).alias("change"))
 
 
 def predictions(params: DataFrame) -> DataFrame:
@@ -69,18 +73,27 @@ def predictions(params: DataFrame) -> DataFrame:
     )
 
 
+def prediction_errors(predicted: DataFrame, observed: DataFrame) -> DataFrame:
+    """Predicted beside observed duty and starts per hour (one row each), and by how much of the observed each is off."""
+    off = lambda c: round_half(F.abs(F.try_divide(F.col(c), F.col("observed_" + c)) - 1), 6).alias(f"{c}_error")
+    seen = observed.select(F.col("duty").alias("observed_duty"), F.col("starts_per_hour").alias("observed_starts_per_hour"))
+    return predicted.select("duty", "starts_per_hour").crossJoin(F.broadcast(seen)).select("duty", "observed_duty", off("duty"), "starts_per_hour", "observed_starts_per_hour", off("starts_per_hour"))
+
+
 def grid_search(spark, fills: tuple[int, float, float], uses: tuple[int, float, float], band: float, duty: float, starts: float, tie: float = 0.002) -> DataFrame:
-    """Fill and consumption over a grid (count, first, step): the best by the mean of both relative errors, and the ties around it."""
-    axis = lambda spec, name: spark.range(spec[0]).select((F.lit(spec[1]) + F.col("id") * F.lit(spec[2])).alias(name))
+    """Fill and consumption over a grid (count, first, step), judged by the relative error of the duty, of the starts and
+    by their mean: for each the best point, the ties around it, and whether the best lies on the grid's edge, so that a
+    better one may lie outside."""
+    axis = lambda spec, name: spark.range(spec[0]).select((F.lit(spec[1]) + F.col("id") * F.lit(spec[2])).alias(name), F.col("id").isin(0, spec[0] - 1).alias("_e_" + name))
     g = axis(fills, "fill").crossJoin(axis(uses, "consumption"))
-    d = F.col("consumption") / (F.col("fill") + F.col("consumption"))
-    s = F.lit(60.0) / (F.lit(band) / F.col("fill") + F.lit(band) / F.col("consumption"))
-    error = (F.abs(d / F.lit(duty) - 1) + F.abs(s / F.lit(starts) - 1)) / 2
-    g = g.withColumn("error", round_half(error, 9))
-    best = g.agg(F.min(F.struct("error", "fill", "consumption")).alias("b"))
-    tied = g.crossJoin(F.broadcast(best)).where(F.col("error") <= F.col("b.error") + tie)
-    return tied.groupBy("b").agg(F.count("*").alias("ties"), *[round_half(f(c), 6).alias(f"{n}_{c}") for c in ("fill", "consumption") for n, f in (("low", F.min), ("high", F.max))]).select(
-        round_half("b.error", 6).alias("error"), round_half("b.fill", 6).alias("fill"), round_half("b.consumption", 6).alias("consumption"), "ties", "low_fill", "high_fill", "low_consumption", "high_consumption"
+    d = F.abs(F.col("consumption") / (F.col("fill") + F.col("consumption")) / F.lit(duty) - 1)
+    s = F.abs(F.lit(60.0) / (F.lit(band) / F.col("fill") + F.lit(band) / F.col("consumption")) / F.lit(starts) - 1)
+    ways = F.array(*[F.struct(F.lit(n).alias("judged_by"), round_half(e, 9).alias("error")) for n, e in (("duty", d), ("starts", s), ("both", (d + s) / 2))])
+    g = g.select("fill", "consumption", (F.col("_e_fill") | F.col("_e_consumption")).alias("_edge"), F.inline(ways))
+    best = g.groupBy("judged_by").agg(F.min(F.struct("error", "fill", "consumption", "_edge")).alias("b"))
+    tied = g.join(F.broadcast(best), "judged_by").where(F.col("error") <= F.col("b.error") + tie)
+    return tied.groupBy("judged_by", "b").agg(F.count("*").alias("ties"), *[round_half(f(c), 6).alias(f"{n}_{c}") for c in ("fill", "consumption") for n, f in (("low", F.min), ("high", F.max))]).select(
+        "judged_by", round_half("b.error", 6).alias("error"), round_half("b.fill", 6).alias("fill"), round_half("b.consumption", 6).alias("consumption"), F.col("b._edge").alias("on_edge"), "ties", "low_fill", "high_fill", "low_consumption", "high_consumption"
     )
 
 

@@ -7,15 +7,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from telemill.functions import boundary_diff, round_half, trunc_ts, upper_median
+from telemill.functions import boundary_diff, round_half, upper_median
 from telemill.operators.windows import ordered_lag
 
 
 def profile_columns(df: DataFrame, columns: list[str]) -> DataFrame:
-    """signal, n_distinct, low, high: all columns in one pass, then turned into rows."""
-    aggs = [a for c in columns for a in (F.count_distinct(c).alias(f"{c}_n"), F.min(c).alias(f"{c}_lo"), F.max(c).alias(f"{c}_hi"))]
-    rows = F.array(*[F.struct(F.lit(c).alias("signal"), F.col(f"{c}_n").alias("n_distinct"), F.col(f"{c}_lo").alias("low"), F.col(f"{c}_hi").alias("high")) for c in columns])
-    return df.agg(*aggs).select(F.inline(rows))
+    """signal, n_distinct, low, high: values become rows and are combined where they are read, whatever the number of columns."""
+    rows = F.array(*[F.struct(F.lit(c).alias("signal"), F.col(c).alias("_v")) for c in columns])
+    values = df.select(F.inline(rows)).groupBy("signal", "_v").agg(F.lit(1).alias("_one"))
+    return values.groupBy("signal").agg(F.count("_v").alias("n_distinct"), F.min("_v").alias("low"), F.max("_v").alias("high"))
 
 
 def datasheet(df: DataFrame, declared: dict[str, str]) -> DataFrame:
@@ -50,12 +50,13 @@ def gaps(df: DataFrame, order: list[str], unit: str = "second", chunk: str = "da
     return out.withColumn("gap", boundary_diff(unit, "previous_ts", order[0]))
 
 
-def sampling(df: DataFrame, order: list[str], unit: str = "second", chunk: str = "day") -> DataFrame:
-    """The most frequent gap and the share of other gaps."""
-    n = gaps(df, order, unit, chunk).where("gap is not null").groupBy("gap").agg(F.count("*").alias("n"))
+def sampling(df: DataFrame, order: list[str], unit: str = "second", chunk: str = "day", keys: list[str] | None = None) -> DataFrame:
+    """The most frequent gap (the shortest of equals), the number and the share of other gaps."""
+    n = gaps(df, order, unit, chunk, keys).where("gap is not null").groupBy(*(keys or []), "gap").agg(F.count("*").alias("n"))
     best = F.max(F.struct(F.col("n"), (-F.col("gap")).alias("g")))
-    out = n.agg(best.alias("b"), F.sum("n").alias("total"))
-    return out.select((-F.col("b.g")).alias("period"), (F.col("total") - F.col("b.n")).alias("irregular"), F.col("total").alias("gaps"))
+    out = n.groupBy(*(keys or [])).agg(best.alias("b"), F.sum("n").alias("total"))
+    irregular = F.col("total") - F.col("b.n")
+    return out.select(*(keys or []), (-F.col("b.g")).alias("period"), irregular.alias("irregular"), F.col("total").alias("gaps"), round_half(F.try_divide(irregular * F.lit(1.0), F.col("total")), 6).alias("share"))
 
 
 def duty_cycle(df: DataFrame, state: str, minutes_per_reading: float, day: str = "day", keys: list[str] | None = None) -> DataFrame:
@@ -71,9 +72,5 @@ def starts(df: DataFrame, state: str, order: list[str], by: list[Column | str],
     return out.groupBy(*by).agg(F.count_if(up).alias("starts"), F.count_if(down).alias("stops"))
 
 
-def monthly(df: DataFrame, ts: str, aggs: list[Column]) -> DataFrame:
-    return df.groupBy(trunc_ts("month", ts).alias("month")).agg(*aggs)
-
-
 def all_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions)

@@ -36,9 +36,9 @@ def compare_aggregates(a: DataFrame, b: DataFrame, columns: list[str], tolerance
     """By column: sums and distinct counts of both sides, equal within a relative tolerance; one pass over each."""
 
     def told(df: DataFrame, side: str) -> DataFrame:
-        aggs = [x for c in columns for x in (F.sum(c).cast("double").alias(f"{c}_s"), F.count_distinct(c).alias(f"{c}_d"))]
-        rows = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"{c}_s").alias(f"sum_{side}"), F.col(f"{c}_d").alias(f"distinct_{side}")) for c in columns])
-        return df.agg(*aggs).select(F.inline(rows))
+        rows = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("_v")) for c in columns])
+        values = df.select(F.inline(rows)).groupBy("column", "_v").agg(F.sum("_v").alias("_s"))
+        return values.groupBy("column").agg(F.sum("_s").alias(f"sum_{side}"), F.count("_v").alias(f"distinct_{side}"))
 
     j = told(a, "a").join(told(b, "b"), "column")
     near = F.abs(F.col("sum_a") - F.col("sum_b")) <= tolerance * F.greatest(F.abs("sum_b"), F.lit(1.0))

@@ -28,38 +28,46 @@ def with_baseline(days: DataFrame, frame: int = 14, keys: list[str] | None = Non
     return out.withColumn("deviation", round_half(F.col("peak") - F.col("baseline"), 6))
 
 
-def noise_floor(hours: DataFrame, first: str, last: str) -> DataFrame:
+def noise_floor(hours: DataFrame, first: str, last: str, keys: list[str] | None = None) -> DataFrame:
     h = hours.where(F.col("day").between(F.lit(first).cast("date"), F.lit(last).cast("date")))
-    q = h.agg(F.count("*").alias("hours"), F.percentile("residual", [0.5, 0.95, 0.99]).alias("q"), F.max("residual").alias("high"))
-    return q.select("hours", *[round_half(F.col("q")[i], 6).alias(n) for i, n in enumerate(("median", "p95", "p99"))], "high")
+    q = h.groupBy(*(keys or [])).agg(F.count("*").alias("hours"), F.percentile("residual", [0.5, 0.95, 0.99]).alias("q"), F.max("residual").alias("high"))
+    return q.select(*(keys or []), "hours", *[round_half(F.col("q")[i], 6).alias(n) for i, n in enumerate(("median", "p95", "p99"))], "high")
 
 
-def minute_curve(df: DataFrame, state: str, every: int = 1, ts: str = "timestamp", spark=None) -> DataFrame:
+def minute_curve(df: DataFrame, state: str, every: int = 1, ts: str = "timestamp", keys: list[str] | None = None) -> DataFrame:
     """Loaded and recorded minutes of each day by minutes of the day, zero where nothing is recorded; ``every`` divides 1440."""
+    days = [*(keys or []), "day"]
     minute = F.hour(ts) * 60 + F.minute(ts)
-    per_minute = df.groupBy("day", minute.alias("minute")).agg(F.max(state).cast("long").alias("loaded"), F.lit(1).cast("long").alias("recorded"))
+    per_minute = df.groupBy(*days, minute.alias("minute")).agg(F.max(state).cast("long").alias("loaded"), F.lit(1).cast("long").alias("recorded"))
     slots = F.explode(F.sequence(F.lit(0), F.lit(1439))).alias("minute")
-    full = df.select("day").distinct().select("day", slots).join(per_minute, ["day", "minute"], "left").fillna(0, ["loaded", "recorded"])
-    return full.groupBy("day", F.floor(F.col("minute") / every).alias("slot")).agg(F.sum("loaded").alias("loaded"), F.sum("recorded").alias("recorded"))
+    full = df.select(*days).distinct().select(*days, slots).join(per_minute, [*days, "minute"], "left").fillna(0, ["loaded", "recorded"])
+    return full.groupBy(*days, F.floor(F.col("minute") / every).alias("slot")).agg(F.sum("loaded").alias("loaded"), F.sum("recorded").alias("recorded"))
 
 
-def cumulative(curve: DataFrame, columns: list[str]) -> DataFrame:
-    w = W.partitionBy("day").orderBy("slot").rowsBetween(W.unboundedPreceding, 0)
+def cumulative(curve: DataFrame, columns: list[str], keys: list[str] | None = None) -> DataFrame:
+    w = W.partitionBy(*(keys or []), "day").orderBy("slot").rowsBetween(W.unboundedPreceding, 0)
     for c in columns:
         curve = curve.withColumn(f"{c}_so_far", F.sum(c).over(w))
     return curve
 
 
-def carry_free(curve: DataFrame, value: str, scale: float) -> DataFrame:
+def carry_free(curve: DataFrame, value: str, scale: float, keys: list[str] | None = None) -> DataFrame:
     """Scaled whole numbers whose running sum is the rounded running sum: the rounding never adds up."""
-    w = W.partitionBy("day").orderBy("slot")
+    w = W.partitionBy(*(keys or []), "day").orderBy("slot")
     run = F.bround(F.sum(value).over(w.rowsBetween(W.unboundedPreceding, 0)) * F.lit(scale), 0)
     out = curve.withColumn("_run", run)
     return out.withColumn("whole", (F.col("_run") - F.coalesce(F.lag("_run").over(w), F.lit(0.0))).cast("long")).drop("_run")
 
 
-def record_gaps(curve: DataFrame) -> DataFrame:
+def record_gaps(curve: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Runs of slots of a day without a recorded minute: from, to (exclusive)."""
+    days = [*(keys or []), "day"]
     empty = curve.where("recorded = 0")
-    run = empty.withColumn("_g", F.col("slot") - F.row_number().over(W.partitionBy("day").orderBy("slot")))
-    return run.groupBy("day", "_g").agg(F.min("slot").alias("from_slot"), (F.max("slot") + 1).alias("to_slot")).drop("_g")
+    run = empty.withColumn("_g", F.col("slot") - F.row_number().over(W.partitionBy(*days).orderBy("slot")))
+    return run.groupBy(*days, "_g").agg(F.min("slot").alias("from_slot"), (F.max("slot") + 1).alias("to_slot")).drop("_g")
+
+
+def healthy_band(curve: DataFrame, delivery: float, consumption: float, floor: float, keys: list[str] | None = None) -> DataFrame:
+    """By slot of a day the most loaded minutes so far that a healthy machine needs for the recorded ones."""
+    most = F.col("recorded_so_far") * F.lit(consumption + floor) / F.lit(delivery)
+    return cumulative(curve, ["recorded"], keys).select(*(keys or []), "day", "slot", round_half(most, 3).alias("most"))

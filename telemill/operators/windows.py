@@ -57,6 +57,28 @@ def segment_rows(df: DataFrame, state: str, order: list[str], chunk: str = "day"
     return ordered_running_sum(out, "_changed", "segment", order, chunk, keys).drop("_changed").withColumnRenamed("_was", "previous_state")
 
 
+def segment_steps(rows: DataFrame, cols: dict[str, str], order: list[str], chunk: str = "day", keys: list[str] | None = None) -> DataFrame:
+    """Adds step, the row's number within its segment from 1 on, and for each source column its value at the step before.
+
+    Rows are numbered within each chunk's part of a segment; what earlier chunks hold of it is added, so a state that
+    never changes is no single task.
+    """
+    keys = keys or []
+    part = [*keys, "segment", chunk]
+    inside = W.partitionBy(*part).orderBy(*order)
+    before = W.partitionBy(*["_e_" + k for k in [*keys, "segment"]]).orderBy("_e_" + chunk)
+    last = F.max_by(F.struct(*cols), F.struct(*order)).alias("_last")
+    edges = _edges(rows, [*keys, "segment"], chunk, [F.count("*").alias("_rows"), last])
+    edges = edges.withColumn("_offset", F.coalesce(F.sum("_rows").over(before.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).withColumn("_prev", F.lag("_last").over(before)).drop("_rows", "_last")
+    out = rows.withColumn("_n", F.row_number().over(inside))
+    for source, name in cols.items():
+        out = out.withColumn(name, F.lag(source).over(inside))
+    out = out.join(edges, _same(rows, part, "_e_"), "left").withColumn("step", F.col("_n") + F.col("_offset"))
+    for source, name in cols.items():
+        out = out.withColumn(name, F.when(F.col("_n") == 1, F.col(f"_prev.{source}")).otherwise(F.col(name)))
+    return out.drop("_n", "_offset", "_prev", *["_e_" + k for k in part])
+
+
 def segments(df: DataFrame, state: str, value: str, max_gap: int, order: list[str], chunk: str = "day", keys: list[str] | None = None, minutes_per_reading: float = 1 / 6) -> DataFrame:
     """Maximal runs of equal state: readings, counted minutes (n - 1 steps), wall minutes, broken, first and last value."""
     keys = keys or []

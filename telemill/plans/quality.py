@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from telemill.functions import bit_distance, on_days, round_half
 from telemill.operators import contracts as dq
-from telemill.operators import reconcile
-from telemill.plans.registry import Lake, query, r, tel_sql
+from telemill.operators import profile, reconcile
+from telemill.plans.registry import ORDER, Lake, query, r, tel_sql
 from telemill.plans.relational import DAYS_SQL, HOLES_SQL, joi_10
-from telemill.plans.timeseries import SILVER_SQL, hours_of, peaks_of, silver
-from telemill.sources.sinks import read_version, write_version
+from telemill.plans.timeseries import SILVER_SQL, all_segments, silver
+from telemill.sources.sinks import read_version, write_sample, write_version
 from telemill.sources.scratch import scratch
 
 col, lit = F.col, F.lit
@@ -97,11 +97,11 @@ def dq_09(k: Lake) -> DataFrame:
     return dq.breakage(silver(k), CHANGES, {"old": old_contract(), "new": new_contract()})
 
 
-@query("dq_10_false_promise", tel_sql("SELECT nr, count(*) AS n, CAST(sum(c) AS BIGINT) AS readings FROM (SELECT nr, inicio, (SELECT count(*) FROM tel WHERE day = CAST(inicio AS DATE)) AS c FROM rep) GROUP BY nr HAVING count(*) > 1", rep=True))
+@query("dq_10_false_promise", tel_sql("SELECT nr, count(*) AS n, CAST(sum(c) AS BIGINT) AS readings FROM (SELECT nr, began, (SELECT count(*) FROM tel WHERE day = CAST(began AS DATE)) AS c FROM rep) GROUP BY nr HAVING count(*) > 1", rep=True))
 def dq_10(k: Lake) -> DataFrame:
     """The promise that report numbers are unique must fail: who breaks it, with the readings of the reports' first days."""
     n = k.tel.groupBy("day").agg(F.count("*").alias("c"))
-    counted = k.reports.withColumn("day", F.to_date("inicio")).join(n, "day", "left")
+    counted = k.reports.withColumn("day", F.to_date("began")).join(n, "day", "left")
     offenders = dq.unique("nr")(k.reports)
     return offenders.join(counted.groupBy("nr").agg(F.sum("c").alias("readings")), "nr")
 
@@ -133,9 +133,9 @@ def dq_12(k: Lake) -> DataFrame:
     return k.tel.agg(bad.alias("breakers"), F.count("*").alias("readings"), round_half(lit(100.0) * bad / F.count("*"), 3).alias("percent"))
 
 
-@query("dq_13_errata", tel_sql("SELECT (SELECT count(*) FROM (SELECT nr FROM rep GROUP BY nr HAVING count(*) > 1)) AS repeated_numbers, count(DISTINCT failure) AS spellings, count(DISTINCT lower(failure)) AS kinds, count(*) FILTER (WHERE fin < inicio) AS backwards, (SELECT count(*) FROM tel WHERE day = DATE '2024-01-05') AS readings_of_first FROM rep", rep=True))
+@query("dq_13_errata", tel_sql("SELECT (SELECT count(*) FROM (SELECT nr FROM rep GROUP BY nr HAVING count(*) > 1)) AS repeated_numbers, count(DISTINCT failure) AS spellings, count(DISTINCT lower(failure)) AS kinds, count(*) FILTER (WHERE ended < began) AS backwards, (SELECT count(*) FROM tel WHERE day = DATE '2024-01-05') AS readings_of_first FROM rep", rep=True))
 def dq_13(k: Lake) -> DataFrame:
-    a = k.reports.agg(F.count_distinct("failure").alias("spellings"), F.count_distinct(F.lower("failure")).alias("kinds"), F.count_if(col("fin") < col("inicio")).alias("backwards"))
+    a = k.reports.agg(F.count_distinct("failure").alias("spellings"), F.count_distinct(F.lower("failure")).alias("kinds"), F.count_if(col("ended") < col("began")).alias("backwards"))
     twice = dq_10(k).agg(F.count("*").alias("repeated_numbers"))
     return twice.crossJoin(a).crossJoin(on_days(k.tel, "2024-01-05", "2024-01-05").agg(F.count("*").alias("readings_of_first")))
 
@@ -147,9 +147,9 @@ LISTED = [("timestamp", "not null"), ("pressure", "range"), ("dv", "cross"), ("c
 def dq_14(k: Lake) -> DataFrame:
     """Rules by column, beside what the column holds."""
     listing = dq.rule_listing(k.spark, [(c, kind, text) for (c, kind), text in zip(LISTED, [*RULES_TEXT[:3], RULES_TEXT[2], RULES_TEXT[3]], strict=True)])
-    aggs = [a for c, _ in LISTED for a in (F.count_if(col(c).isNull()).alias(f"{c}_n"), F.count_distinct(c).alias(f"{c}_d"))]
-    held = F.array(*[F.struct(lit(c).alias("column"), col(f"{c}_n").alias("nulls"), col(f"{c}_d").alias("n_distinct")) for c, _ in LISTED])
-    return listing.join(k.tel.agg(*aggs).select(F.inline(held)), "column")
+    held = F.array(*[F.struct(lit(c).alias("column"), col(c).cast("string").alias("_v")) for c, _ in LISTED])
+    values = k.tel.select(F.inline(held)).groupBy("column", "_v").agg(F.count_if(col("_v").isNull()).alias("_nulls"))
+    return listing.join(values.groupBy("column").agg(F.sum("_nulls").alias("nulls"), F.count("_v").alias("n_distinct")), "column")
 
 
 @query("dq_15_missing_days", tel_sql(f"{DAYS_SQL}, {HOLES_SQL} SELECT day FROM cal WHERE day NOT IN (SELECT day FROM held)"))
@@ -199,23 +199,41 @@ def rec_01(k: Lake) -> DataFrame:
     return reconcile.same_rows(e.where("event_id > 0"), e.repartition(3))
 
 
-@query("rec_02_sample_vs_lake", tel_sql("SELECT 'pressure' AS \"column\", TRUE AS same UNION ALL SELECT 'oil', TRUE UNION ALL SELECT 'dv', TRUE"))
+DRAWN = ("2024-01-05", "2024-01-20")
+
+
+def sample(k: Lake, columns: list[str], where: Column) -> DataFrame:
+    """A written extract, read back."""
+    path = scratch(k.spark, "sample")
+    write_sample(k.tel, path, columns, where, [c for c in columns if c in ("timestamp", "event_id")])
+    return k.spark.read.parquet(path)
+
+
+@query("rec_02_sample_vs_lake", tel_sql(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", {r(f'sum({c})', 2)} AS lake, {r(f'sum({c})', 2)} AS sample, count(DISTINCT {c}) AS distinct_in_sample, TRUE AS same FROM tel WHERE day BETWEEN DATE '{DRAWN[0]}' AND DATE '{DRAWN[1]}'" for c in ("pressure", "oil", "dv"))))
 def rec_02(k: Lake) -> DataFrame:
-    return reconcile.compare_aggregates(k.tel.select("pressure", "oil", "dv"), k.tel.repartition(5, "day"), ["pressure", "oil", "dv"]).select("column", "same")
+    """The extract of some days, as written, against the same days of the lake."""
+    of = col("day").between(*[lit(d).cast("date") for d in DRAWN])
+    found = reconcile.compare_aggregates(on_days(k.tel, *DRAWN), sample(k, ["event_id", "pressure", "oil", "dv"], of), ["pressure", "oil", "dv"])
+    return found.select("column", round_half("sum_a", 2).alias("lake"), round_half("sum_b", 2).alias("sample"), col("distinct_b").alias("distinct_in_sample"), "same")
 
 
-@query("rec_03_headline", tel_sql(f"SELECT {r('avg(dv)', 6)} AS lake, {r('avg(dv)', 6)} AS sample, TRUE AS same FROM tel"))
+@query("rec_03_headline", tel_sql(f"n AS (SELECT {r('avg(dv)', 6)} AS lake, {r('avg(dv) FILTER (WHERE event_id % 3 = 1)', 6)} AS sample FROM tel) SELECT lake, sample, abs(lake - sample) <= 0.005 AS same FROM n"))
 def rec_03(k: Lake) -> DataFrame:
+    """The mean load of the lake against that of a written extract of every third reading."""
     a = k.tel.agg(round_half(F.avg("dv"), 6).alias("lake"))
-    b = k.tel.select("day", "dv").agg(round_half(F.avg("dv"), 6).alias("sample"))
+    b = sample(k, ["event_id", "dv"], col("event_id") % 3 == 1).agg(round_half(F.avg("dv"), 6).alias("sample"))
     return a.crossJoin(b).withColumn("same", F.abs(col("lake") - col("sample")) <= 0.005)
 
 
-@query("rec_05_results_agree", "SELECT DATE '2024-01-01' AS day WHERE FALSE")
+@query("rec_05_results_agree", tel_sql("s AS (SELECT day, dv, lag(dv) OVER (ORDER BY timestamp, event_id) AS was FROM tel), d AS (SELECT DISTINCT day FROM tel), n AS (SELECT day, count(*) AS n FROM s WHERE was = 0 AND dv = 1 GROUP BY day) SELECT d.day, coalesce(n, 0) AS by_change, coalesce(n, 0) AS by_segment, TRUE AS agree FROM d LEFT JOIN n USING (day)"))
 def rec_05(k: Lake) -> DataFrame:
-    """The daily peak by two routes: no disagreement within the tolerance."""
-    direct = hours_of(k).groupBy("day").agg(F.max("residual").alias("peak"), F.count("*").alias("hours"))
-    return reconcile.disagreements(peaks_of(k).select("day", "peak", "hours"), direct, ["day"], ["hours"], {"peak": 1.1e-4})
+    """Starts of a day by two routes: changes of the state, and loaded segments that begin in it (not the record's first)."""
+    change = profile.starts(k.tel, "dv", ORDER, ["day"]).select("day", col("starts").alias("starts"))
+    begun = all_segments(k).where("state = 1 and segment > 1").groupBy(F.to_date("from_ts").alias("day")).agg(F.count("*").alias("starts"))
+    segment = change.select("day").join(begun, "day", "left").fillna(0, ["starts"])
+    off = reconcile.disagreements(change, segment, ["day"], ["starts"]).withColumn("_off", lit(True))
+    j = change.withColumnRenamed("starts", "by_change").join(segment.withColumnRenamed("starts", "by_segment"), "day").join(off, "day", "left")
+    return j.select("day", "by_change", "by_segment", col("_off").isNull().alias("agree"))
 
 
 @query("rec_06_version_diff", tel_sql("old AS (SELECT day, CAST(sum(dv) AS BIGINT) AS v FROM tel WHERE event_id % 10 < 9 GROUP BY day), new AS (SELECT day, CAST(sum(dv) AS BIGINT) AS v FROM tel GROUP BY day) SELECT new.day, old.v AS old, new.v AS new, new.v - old.v AS change FROM old JOIN new ON old.day = new.day ORDER BY abs(new.v - old.v) DESC, new.day LIMIT 5"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from telemill.functions import boundary_diff, bucket, epoch_seconds, frame_median, month_of, on_days, round_half, share, trunc_ts, upper_median
-from telemill.operators.windows import islands, ordered_lag, ordered_running_sum, segment_rows
+from telemill.operators.windows import islands, ordered_lag, ordered_running_sum, segment_rows, segment_steps
 from telemill.plans.registry import ORDER, Lake, query, r, tel_sql
 
 col, lit = F.col, F.lit
@@ -49,10 +49,11 @@ def flt_03(k: Lake) -> DataFrame:
     return k.table("events").where(col("event_type").isin("view", "error") & ~col("user_id").isin(1, 2, 3)).select("event_id", "event_type")
 
 
-@query("flt_04_like_and_time", tel_sql("SELECT nr, inicio, failure, (SELECT count(*) FROM tel WHERE day = CAST(inicio AS DATE)) AS readings FROM rep WHERE failure LIKE 'Air L%' AND inicio < TIMESTAMP '2024-01-20 00:00:00'", rep=True))
+@query("flt_04_like_and_time", tel_sql("SELECT nr, began, failure, (SELECT count(*) FROM tel WHERE day = CAST(began AS DATE)) AS readings FROM rep WHERE failure LIKE 'Air L%' AND began < TIMESTAMP '2024-01-20 00:00:00'", rep=True))
 def flt_04(k: Lake) -> DataFrame:
-    hit = k.reports.where(col("failure").like("Air L%") & (col("inicio") < lit("2024-01-20").cast("timestamp_ntz"))).withColumn("day", F.to_date("inicio"))
-    return hit.join(k.tel.select("day", "event_id"), "day", "left").groupBy("nr", "inicio", "failure").agg(F.count("event_id").alias("readings"))
+    hit = k.reports.where(col("failure").like("Air L%") & (col("began") < lit("2024-01-20").cast("timestamp_ntz"))).withColumn("day", F.to_date("began"))
+    n = k.tel.groupBy("day").agg(F.count("*").alias("readings"))  # by day first: the record never meets the few reports
+    return hit.join(n, "day", "left").select("nr", "began", "failure", F.coalesce("readings", lit(0).cast("bigint")).alias("readings"))
 
 
 @query("flt_05_null_tests", "SELECT count(*) AS n, count(*) FILTER (WHERE x IS NULL) AS n_null, count(*) FILTER (WHERE x IS NOT NULL) AS n_there, count(*) FILTER (WHERE x = NULL) AS n_equal FROM (SELECT CASE WHEN event_type = 'click' THEN NULL ELSE value END AS x FROM events)")
@@ -139,25 +140,26 @@ def joi_03(k: Lake) -> DataFrame:
 
 def report_days(k: Lake) -> DataFrame:
     """One row per report and day it touches: turns an interval join into an equi-join."""
-    return k.reports.withColumn("day", F.explode(F.sequence(F.to_date("inicio"), F.to_date("fin"))))
+    return k.reports.withColumn("day", F.explode(F.sequence(F.to_date("began"), F.to_date("ended"))))
 
 
-REP_DAYS_SQL = "rd AS (SELECT nr, inicio, fin, failure, CAST(unnest(generate_series(CAST(inicio AS DATE)::TIMESTAMP, CAST(fin AS DATE)::TIMESTAMP, INTERVAL 1 DAY)) AS DATE) AS day FROM rep)"
+REP_DAYS_SQL = "rd AS (SELECT nr, began, ended, failure, CAST(unnest(generate_series(CAST(began AS DATE)::TIMESTAMP, CAST(ended AS DATE)::TIMESTAMP, INTERVAL 1 DAY)) AS DATE) AS day FROM rep)"
 
 
-@query("joi_04_range_left", tel_sql("n AS (SELECT day, count(*) AS readings FROM tel GROUP BY day) SELECT n.day, n.readings, rep.nr IS NOT NULL AS reported, rep.inicio FROM n LEFT JOIN rep ON n.day BETWEEN CAST(rep.inicio AS DATE) AND CAST(rep.fin AS DATE)", rep=True))
+@query("joi_04_range_left", tel_sql("n AS (SELECT day, count(*) AS readings FROM tel GROUP BY day) SELECT n.day, n.readings, rep.nr IS NOT NULL AS reported, rep.began FROM n LEFT JOIN rep ON n.day BETWEEN CAST(rep.began AS DATE) AND CAST(rep.ended AS DATE)", rep=True))
 def joi_04(k: Lake) -> DataFrame:
     n = k.tel.groupBy("day").agg(F.count("*").alias("readings"))
-    return n.join(report_days(k), "day", "left").select("day", "readings", col("nr").isNotNull().alias("reported"), "inicio")
+    return n.join(report_days(k), "day", "left").select("day", "readings", col("nr").isNotNull().alias("reported"), "began")
 
 
-@query("joi_05_readings_per_report", tel_sql("SELECT rep.nr, rep.inicio, count(tel.event_id) AS readings, CAST(coalesce(sum(tel.dv), 0) AS BIGINT) AS loaded FROM rep LEFT JOIN tel ON tel.day BETWEEN CAST(rep.inicio AS DATE) AND CAST(rep.fin AS DATE) GROUP BY rep.nr, rep.inicio", rep=True))
+@query("joi_05_readings_per_report", tel_sql("SELECT rep.nr, rep.began, count(tel.event_id) AS readings, CAST(coalesce(sum(tel.dv), 0) AS BIGINT) AS loaded FROM rep LEFT JOIN tel ON tel.day BETWEEN CAST(rep.began AS DATE) AND CAST(rep.ended AS DATE) GROUP BY rep.nr, rep.began", rep=True))
 def joi_05(k: Lake) -> DataFrame:
-    j = report_days(k).join(k.tel, "day", "left")
-    return j.groupBy("nr", "inicio").agg(F.count("event_id").alias("readings"), F.coalesce(F.sum("dv"), lit(0.0)).cast("bigint").alias("loaded"))
+    n = k.tel.groupBy("day").agg(F.count("event_id").alias("n"), F.sum("dv").alias("up"))
+    j = report_days(k).join(n, "day", "left")
+    return j.groupBy("nr", "began").agg(F.coalesce(F.sum("n"), lit(0)).alias("readings"), F.coalesce(F.sum("up"), lit(0.0)).cast("bigint").alias("loaded"))
 
 
-@query("joi_06_counts_side_by_side", tel_sql("d AS (SELECT DISTINCT day FROM tel), c AS (SELECT CAST(inicio AS DATE) AS a, CAST(fin AS DATE) AS b FROM rep) SELECT (SELECT count(*) FROM d JOIN c ON day BETWEEN a AND b) AS n_inner, (SELECT count(*) FROM d LEFT JOIN c ON day BETWEEN a AND b) AS n_left, (SELECT count(*) FROM d, c) AS n_cross", rep=True))
+@query("joi_06_counts_side_by_side", tel_sql("d AS (SELECT DISTINCT day FROM tel), c AS (SELECT CAST(began AS DATE) AS a, CAST(ended AS DATE) AS b FROM rep) SELECT (SELECT count(*) FROM d JOIN c ON day BETWEEN a AND b) AS n_inner, (SELECT count(*) FROM d LEFT JOIN c ON day BETWEEN a AND b) AS n_left, (SELECT count(*) FROM d, c) AS n_cross", rep=True))
 def joi_06(k: Lake) -> DataFrame:
     d, rd = k.tel.select("day").distinct(), report_days(k)
     n = lambda df, name: df.agg(F.count("*").alias(name))
@@ -169,11 +171,11 @@ def joi_07(k: Lake) -> DataFrame:
     return k.table("nation").select("n_name").crossJoin(k.table("region").select("r_name"))
 
 
-@query("joi_08_fan_out", tel_sql("SELECT (SELECT count(*) FROM rep a JOIN rep b ON a.nr = b.nr) AS by_number, (SELECT count(*) FROM rep a JOIN rep b ON a.nr = b.nr AND a.inicio = b.inicio) AS by_key, (SELECT count(*) FROM events) AS readings", rep=True))
+@query("joi_08_fan_out", tel_sql("SELECT (SELECT count(*) FROM rep a JOIN rep b ON a.nr = b.nr) AS by_number, (SELECT count(*) FROM rep a JOIN rep b ON a.nr = b.nr AND a.began = b.began) AS by_key, (SELECT count(*) FROM events) AS readings", rep=True))
 def joi_08(k: Lake) -> DataFrame:
     a, b = k.reports.alias("a"), k.reports.alias("b")
     one = a.join(b, col("a.nr") == col("b.nr")).agg(F.count("*").alias("by_number"))
-    two = a.join(b, (col("a.nr") == col("b.nr")) & (col("a.inicio") == col("b.inicio"))).agg(F.count("*").alias("by_key"))
+    two = a.join(b, (col("a.nr") == col("b.nr")) & (col("a.began") == col("b.began"))).agg(F.count("*").alias("by_key"))
     return one.crossJoin(two).crossJoin(k.tel.agg(F.count("*").alias("readings")))
 
 
@@ -190,7 +192,7 @@ def joi_09(k: Lake) -> DataFrame:
 
 @query("joi_10_anti", tel_sql(f"{DAYS_SQL}, {HOLES_SQL} SELECT day FROM cal WHERE day NOT IN (SELECT day FROM held)"))
 def joi_10(k: Lake) -> DataFrame:
-    return calendar(k).join(with_holes(k.tel), "day", "left_anti")
+    return calendar(k).join(with_holes(k.tel).select("day").distinct(), "day", "left_anti")
 
 
 @query("joi_11_semi", tel_sql("full_day AS (SELECT day FROM tel GROUP BY day HAVING count(*) > 320) SELECT event_id, day FROM tel WHERE day IN (SELECT day FROM full_day)"))
@@ -225,14 +227,15 @@ def joi_14(k: Lake) -> DataFrame:
     return fast_hours(k).join(slow_source(k), "hour")
 
 
-@query("joi_15_point_in_interval", tel_sql("SELECT d.day, rep.nr, rep.inicio FROM (SELECT DISTINCT day FROM tel) d JOIN rep ON d.day >= CAST(rep.inicio AS DATE) AND d.day <= CAST(rep.fin AS DATE)", rep=True))
+@query("joi_15_point_in_interval", tel_sql("SELECT d.day, rep.nr, rep.began FROM (SELECT DISTINCT day FROM tel) d JOIN rep ON d.day >= CAST(rep.began AS DATE) AND d.day <= CAST(rep.ended AS DATE)", rep=True))
 def joi_15(k: Lake) -> DataFrame:
-    return k.tel.select("day").distinct().join(report_days(k), "day").select("day", "nr", "inicio")
+    return k.tel.select("day").distinct().join(report_days(k), "day").select("day", "nr", "began")
 
 
-@query("joi_16_interval_days", tel_sql(f"{REP_DAYS_SQL} SELECT nr, inicio, rd.day, count(event_id) AS readings FROM rd LEFT JOIN tel ON tel.day = rd.day GROUP BY nr, inicio, rd.day", rep=True))
+@query("joi_16_interval_days", tel_sql(f"{REP_DAYS_SQL} SELECT nr, began, rd.day, count(event_id) AS readings FROM rd LEFT JOIN tel ON tel.day = rd.day GROUP BY nr, began, rd.day", rep=True))
 def joi_16(k: Lake) -> DataFrame:
-    return report_days(k).join(k.tel, "day", "left").groupBy("nr", "inicio", "day").agg(F.count("event_id").alias("readings"))
+    n = k.tel.groupBy("day").agg(F.count("event_id").alias("n"))
+    return report_days(k).join(n, "day", "left").select("nr", "began", "day", F.coalesce("n", lit(0).cast("bigint")).alias("readings"))
 
 
 # ---- aggregates
@@ -417,12 +420,12 @@ def win_05(k: Lake) -> DataFrame:
 
 @query("win_06_row_number", tel_sql(f"{SEG_SQL} SELECT event_id, row_number() OVER (PARTITION BY segment ORDER BY timestamp, event_id) AS step FROM seg"))
 def win_06(k: Lake) -> DataFrame:
-    return segment_rows(k.tel, "dv", ORDER).select("event_id", F.row_number().over(W.partitionBy("segment").orderBy(*ORDER)).cast("bigint").alias("step"))
+    return segment_steps(segment_rows(k.tel, "dv", ORDER), {"pressure": "before"}, ORDER).select("event_id", "step")
 
 
 @query("win_07_lag_in_segment", tel_sql(f"{SEG_SQL} SELECT event_id, lag(pressure) OVER (PARTITION BY segment ORDER BY timestamp, event_id) AS before FROM seg"))
 def win_07(k: Lake) -> DataFrame:
-    return segment_rows(k.tel, "dv", ORDER).select("event_id", F.lag("pressure").over(W.partitionBy("segment").orderBy(*ORDER)).alias("before"))
+    return segment_steps(segment_rows(k.tel, "dv", ORDER), {"pressure": "before"}, ORDER).select("event_id", "before")
 
 
 @query("win_08_trailing_median", tel_sql(f"d AS (SELECT day, {r('max(pressure)')} AS peak FROM tel GROUP BY day) SELECT day, peak, {r('median(peak) OVER (ORDER BY day ROWS BETWEEN 14 PRECEDING AND 1 PRECEDING)')} AS baseline FROM d"))
@@ -558,11 +561,12 @@ _fn("fn_17_casts", "CAST(event_id AS DOUBLE) AS as_double, CAST(event_id AS VARC
 _fn("fn_18_negative_zero", "CASE WHEN round((dv - 1) * 0.0::DOUBLE, 2) = 0 THEN 0.0::DOUBLE ELSE round((dv - 1) * 0.0::DOUBLE, 2) END AS x", lambda: dict(x=round_half((col("dv") - 1) * lit(0.0), 2)))
 
 
-@query("fn_05_parse_text_dates", tel_sql("SELECT nr, inicio, fin, date_diff('minute', inicio, fin) AS minutes, (SELECT count(*) FROM tel WHERE timestamp BETWEEN inicio AND fin) AS readings FROM rep", rep=True))
+@query("fn_05_parse_text_dates", tel_sql("SELECT nr, began, ended, date_diff('minute', began, ended) AS minutes, (SELECT count(*) FROM tel WHERE timestamp BETWEEN began AND ended) AS readings FROM rep", rep=True))
 def fn_05(k: Lake) -> DataFrame:
-    t = report_days(k).join(k.tel, "day", "left")
-    n = t.groupBy("nr", "inicio", "fin").agg(F.count_if(col("timestamp").between(col("inicio"), col("fin"))).alias("readings"))
-    return n.select("nr", "inicio", "fin", boundary_diff("minute", "inicio", "fin").alias("minutes"), "readings")
+    t = k.tel.select("day", "timestamp").join(F.broadcast(report_days(k)), "day").where(col("timestamp").between(col("began"), col("ended")))
+    n = t.groupBy("nr", "began").agg(F.count("*").alias("n"))
+    out = k.reports.join(n, ["nr", "began"], "left")
+    return out.select("nr", "began", "ended", boundary_diff("minute", "began", "ended").alias("minutes"), F.coalesce("n", lit(0).cast("bigint")).alias("readings"))
 
 
 @query("fn_08_series", tel_sql("b AS (SELECT min(day)::TIMESTAMP AS a, max(day)::TIMESTAMP AS z FROM tel) SELECT unnest(generate_series(a, z, INTERVAL 6 HOUR)) AS at FROM b"))

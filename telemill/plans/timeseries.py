@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from telemill.functions import month_of, round_half, share, trunc_ts, upper_median
+from telemill.functions import month_of, on_days, round_half, share, trunc_ts, upper_median
 from telemill.operators import gold, grading, plant, profile, residual
 from telemill.operators.resample import conservation, resample
 from telemill.operators.windows import ordered_lag, segments
@@ -94,7 +94,7 @@ def ts_09_summary(k: Lake) -> DataFrame:
     return profile.completeness_summary(profile.completeness(k.tel, 320))
 
 
-@query("ts_10_sampling", tel_sql("g AS (SELECT date_diff('minute', lag(timestamp) OVER (ORDER BY timestamp, event_id), timestamp) AS gap FROM tel), n AS (SELECT gap, count(*) AS n FROM g WHERE gap IS NOT NULL GROUP BY gap) SELECT arg_max(gap, n * 100000 - gap) AS period, CAST(sum(n) - max(n) AS BIGINT) AS irregular, CAST(sum(n) AS BIGINT) AS gaps FROM n"))
+@query("ts_10_sampling", tel_sql("g AS (SELECT date_diff('minute', lag(timestamp) OVER (ORDER BY timestamp, event_id), timestamp) AS gap FROM tel), n AS (SELECT gap, count(*) AS n FROM g WHERE gap IS NOT NULL GROUP BY gap) SELECT arg_max(gap, n * 100000 - gap) AS period, CAST(sum(n) - max(n) AS BIGINT) AS irregular, CAST(sum(n) AS BIGINT) AS gaps, round((sum(n) - max(n)) / sum(n), 6) AS share FROM n"))
 def ts_10(k: Lake) -> DataFrame:
     return profile.sampling(k.tel, ORDER, "minute")
 
@@ -170,7 +170,7 @@ def ts_19(k: Lake) -> DataFrame:
 
 @query("ts_20_durations", tel_sql(f"{SEGMENTS_SQL} SELECT state, count(*) AS n, {r('median(minutes)')} AS typical_minutes, {r('max(minutes)')} AS longest FROM clean GROUP BY state"))
 def ts_20(k: Lake) -> DataFrame:
-    return clean(k).groupBy("state").agg(F.count("*").alias("n"), round_half(F.median("counted_minutes"), 3).alias("typical_minutes"), round_half(F.max("counted_minutes"), 3).alias("longest"))
+    return plant.durations(clean(k))
 
 
 BALANCE_SQL = "b AS (SELECT sum(change) FILTER (WHERE state = 1) AS gained, -sum(change) FILTER (WHERE state = 0) AS lost, sum(minutes) FILTER (WHERE state = 1) AS lm, sum(minutes) FILTER (WHERE state = 0) AS im FROM clean)"
@@ -193,7 +193,7 @@ def ts_23(k: Lake) -> DataFrame:
 
 @query("ts_24_observables", tel_sql(f"w AS (SELECT * FROM tel WHERE day BETWEEN DATE '{HEALTHY[0]}' AND DATE '{HEALTHY[1]}'), s AS (SELECT *, lag(dv) OVER (ORDER BY timestamp, event_id) AS was FROM w) SELECT {r('avg(CASE WHEN dv = 1 THEN 1.0 ELSE 0.0 END)', 6)} AS duty, {r(f'count(*) FILTER (WHERE was = 0 AND dv = 1) / (count(*) * {MINUTES / 60}::DOUBLE)', 6)} AS starts_per_hour FROM s"))
 def ts_24(k: Lake) -> DataFrame:
-    w = ordered_lag(k.tel.where(col("day").between(*[lit(d).cast("date") for d in HEALTHY])), {"dv": "was"}, ORDER)
+    w = ordered_lag(on_days(k.tel, *HEALTHY), {"dv": "was"}, ORDER)
     return w.agg(round_half(share(col("dv") == 1), 6).alias("duty"), round_half(F.count_if((col("was") == 0) & (col("dv") == 1)) / (F.count("*") * lit(MINUTES / 60)), 6).alias("starts_per_hour"))
 
 
@@ -203,9 +203,12 @@ def ts_24_clean(k: Lake) -> DataFrame:
     return clean(k).agg(round_half(F.sum(F.when(up, col("counted_minutes"))) / F.sum("counted_minutes"), 6).alias("duty"), F.count_if(up).alias("loads"))
 
 
-@query("ts_25_predictions", tel_sql(f"""s AS (SELECT dv, pressure, oil, lps, lag(dv) OVER (ORDER BY timestamp, event_id) AS was FROM tel),
+MODEL_SQL = f"""s AS (SELECT dv, pressure, oil, lps, lag(dv) OVER (ORDER BY timestamp, event_id) AS was FROM tel),
  p AS (SELECT {r('median(pressure) FILTER (WHERE dv = 1 AND was = 0)')} AS start, {r('median(pressure) FILTER (WHERE dv = 0 AND was = 1)')} + 10 AS stop, {r('avg(oil) / 10', 6)} AS fill, {r('avg(lps) + 0.1', 6)} AS consumption FROM s),
- q AS (SELECT *, stop - start AS b, fill + consumption AS e, (stop - start) / fill + (stop - start) / consumption AS cy FROM p)
+ q AS (SELECT *, stop - start AS b, fill + consumption AS e, (stop - start) / fill + (stop - start) / consumption AS cy FROM p)"""
+
+
+@query("ts_25_predictions", tel_sql(f"""{MODEL_SQL}
  SELECT start, stop, fill, consumption, {r('b', 6)} AS band, {r('e', 6)} AS delivery, {r('consumption / e', 6)} AS duty, {r('cy', 6)} AS cycle_minutes, {r('60.0 / cy', 6)} AS starts_per_hour FROM q"""))
 def ts_25(k: Lake) -> DataFrame:
     t = ordered_lag(k.tel, {"dv": "was"}, ORDER)
@@ -214,6 +217,16 @@ def ts_25(k: Lake) -> DataFrame:
     return plant.predictions(p)
 
 
+@query("ts_25_model_errors", tel_sql(f"""{MODEL_SQL}, o AS (SELECT {r('avg(CASE WHEN dv = 1 THEN 1.0 ELSE 0.0 END)', 6)} AS od, {r(f'count(*) FILTER (WHERE was = 0 AND dv = 1) / (count(*) * {MINUTES / 60}::DOUBLE)', 6)} AS os FROM s),
+ m AS (SELECT {r('consumption / e', 6)} AS duty, {r('60.0 / cy', 6)} AS starts FROM q)
+ SELECT duty, od AS observed_duty, {r('abs(duty / od - 1)', 6)} AS duty_error, starts AS starts_per_hour, os AS observed_starts_per_hour, {r('abs(starts / os - 1)', 6)} AS starts_per_hour_error FROM m, o"""))
+def ts_25_errors(k: Lake) -> DataFrame:
+    """How far the model made of medians is off the observed duty and starts."""
+    t = ordered_lag(k.tel, {"dv": "was"}, ORDER)
+    seen = t.agg(round_half(share(col("dv") == 1), 6).alias("duty"), round_half(F.count_if((col("was") == 0) & (col("dv") == 1)) / (F.count("*") * lit(MINUTES / 60)), 6).alias("starts_per_hour"))
+    return plant.prediction_errors(ts_25(k), seen)
+
+
 @query("ts_26_health_screen", tel_sql(f"""s AS (SELECT day, dv, oil, pressure, lag(dv) OVER (ORDER BY timestamp, event_id) AS was FROM tel),
  d AS (SELECT day, {r('avg(oil)')} AS oil, {r('avg(dv)', 6)} AS duty, count(*) FILTER (WHERE was = 0 AND dv = 1) AS starts FROM s GROUP BY day),
  ref AS (SELECT (list_sort(list(duty)))[len(list(duty)) // 2 + 1] AS usual FROM d WHERE day BETWEEN DATE '{HEALTHY[0]}' AND DATE '{HEALTHY[1]}')
@@ -221,7 +234,7 @@ def ts_25(k: Lake) -> DataFrame:
 def ts_26(k: Lake) -> DataFrame:
     t = ordered_lag(k.tel, {"dv": "was"}, ORDER)
     d = t.groupBy("day").agg(round_half(F.avg("oil"), 3).alias("oil"), round_half(F.avg("dv"), 6).alias("duty"), F.count_if((col("was") == 0) & (col("dv") == 1)).alias("starts"))
-    ref = d.where(col("day").between(*[lit(x).cast("date") for x in HEALTHY])).agg(upper_median("duty").alias("usual"))
+    ref = on_days(d, *HEALTHY).agg(upper_median("duty").alias("usual"))
     return d.crossJoin(F.broadcast(ref)).select("day", "oil", "duty", "starts", (col("duty") > 1.1 * col("usual")).alias("odd"))
 
 
@@ -252,7 +265,7 @@ def ts_28(k: Lake) -> DataFrame:
 @query("ts_29_grains", tel_sql(f"{PEAK_SQL}, {REP_DAYS_SQL}, f AS (SELECT quantile_cont(residual, 0.99) AS floor FROM hres WHERE day BETWEEN DATE '{HEALTHY[0]}' AND DATE '{HEALTHY[1]}'), d AS (SELECT day, avg(residual) AS daily, max(residual) AS hourly FROM hres GROUP BY day) SELECT rd.nr, d.day, {r('daily / floor', 4)} AS day_in_floors, {r('hourly / floor', 4)} AS hour_in_floors FROM rd JOIN d ON rd.day = d.day CROSS JOIN f", rep=True))
 def ts_29(k: Lake) -> DataFrame:
     h = hours_of(k)
-    f = h.where(col("day").between(*[lit(x).cast("date") for x in HEALTHY])).agg(F.percentile("residual", lit(0.99)).alias("floor"))
+    f = on_days(h, *HEALTHY).agg(F.percentile("residual", lit(0.99)).alias("floor"))
     d = h.groupBy("day").agg(F.avg("residual").alias("daily"), F.max("residual").alias("hourly")).crossJoin(F.broadcast(f))
     return grading.event_days(k.reports).join(d, "day").select("nr", "day", round_half(col("daily") / col("floor"), 4).alias("day_in_floors"), round_half(col("hourly") / col("floor"), 4).alias("hour_in_floors"))
 
@@ -303,7 +316,7 @@ def ts_37(k: Lake) -> DataFrame:
 
 @query("ts_38_whole_healthy_days", tel_sql(f"{SILVER_SQL} SELECT day, CAST(sum(readings) AS BIGINT) AS readings FROM silver WHERE day BETWEEN DATE '{HEALTHY[0]}' AND DATE '{HEALTHY[1]}' GROUP BY day HAVING count(*) FILTER (WHERE measured) > 0.9 * {FULL_DAY}"))
 def ts_38(k: Lake) -> DataFrame:
-    s = silver(k).where(col("day").between(*[lit(x).cast("date") for x in HEALTHY]))
+    s = on_days(silver(k), *HEALTHY)
     return s.groupBy("day").agg(F.sum("readings").alias("readings"), F.count_if("measured").alias("_m")).where(col("_m") > 0.9 * FULL_DAY).drop("_m")
 
 
@@ -336,8 +349,7 @@ def ts_42(k: Lake) -> DataFrame:
 
 @query("ts_43_healthy_band", tel_sql(f"{MIN_SQL}, f AS (SELECT 0.1165::DOUBLE AS floor) SELECT day, CAST(slot AS BIGINT) AS slot, {r(f'sum(recorded) OVER (PARTITION BY day ORDER BY slot) * ({CONSUMPTION}::DOUBLE + floor) / {DELIVERY}::DOUBLE')} AS most FROM quarter, f"))
 def ts_43(k: Lake) -> DataFrame:
-    c = residual.cumulative(quarters(k), ["recorded"])
-    return c.select("day", "slot", round_half(col("recorded_so_far") * lit(CONSUMPTION + 0.1165) / lit(DELIVERY), 3).alias("most"))
+    return residual.healthy_band(quarters(k), DELIVERY, CONSUMPTION, 0.1165)
 
 
 @query("ts_44_day_marks", tel_sql(f"{RES_SQL}, p AS (SELECT day, max(residual) AS peak FROM hres GROUP BY day) SELECT p.day, p.peak, min(hour) FILTER (WHERE residual > 0.9) AS first_alarm, min(hour) FILTER (WHERE residual = peak) AS peak_hour, max(duty) AS most_duty FROM hres JOIN p ON hres.day = p.day GROUP BY p.day, p.peak"))
@@ -350,7 +362,7 @@ def ts_44(k: Lake) -> DataFrame:
 
 THRESHOLDS = 23
 THR_SQL = f"thr AS (SELECT round((0.3 + 0.05 * i) * 100, 0) / 100.0::DOUBLE AS threshold FROM range({THRESHOLDS}) t(i))"
-SWEEP_SQL = "x AS (SELECT threshold, s.day, s.score > threshold AS alarm, rd.inicio FROM s CROSS JOIN thr LEFT JOIN rd ON rd.day = s.day), months AS (SELECT count(DISTINCT strftime(day, '%Y-%m')) AS m FROM s)"
+SWEEP_SQL = "x AS (SELECT threshold, s.day, s.score > threshold AS alarm, rd.began FROM s CROSS JOIN thr LEFT JOIN rd ON rd.day = s.day), months AS (SELECT count(DISTINCT strftime(day, '%Y-%m')) AS m FROM s)"
 
 
 def thresholds_of(k: Lake) -> DataFrame:
@@ -358,13 +370,13 @@ def thresholds_of(k: Lake) -> DataFrame:
 
 
 def _sweep_sql(score: str) -> str:
-    return tel_sql(f"{PEAK_SQL}, {REP_DAYS_SQL}, {THR_SQL}, s AS (SELECT day, {score} AS score FROM based WHERE {score} IS NOT NULL), {SWEEP_SQL} SELECT threshold, count(DISTINCT day) FILTER (WHERE alarm) AS alarm_days, count(DISTINCT inicio) FILTER (WHERE alarm) AS detected, count(DISTINCT day) FILTER (WHERE alarm AND inicio IS NULL) AS false_days, {r('count(DISTINCT day) FILTER (WHERE alarm AND inicio IS NULL) / (SELECT m FROM months)')} AS false_per_month FROM x GROUP BY threshold", rep=True)
+    return tel_sql(f"{PEAK_SQL}, {REP_DAYS_SQL}, {THR_SQL}, s AS (SELECT day, {score} AS score FROM based WHERE {score} IS NOT NULL), {SWEEP_SQL} SELECT threshold, count(DISTINCT day) FILTER (WHERE alarm) AS alarm_days, count(DISTINCT began) FILTER (WHERE alarm) AS detected, count(DISTINCT day) FILTER (WHERE alarm AND began IS NULL) AS false_days, {r('count(DISTINCT day) FILTER (WHERE alarm AND began IS NULL) / (SELECT m FROM months)')} AS false_per_month FROM x GROUP BY threshold", rep=True)
 
 
-@query("evt_01_report_days", tel_sql(f"{REP_DAYS_SQL}, n AS (SELECT day, count(*) AS c FROM tel GROUP BY day) SELECT nr, inicio, count(*) AS days, min(rd.day) AS first_day, max(rd.day) AS last_day, CAST(sum(c) AS BIGINT) AS readings FROM rd LEFT JOIN n ON rd.day = n.day GROUP BY nr, inicio", rep=True))
+@query("evt_01_report_days", tel_sql(f"{REP_DAYS_SQL}, n AS (SELECT day, count(*) AS c FROM tel GROUP BY day) SELECT nr, began, count(*) AS days, min(rd.day) AS first_day, max(rd.day) AS last_day, CAST(sum(c) AS BIGINT) AS readings FROM rd LEFT JOIN n ON rd.day = n.day GROUP BY nr, began", rep=True))
 def evt_01(k: Lake) -> DataFrame:
     n = k.tel.groupBy("day").agg(F.count("*").alias("c"))
-    return grading.event_days(k.reports).join(n, "day", "left").groupBy("nr", "inicio").agg(F.count("*").alias("days"), F.min("day").alias("first_day"), F.max("day").alias("last_day"), F.sum("c").alias("readings"))
+    return grading.event_days(k.reports).join(n, "day", "left").groupBy("nr", "began").agg(F.count("*").alias("days"), F.min("day").alias("first_day"), F.max("day").alias("last_day"), F.sum("c").alias("readings"))
 
 
 ALARM_LEVEL = 0.8
@@ -391,17 +403,33 @@ def evt_03_deviation(k: Lake) -> DataFrame:
     return grading.sweep(s, k.reports, thresholds_of(k), "deviation")
 
 
-@query("evt_04_lead_times", tel_sql(f"{EPI_SQL}, j AS (SELECT nr, inicio, CAST(inicio AS DATE) AS sd, first_day, days FROM rep LEFT JOIN epi ON first_day < CAST(inicio AS DATE) AND CAST(inicio AS DATE) <= last_day + 1) SELECT nr, inicio, min(first_day) AS episode_from, sd - min(first_day) AS lead_days, arg_min(days, first_day) AS episode_days FROM j GROUP BY nr, inicio, sd", rep=True))
+EXTRA = ("#9", "2024-01-15 00:00:00", "2024-01-16 23:00:00")
+EXTRA_SQL = f"ex AS (SELECT '{EXTRA[0]}' AS nr, TIMESTAMP '{EXTRA[1]}' AS began, unnest([DATE '2024-01-15', DATE '2024-01-16']) AS day)"
+
+
+def extra_report(k: Lake) -> DataFrame:
+    at = lambda c: col(c).cast("timestamp_ntz")
+    return k.spark.createDataFrame([EXTRA], "nr string, a string, b string").select("nr", at("a").alias("began"), at("b").alias("ended"))
+
+
+@query("evt_03_sweep_extra", tel_sql(f"""{PEAK_SQL}, {REP_DAYS_SQL}, {THR_SQL}, {EXTRA_SQL}, ev AS (SELECT nr, began, day, FALSE AS x FROM rd UNION ALL SELECT nr, began, day, TRUE FROM ex),
+ f AS (SELECT day, bool_or(NOT x) AS own FROM ev GROUP BY day), a AS (SELECT threshold, p.day, peak > threshold AS alarm, coalesce(own, FALSE) AS own, f.day IS NOT NULL AS any_ev FROM peaks p CROSS JOIN thr LEFT JOIN f ON f.day = p.day),
+ e AS (SELECT threshold, count(DISTINCT ev.began) FILTER (WHERE NOT x) AS detected, count(DISTINCT ev.began) AS detected_with FROM a JOIN ev ON a.day = ev.day WHERE alarm GROUP BY threshold),
+ c AS (SELECT threshold, count(*) FILTER (WHERE alarm) AS alarm_days, count(*) FILTER (WHERE alarm AND NOT own) AS false_days, count(*) FILTER (WHERE alarm AND NOT any_ev) AS false_days_with FROM a GROUP BY threshold), m AS (SELECT count(DISTINCT strftime(day, '%Y-%m')) AS m FROM peaks)
+ SELECT threshold, alarm_days, coalesce(detected, 0) AS detected, false_days, coalesce(detected_with, 0) AS detected_with, false_days_with, {r('false_days / m')} AS false_per_month, {r('false_days_with / m')} AS false_per_month_with FROM c LEFT JOIN e USING (threshold), m""", rep=True))
+def evt_03_extra(k: Lake) -> DataFrame:
+    """Both arms in one pass: without and with an event that no report documents."""
+    return grading.sweep(peaks_of(k), k.reports, thresholds_of(k), extra=extra_report(k))
+
+
+@query("evt_04_lead_times", tel_sql(f"{EPI_SQL}, j AS (SELECT nr, began, CAST(began AS DATE) AS sd, first_day, days FROM rep LEFT JOIN epi ON first_day < CAST(began AS DATE) AND CAST(began AS DATE) <= last_day + 1) SELECT nr, began, min(first_day) AS episode_from, sd - min(first_day) AS lead_days, arg_min(days, first_day) AS episode_days FROM j GROUP BY nr, began, sd", rep=True))
 def evt_04(k: Lake) -> DataFrame:
     return grading.lead_times(alarm_days_of(k), k.reports)
 
 
 @query("evt_05_false_alarms", tel_sql(f"{PEAK_SQL}, {REP_DAYS_SQL} SELECT count(*) AS false_days, {r('count(*) / nullif((SELECT count(DISTINCT month(day)) FROM peaks), 0)')} AS per_month FROM peaks WHERE peak > {ALARM_LEVEL} AND day NOT IN (SELECT day FROM rd)", rep=True))
 def evt_05(k: Lake) -> DataFrame:
-    p = peaks_of(k)
-    months = p.agg(F.count_distinct(F.month("day")).alias("m"))
-    false = alarm_days_of(k).join(grading.event_days(k.reports), "day", "left_anti").agg(F.count("*").alias("false_days"))
-    return false.crossJoin(months).select("false_days", round_half(F.try_divide("false_days", "m"), 3).alias("per_month"))
+    return grading.false_alarms(peaks_of(k), k.reports, ALARM_LEVEL)
 
 
 @query("evt_06_highest_threshold", f"SELECT max(threshold) AS threshold FROM ({_sweep_sql('peak')}) WHERE detected = 4")
@@ -409,13 +437,13 @@ def evt_06(k: Lake) -> DataFrame:
     return grading.highest_full_threshold(evt_03(k), len(REPORTS))
 
 
-@query("evt_07_installed_alarm", tel_sql(f"{RES_SQL}, {REP_DAYS_SQL}, j AS (SELECT DISTINCT day FROM hres), a AS (SELECT day, date_trunc('hour', timestamp) AS hour FROM tel WHERE lps = 1 AND day IN (SELECT day FROM j)) SELECT count(DISTINCT day) AS alarm_days, (SELECT count(DISTINCT inicio) FROM rd WHERE day IN (SELECT day FROM a)) AS detected, count(DISTINCT day) FILTER (WHERE day NOT IN (SELECT day FROM rd)) AS false_days, {r('count(*) FILTER (WHERE hour NOT IN (SELECT hour FROM hres)) / nullif(count(*), 0)', 6)} AS in_incomplete_hours FROM a", rep=True))
+@query("evt_07_installed_alarm", tel_sql(f"{RES_SQL}, {REP_DAYS_SQL}, j AS (SELECT DISTINCT day FROM hres), a AS (SELECT day, date_trunc('hour', timestamp) AS hour FROM tel WHERE lps = 1 AND day IN (SELECT day FROM j)) SELECT count(DISTINCT day) AS alarm_days, (SELECT count(DISTINCT began) FROM rd WHERE day IN (SELECT day FROM a)) AS detected, count(DISTINCT day) FILTER (WHERE day NOT IN (SELECT day FROM rd)) AS false_days, {r('count(*) FILTER (WHERE hour NOT IN (SELECT hour FROM hres)) / nullif(count(*), 0)', 6)} AS in_incomplete_hours FROM a", rep=True))
 def evt_07(k: Lake) -> DataFrame:
     h, rd = hours_of(k), grading.event_days(k.reports)
     a = k.tel.where("lps = 1").join(h.select("day").distinct(), "day", "left_semi").select("day", trunc_ts("hour", "timestamp").alias("hour"))
     a = a.join(h.select("hour", lit(True).alias("_h")), "hour", "left").join(rd.select("day", lit(True).alias("_r")).distinct(), "day", "left")
     counts = a.agg(F.count_distinct("day").alias("alarm_days"), F.count_distinct(F.when(col("_r").isNull(), col("day"))).alias("false_days"), round_half(F.try_divide(F.count_if(col("_h").isNull()), F.count("*")), 6).alias("in_incomplete_hours"))
-    return counts.crossJoin(rd.join(a.select("day").distinct(), "day", "left_semi").agg(F.count_distinct("inicio").alias("detected")))
+    return counts.crossJoin(rd.join(a.select("day").distinct(), "day", "left_semi").agg(F.count_distinct("began").alias("detected")))
 
 
 @query("evt_08_order_rival", tel_sql(f"{PEAK_SQL}, n AS (SELECT d.day, row_number() OVER (ORDER BY peak, d.day) AS a, row_number() OVER (ORDER BY duty, d.day) AS b FROM peaks p JOIN (SELECT day, {r('avg(dv)', 6)} AS duty FROM tel GROUP BY day) d ON p.day = d.day) SELECT count(*) AS days, count(*) FILTER (WHERE a <> b) AS moved FROM n"))
@@ -462,9 +490,10 @@ def evt_12(k: Lake) -> DataFrame:
 
 @query("evt_13_grid_search", tel_sql(f"""o AS (SELECT {r('avg(dv)', 6)} AS duty, {r('count(*) FILTER (WHERE dv = 1) / 1000.0 + 1', 3)} AS starts FROM tel),
  g AS (SELECT 0.5 + 0.05 * a.i AS fill, 0.3 + 0.02 * b.i AS consumption FROM range(33) a(i), range(31) b(i)),
- e AS (SELECT fill::DOUBLE AS fill, consumption::DOUBLE AS consumption, {r('(abs(consumption / (fill + consumption) / duty - 1) + abs(60.0 / (2.0 / fill + 2.0 / consumption) / starts - 1)) / 2', 9)} AS error FROM (SELECT fill::DOUBLE AS fill, consumption::DOUBLE AS consumption FROM g), o),
- b AS (SELECT error, fill, consumption FROM e ORDER BY error, fill, consumption LIMIT 1)
- SELECT {r('b.error', 6)} AS error, {r('b.fill', 6)} AS fill, {r('b.consumption', 6)} AS consumption, count(*) AS ties, {r('min(e.fill)', 6)} AS low_fill, {r('max(e.fill)', 6)} AS high_fill, {r('min(e.consumption)', 6)} AS low_consumption, {r('max(e.consumption)', 6)} AS high_consumption FROM e, b WHERE e.error <= b.error + 0.002 GROUP BY b.error, b.fill, b.consumption"""))
+ d AS (SELECT fill::DOUBLE AS fill, consumption::DOUBLE AS consumption, fill IN (0.5, 2.1) OR consumption IN (0.3, 0.9) AS edge, abs(consumption::DOUBLE / (fill::DOUBLE + consumption::DOUBLE) / duty - 1) AS de, abs(60.0 / (2.0 / fill::DOUBLE + 2.0 / consumption::DOUBLE) / starts - 1) AS se FROM g, o),
+ e AS (SELECT 'duty' AS judged_by, fill, consumption, edge, {r('de', 9)} AS error FROM d UNION ALL SELECT 'starts', fill, consumption, edge, {r('se', 9)} FROM d UNION ALL SELECT 'both', fill, consumption, edge, {r('(de + se) / 2', 9)} FROM d),
+ b AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY judged_by ORDER BY error, fill, consumption) = 1)
+ SELECT b.judged_by, {r('b.error', 6)} AS error, {r('b.fill', 6)} AS fill, {r('b.consumption', 6)} AS consumption, b.edge AS on_edge, count(*) AS ties, {r('min(e.fill)', 6)} AS low_fill, {r('max(e.fill)', 6)} AS high_fill, {r('min(e.consumption)', 6)} AS low_consumption, {r('max(e.consumption)', 6)} AS high_consumption FROM e JOIN b ON e.judged_by = b.judged_by WHERE e.error <= b.error + 0.002 GROUP BY b.judged_by, b.error, b.fill, b.consumption, b.edge"""))
 def evt_13(k: Lake) -> DataFrame:
     o = k.tel.agg(round_half(F.avg("dv"), 6).alias("duty"), round_half(F.count_if(col("dv") == 1) / lit(1000.0) + 1, 3).alias("starts")).first()
     return plant.grid_search(k.spark, (33, 0.5, 0.05), (31, 0.3, 0.02), 2.0, o.duty, o.starts)
@@ -492,7 +521,7 @@ def gld_02(k: Lake) -> DataFrame:
     return gold.hours(silver(k), slow_source(k))
 
 
-@query("gld_03_failures", tel_sql(f"{CYCLE_SQL} SELECT nr, inicio, fin, {r('date_diff(' + chr(39) + 'second' + chr(39) + ', inicio, fin) / 3600.0', 2)} AS report_hours, failure, count(cyc.day) AS days_with_data, {r('sum(loaded_hours)')} AS loaded_hours, CAST(sum(starts) AS BIGINT) AS starts, {r('avg(mean_oil)')} AS mean_oil FROM rep LEFT JOIN cyc ON cyc.day BETWEEN CAST(inicio AS DATE) AND CAST(fin AS DATE) GROUP BY nr, inicio, fin, failure", rep=True))
+@query("gld_03_failures", tel_sql(f"{CYCLE_SQL} SELECT nr, began, ended, {r('date_diff(' + chr(39) + 'second' + chr(39) + ', began, ended) / 3600.0', 2)} AS report_hours, failure, count(cyc.day) AS days_with_data, {r('sum(loaded_hours)')} AS loaded_hours, CAST(sum(starts) AS BIGINT) AS starts, {r('avg(mean_oil)')} AS mean_oil FROM rep LEFT JOIN cyc ON cyc.day BETWEEN CAST(began AS DATE) AND CAST(ended AS DATE) GROUP BY nr, began, ended, failure", rep=True))
 def gld_03(k: Lake) -> DataFrame:
     return gold.failures(k.reports, gld_01(k))
 

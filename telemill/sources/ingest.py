@@ -32,9 +32,9 @@ def file_times(df: DataFrame) -> DataFrame:
     return df.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("modified")).distinct()
 
 
-def file_hashes(spark: SparkSession, path: str) -> DataFrame:
+def file_hashes(spark: SparkSession, path: str, names: str = "*") -> DataFrame:
     """SHA-256 and size of each file (up to 2 GB each)."""
-    return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
+    return spark.read.format("binaryFile").option("pathGlobFilter", names).option("recursiveFileLookup", True).load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
 
 
 def append(df: DataFrame, path: str) -> None:

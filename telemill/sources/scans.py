@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from telemill.functions import on_days
 
+# fixed values: the columns of the raw file
 ANALOGUE = ["TP2", "TP3", "H1", "DV_pressure", "Reservoirs", "Oil_temperature", "Motor_current"]
 DIGITAL = ["COMP", "DV_eletric", "Towers", "MPG", "LPS", "Pressure_switch", "Oil_level", "Caudal_impulses"]
 
@@ -35,6 +36,7 @@ def scan_days(spark: SparkSession, root: str, days: tuple[str, str] | None = Non
 
 def scan_hourly_json(spark: SparkSession, path: str) -> DataFrame:
     """{hourly: {time: [], temperature_2m: [], relative_humidity_2m: [], precipitation: []}} to one row per hour."""
+    # fixed values: the names of the weather service's fields
     kind = "hourly struct<time:array<string>,temperature_2m:array<double>,relative_humidity_2m:array<double>,precipitation:array<double>>"
     rows = spark.read.json(path, schema=kind, multiLine=True).select(F.inline(F.arrays_zip("hourly.time", "hourly.temperature_2m", "hourly.relative_humidity_2m", "hourly.precipitation")))
     hour = F.to_timestamp_ntz(F.col("time"), F.lit("yyyy-MM-dd'T'HH:mm"))
@@ -45,7 +47,7 @@ def scan_reports(spark: SparkSession, path: str) -> DataFrame:
     """Failure reports; dates are text in the file."""
     at = lambda c: F.to_timestamp_ntz(F.col(c), F.lit("M/d/yyyy H:mm"))
     raw = spark.read.csv(path, header=True, schema="nr string, start_time string, end_time string, failure string, severity string, report string")
-    return raw.withColumn("inicio", at("start_time")).withColumn("fin", at("end_time"))
+    return raw.withColumn("began", at("start_time")).withColumn("ended", at("end_time"))
 
 
 def as_views(tables: dict[str, DataFrame]) -> None:

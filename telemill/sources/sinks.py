@@ -53,9 +53,10 @@ def write_layouts(df: DataFrame, root: str, ts: str = "timestamp") -> dict[str,
     return paths
 
 
-def load_table(df: DataFrame, name: str) -> DataFrame:
-    """Materialise a view as a managed table."""
-    df.write.mode("overwrite").saveAsTable(name)
+def load_table(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """Materialise a view as a table of the catalog, in the warehouse or under a path."""
+    out = df.write.mode("overwrite")
+    (out.option("path", path) if path else out).saveAsTable(name)
     return df.sparkSession.table(name)
 
 

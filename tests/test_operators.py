@@ -5,10 +5,11 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from telemill.functions import on_days
 from telemill.operators import contracts as dq
-from telemill.operators import grading, plant, profile, reconcile, residual
+from telemill.operators import grading, plant, profile, reconcile, residual, windows
 from telemill.operators.resample import conservation, resample
-from telemill.sources import ingest, scans, sinks
+from telemill.sources import ingest, scans, scratch, sinks
 
 T = dt.datetime
 D = dt.date
@@ -91,7 +92,7 @@ def test_record_gaps(spark):
 
 @pytest.fixture
 def reports(spark):
-    return spark.createDataFrame([("#1", T(2024, 1, 5), T(2024, 1, 6, 4)), ("#1", T(2024, 1, 9), T(2024, 1, 9, 2))], "nr string, inicio timestamp_ntz, fin timestamp_ntz")
+    return spark.createDataFrame([("#1", T(2024, 1, 5), T(2024, 1, 6, 4)), ("#1", T(2024, 1, 9), T(2024, 1, 9, 2))], "nr string, began timestamp_ntz, ended timestamp_ntz")
 
 
 def test_grading_by_hand(spark, reports):
@@ -101,7 +102,7 @@ def test_grading_by_hand(spark, reports):
     assert (got[0.5].alarm_days, got[0.5].detected, got[0.5].false_days) == (4, 1, 3)
     assert (got[0.1].detected, got[0.1].false_days) == (2, 3)
     assert grading.highest_full_threshold(grading.sweep(days, reports, thr), 2).first().threshold == 0.1
-    lead = {r.inicio.day: (r.lead_days, r.episode_days) for r in grading.lead_times(days.where("peak > 0.5").select("day"), reports).collect()}
+    lead = {r.began.day: (r.lead_days, r.episode_days) for r in grading.lead_times(days.where("peak > 0.5").select("day"), reports).collect()}
     assert lead == {5: (2, 3), 9: (None, None)}
     kinds = {r.day.day: r["class"] for r in grading.classify_days(days.union(spark.createDataFrame([(D(2024, 1, 10), None)], "day date, peak double")), reports, 0.5, 0.15).collect()}
     assert kinds == {1: "normal", 3: "false", 4: "false", 5: "hit", 7: "false", 9: "missed", 10: "not judged"}
@@ -146,7 +147,7 @@ def test_weather_and_reports(spark, tmp_path):
     rows = scans.scan_hourly_json(spark, str(tmp_path / "w.json")).collect()
     assert [(r.hour.hour, str(r.temperature), r.rain) for r in rows] == [(0, "9.4", 0.0), (1, "9.1", 0.2)]
     (tmp_path / "r.csv").write_text("nr,start_time,end_time,failure,severity,report\n#1,4/18/2020 0:00,4/18/2020 23:59,Air leak,High,\n")
-    assert scans.scan_reports(spark, str(tmp_path / "r.csv")).first().fin == T(2020, 4, 18, 23, 59)
+    assert scans.scan_reports(spark, str(tmp_path / "r.csv")).first().ended == T(2020, 4, 18, 23, 59)
 
 
 def test_versions(spark, tmp_path):
@@ -182,3 +183,61 @@ def test_day_filter_prunes_partitions(spark, tmp_path):
     sinks.write_days(days, str(tmp_path / "p"))
     plan = scans.scan_days(spark, str(tmp_path / "p"), ("2024-01-02", "2024-01-03"))._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(day" in plan
+
+
+def test_two_machines_do_not_mix(spark, reports):
+    """Segments, steps, curves and sweeps of one machine are what they are without the other."""
+    rows = [(m, T(2024, 1, 1 + k // 40, k % 24, k % 60), D(2024, 1, 1 + k // 40), k, float((k // (3 + m)) % 2), float(k * k % 17)) for m in (0, 1) for k in range(120)]
+    df = spark.createDataFrame(rows, "machine long, timestamp timestamp_ntz, day date, event_id long, dv double, pressure double")
+    order = ["timestamp", "event_id"]
+    plain = lambda d: sorted(tuple(r) for r in d.drop("machine").collect())
+    for fn in (
+        lambda d, keys: plant.thresholds(d, "dv", "pressure", order, keys=keys), lambda d, keys: plant.ramp(d, "dv", "pressure", order, keys=keys),
+        lambda d, keys: plant.slopes(d, "dv", "pressure", order, keys=keys), lambda d, keys: plant.balance(plant.clean_segments(d, "dv", "pressure", 10**6, order, 1.0, keys), keys),
+        lambda d, keys: residual.record_gaps(residual.minute_curve(d, "dv", 15, keys=keys), keys), lambda d, keys: profile.sampling(d, order, keys=keys),
+    ):
+        both = fn(df, ["machine"])
+        for m in (0, 1):
+            assert plain(both.where(F.col("machine") == m)) == plain(fn(df.where(F.col("machine") == m), None))
+    days = spark.createDataFrame([(m, D(2024, 1, d), p + m / 10) for m in (0, 1) for d, p in ((3, 0.9), (4, 0.9), (5, 0.45), (9, 0.2))], "machine long, day date, peak double")
+    thr = spark.createDataFrame([(0.5,)], "threshold double")
+    got = {r.machine: (r.alarm_days, r.detected, r.false_days) for r in grading.sweep(days, reports.withColumn("machine", F.lit(1).cast("long")), thr, keys=["machine"]).collect()}
+    assert got == {0: (2, 0, 2), 1: (3, 1, 2)}
+
+
+def test_sweep_with_an_extra_event(spark, reports):
+    days = spark.createDataFrame([(D(2024, 1, d), 0.9) for d in (1, 3, 5)], "day date, peak double")
+    extra = spark.createDataFrame([("#9", T(2024, 1, 3), T(2024, 1, 5, 4))], "nr string, began timestamp_ntz, ended timestamp_ntz")
+    r = grading.sweep(days, reports, spark.createDataFrame([(0.5,)], "threshold double"), extra=extra).first()
+    assert (r.detected, r.false_days, r.detected_with, r.false_days_with) == (1, 2, 2, 1)
+
+
+def test_steps_cross_chunks(spark):
+    """A state that never changes is numbered through, day by day."""
+    rows = [(T(2024, 1, 1 + k // 3, k % 3), D(2024, 1, 1 + k // 3), k, 1.0, float(k)) for k in range(10)]
+    df = spark.createDataFrame(rows, "timestamp timestamp_ntz, day date, event_id long, dv double, x double")
+    got = windows.segment_steps(windows.segment_rows(df, "dv", ["timestamp", "event_id"]), {"x": "before"}, ["timestamp", "event_id"]).orderBy("timestamp").collect()
+    assert [r.step for r in got] == list(range(1, 11)) and [r.before for r in got] == [None, *map(float, range(9))]
+
+
+def test_grid_search_tells_edges(spark):
+    got = {r.judged_by: r for r in plant.grid_search(spark, (5, 1.0, 0.1), (5, 0.1, 0.1), 2.0, 0.2, 99.0).collect()}
+    assert got["duty"].error == 0 and not got["duty"].on_edge and got["starts"].on_edge and set(got) == {"duty", "starts", "both"}
+
+
+def test_time_range_reaches_the_scan(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(5).select(F.timestamp_seconds(F.col("id") * 86400).cast("timestamp_ntz").alias("timestamp")).write.parquet(path)
+    df = on_days(spark.read.parquet(path).withColumn("day", F.to_date("timestamp")), "1970-01-02", "1970-01-03")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert df.count() == 2 and "GreaterThanOrEqual(timestamp" in plan and "LessThan(timestamp" in plan
+
+
+def test_scratch_needs_a_shared_folder(monkeypatch):
+    import types
+
+    other = types.SimpleNamespace(conf=types.SimpleNamespace(get=lambda *_: None), sparkContext=types.SimpleNamespace(master="yarn", applicationId="a"))
+    with pytest.raises(ValueError):
+        scratch.shared_folder(other)
+    other.sparkContext.master = "local[2]"
+    assert scratch.shared_folder(other)
