@@ -32,7 +32,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from telemill.llm.common import join_groups, save, scratch_path, text_of
+from telemill.llm.common import join_groups, save, text_of
+from telemill.sources.scratch import scratch
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 WARC_DATE = "2024-01-01T00:00:00Z"
@@ -243,7 +244,7 @@ def read_archives(manifest: DataFrame, folder: str, payloads: bool = True) -> Da
 
 def round_trip(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
     """Write pages to archives in the shared folder and read the records back, without their payloads."""
-    folder = scratch_path(pages.sparkSession, "warc")
+    folder = scratch(pages.sparkSession, "warc")
     read = read_archives(write_archives(pages, folder, id_col), folder, payloads=False)
     kind = pages.schema[id_col].dataType
     number = lambda c: F.when(F.col(c) != "none", F.col(c)).cast(kind)

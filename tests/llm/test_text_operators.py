@@ -55,10 +55,19 @@ def test_exact_dedup_cases(spark):
     assert exact_dedup.classify(empty(spark)).count() == 0 and exact_dedup.deduplicate(empty(spark)).count() == 0
 
 
-def test_exact_dedup_with_a_full_filter(documents, texts):
-    """One word of filter lets every row through to the exact path; the result stays."""
-    wide = {(r.doc_id, r.keep_id, r.group_size) for r in exact_dedup.classify(documents).collect()}
-    assert wide == {(r.doc_id, r.keep_id, r.group_size) for r in exact_dedup.classify(documents, max_words=1).collect()}
+@pytest.mark.parametrize("way", [{"bits_per_row": 0}, {"broadcast_words": 0}, {"bits_per_row": 1, "broadcast_words": 0}])
+def test_exact_dedup_by_other_filters(spark, documents, texts, way):
+    """A filter of one word lets every row through to the exact path, one too large to broadcast is joined; the result stays."""
+    hot = spark.range(5000, 5400).select(F.col("id").alias("doc_id"), F.lit("the same").alias("text"))
+    docs = documents.select("doc_id", "text").union(hot)
+    told = lambda df: {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in df.collect()}
+    assert told(exact_dedup.classify(docs)) == told(exact_dedup.classify(docs, **way))
+    ids = lambda df: sorted(r.doc_id for r in df.collect())
+    assert ids(exact_dedup.deduplicate(docs)) == ids(exact_dedup.deduplicate(docs, **way))
+
+
+def test_the_filter_grows_with_the_rows():
+    assert [exact_dedup.word_count(n) for n in (0, 1, 4, 5, 10**6, 10**10)] == [1, 1, 1, 2, 1 << 18, 1 << 32]
 
 
 def test_join_groups_with_heavy_keys(spark):
