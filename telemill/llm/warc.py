@@ -1,16 +1,18 @@
 """WARC archives packed in ZIP files: writer, and a reader by byte ranges.
 
-An archive holds two stored members: ``archive/data.warc.gz`` (one gzip member per record) and
-``indexes/index.cdxj`` (one line per record with its offset and length).  The reader never extracts a member:
-it range-reads the end record, the ZIP64 end record where there is one, and the central directory, finds where
-the stored members begin, cuts the index into blocks of bounded size, deals the blocks out, and each task
-range-reads the records of its blocks.
+An archive written here holds two stored members: ``archive/data.warc.gz`` (one gzip member per record) and
+``indexes/index.cdxj`` (one line per record with its file, offset and length).  The reader takes any number of
+stored members under ``archive/`` and of indexes under ``indexes/``.  It never extracts a member: it range-reads the
+end record, the ZIP64 end record where there is one, and the central directory, finds where the stored members begin,
+resolves each index line to its member, cuts neighbouring records into blocks of bounded size, deals the blocks out,
+and each task range-reads the records of its blocks.
 
 Files go through ``pyarrow.fs``, so the folder may be any store that it knows.  A writing task names its files
 by its attempt; only files of attempts that succeeded are in the manifest, so retried tasks leave no record twice.
 
 Defined cases: a null payload is empty; of equal payloads the record with the largest id is the response and
-the others revisit it; a null id is smaller than any other; a null URL has no WARC-Target-URI; line ends in a
+the others revisit it; a null id is smaller than any other; ids are percent-encoded in a record's name, so any text
+will do; a null URL has no WARC-Target-URI; line ends in a
 URL are percent-encoded; records are kept as often as their rows repeat; no rows give no archives.
 """
 
@@ -41,6 +43,8 @@ WARC_DATE = "2024-01-01T00:00:00Z"
 ARCHIVE_BYTES, BLOCK_BYTES = 256 << 20, 2 << 20
 END, END64, LOCATOR64, ENTRY, LOCAL = b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07", b"PK\x01\x02", b"PK\x03\x04"
 FULL16, FULL32 = 0xFFFF, 0xFFFFFFFF
+#: Repeated payload digests that are broadcast at most; the name of a record without an id, which no encoded id equals.
+MAX_BROADCAST, NO_ID = 200_000, "%"
 
 
 class _Sink(io.RawIOBase):
@@ -121,9 +125,14 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     total = pages.count()
     rows = pages.select(F.col(id_col).alias("_pid"), F.col(url_col).alias("_url"), text_of(html_col).alias("_html"), F.sha1(text_of(html_col)).alias("_sha"))
     groups = rows.groupBy("_sha").agg(F.max("_pid").alias("_last"), F.count("*").alias("_n")).where("_n > 1")
-    rows = join_groups(rows, groups, "_sha", "_n", total, F.concat(F.lit("row "), F.coalesce(F.col("_pid").cast("string"), F.lit("none"))))
-    refers = F.when(F.col("_last").isNotNull() & ~F.col("_last").eqNullSafe(F.col("_pid")), F.col("_last").cast("string"))
-    rows = rows.select(F.coalesce(F.col("_pid").cast("string"), F.lit("none")).alias("_id"), "_url", "_html", refers.alias("_refers"))
+    groups = save(groups, "warc-repeated")
+    if groups.count() <= MAX_BROADCAST:  # the pages stay where they are
+        rows = rows.join(F.broadcast(groups), "_sha", "left")
+    else:
+        rows = join_groups(rows, groups, "_sha", "_n", total, F.concat(F.lit("row "), F.coalesce(F.col("_pid").cast("string"), F.lit("none"))))
+    name = lambda c: F.url_encode(F.col(c).cast("string"))
+    refers = F.when(F.col("_last").isNotNull() & ~F.col("_last").eqNullSafe(F.col("_pid")), name("_last"))
+    rows = rows.select(F.coalesce(name("_pid"), F.lit(NO_ID)).alias("_id"), "_url", "_html", refers.alias("_refers"))
     spark = pages.sparkSession
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(folder)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(hadoop)
@@ -176,6 +185,14 @@ def directory(file, size: int) -> dict[str, tuple[int, int]]:
     return found
 
 
+def _entries(name: str, raw: bytes) -> list[dict]:
+    """The lines of an index in order of file and offset."""
+    lines = (zlib.decompress(raw, 47) if name.endswith(".gz") else raw).splitlines()
+    found = [json.loads(line[line.index(b"{") :]) for line in lines if b"{" in line]
+    found = [e | {"offset": int(e["offset"]), "length": int(e["length"])} for e in found]
+    return sorted(found, key=lambda e: (e["filename"], e["offset"]))
+
+
 def _blocks(folder: str):
     def list_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, _ = arrow_fs.FileSystem.from_uri(folder)
@@ -183,18 +200,19 @@ def _blocks(folder: str):
             for path in batch["path"]:
                 with store.open_input_file(path) as file:
                     members = directory(file, file.size())
-                    data, _ = members[DATA]
-                    index = _range(file, *members[INDEX])
-                out, begin, end = [], None, 0
-                for line in index.splitlines():
-                    entry = json.loads(line.split(b" ", 2)[2])
-                    if begin is not None and entry["offset"] + entry["length"] - begin > BLOCK_BYTES:
-                        out.append((path, data + begin, end - begin))
-                        begin = None
-                    begin = entry["offset"] if begin is None else begin
-                    end = entry["offset"] + entry["length"]
-                if begin is not None:
-                    out.append((path, data + begin, end - begin))
+                    indexes = [(name, _range(file, *at)) for name, at in sorted(members.items()) if name.startswith("indexes/")]
+                out, inside, begin, end = [], None, 0, 0
+                for entry in (e for name, raw in indexes for e in _entries(name, raw)):
+                    name = entry["filename"]
+                    data, _ = members[name if name in members else f"archive/{name}"]
+                    start = data + entry["offset"]
+                    if inside is not None and (data != inside or start != end or start + entry["length"] - begin > BLOCK_BYTES):
+                        out.append((path, begin, end - begin))
+                        inside = None
+                    inside, begin = data, start if inside is None else begin
+                    end = start + entry["length"]
+                if inside is not None:
+                    out.append((path, begin, end - begin))
                 yield pd.DataFrame(out, columns=["path", "start", "length"])
 
     return list_blocks
@@ -247,5 +265,5 @@ def round_trip(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
     folder = scratch(pages.sparkSession, "warc")
     read = read_archives(write_archives(pages, folder, id_col), folder, payloads=False)
     kind = pages.schema[id_col].dataType
-    number = lambda c: F.when(F.col(c) != "none", F.col(c)).cast(kind)
+    number = lambda c: F.when(F.col(c) != NO_ID, F.url_decode(F.col(c))).cast(kind)
     return read.select(number("record_id").alias(id_col), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))

@@ -1,6 +1,7 @@
 """The text operators against brute force on small tables, with nulls, empties, ties, repeats and extra columns."""
 
 import base64
+import gzip
 import hashlib
 import io
 import re
@@ -103,6 +104,32 @@ def test_warc_payloads_come_back(spark, tmp_path):
     assert got and all(html[k] == v for k, v in got.items())
 
 
+def test_warc_odd_ids_and_columns(spark, monkeypatch):
+    """Ids of any text, columns that clash, and the join for many repeated digests."""
+    rows = [("none", "u", "same", 1, "x"), ("%", "u", "same", 2, "y"), (None, "u", "a", 3, None), ("a >b\r\n/é", "u", "a", 4, "z"), ("", "u", "b", 5, "z")]
+    pages = spark.createDataFrame(rows, "page_id string, url string, html string, record_type long, _sha string")
+    want = {("none", "response", None), ("%", "revisit", "none"), (None, "revisit", "a >b\r\n/é"), ("a >b\r\n/é", "response", None), ("", "response", None)}
+    assert {(r.page_id, r.record_type, r.refers_to) for r in warc.round_trip(pages).collect()} == want
+    monkeypatch.setattr(warc, "MAX_BROADCAST", 0)
+    assert {(r.page_id, r.record_type, r.refers_to) for r in warc.round_trip(pages).collect()} == want
+
+
+def test_archive_of_several_members(spark, tmp_path):
+    """Two WARC members with an index each, one packed, files named with and without their folder; another member is left alone."""
+    with zipfile.ZipFile(tmp_path / "a.wacz", "w") as z:
+        for n in (1, 2):
+            packed = [warc.record(f"{n}{k}", "u", f"page {n}{k}".encode(), None) for k in range(5)]
+            at = np.cumsum([0, *map(len, packed)]).tolist()
+            name = "archive/" * (n == 1) + f"part-{n}.warc.gz"
+            lines = "".join(f'x{k} 2024 {{"offset": "{at[k]}", "length": {len(packed[k])}, "filename": "{name}"}}\n' for k in (3, 0, 4, 1)).encode()
+            z.writestr(f"archive/part-{n}.warc.gz", b"".join(packed))
+            z.writestr(f"indexes/part-{n}.cdxj" + ".gz" * (n == 2), gzip.compress(lines) if n == 2 else b"!meta\n" + lines)
+        z.writestr("datapackage.json", b"{}")
+    manifest = spark.createDataFrame([(str(tmp_path / "a.wacz"),)], "path string")
+    got = {(r.record_id, bytes(r.payload)) for r in warc.read_archives(manifest, str(tmp_path)).collect()}
+    assert got == {(f"{n}{k}", f"page {n}{k}".encode()) for n in (1, 2) for k in (0, 1, 3, 4)}
+
+
 def test_zip64_directory():
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
