@@ -1,4 +1,15 @@
-"""Raw documents to training tokens in five stages; each works on all that the one before it kept."""
+"""Raw documents to training tokens in five stages; each works on all that the one before it kept.
+
+Defined cases, for every stage: a null text counts as empty, and an empty table gives an empty one.  Columns of the
+documents pass through all stages but the last, whatever their names, and none but doc_id and text is read.  A null
+doc_id orders behind all others.  By stage:
+
+* quality: every row is judged by its text alone, so repeated rows stay or go together; without labels all stay;
+* exact: of rows with equal text that of the smallest id stays, one where ids are equal too;
+* near: a document is known by id and text together; texts without words are near to none;
+* benchmark: likewise; a text without words holds no item;
+* tokens: a row for each row; an empty text has no tokens and one segmentation; equal ids and texts give equal samples.
+"""
 
 from __future__ import annotations
 
