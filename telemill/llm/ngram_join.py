@@ -30,8 +30,8 @@ from telemill.llm.components import components
 from telemill.llm.shingles import chunks, mix, shingle_sets
 
 THRESHOLD, RECALL, HASHES = 0.8, 0.997, 256
-#: Members of a block; candidates that are broadcast at most.
-BLOCK, MAX_BROADCAST = 256, 200_000
+#: Members of a block; candidates that are broadcast at most; bytes of sets that are verified together.
+BLOCK, MAX_BROADCAST, PART_BYTES = 256, 200_000, 1 << 19
 _rng = np.random.default_rng(7)
 _A = (_rng.integers(0, 1 << 32, HASHES, dtype=np.uint64) | 1).astype(np.uint32)
 _B = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32)
@@ -109,15 +109,10 @@ def shared(sets: list[np.ndarray], cut: int) -> np.ndarray:
     return out
 
 
-def _verify(group: pd.DataFrame) -> pd.DataFrame:
-    """Links of a pair of blocks: by member, how many and the smallest member linked directly or through others."""
-    group = group.sort_values(["_block", "_rep"])
-    rep, sets = group["_rep"].to_numpy(), [np.asarray(s, np.int64) for s in group["_set"]]
+def _linked(rep: np.ndarray, sets: list[np.ndarray], cut: int, bands: list | None, band: int) -> tuple[np.ndarray, ...]:
+    """(member, links, to): of the first ``cut`` members with the rest (of all with all where cut is 0) how many links
+    each has, and the smallest member linked directly or through others; with ``bands`` only links whose first common band is ``band``."""
     size = np.array([len(s) for s in sets])
-    cut = 0 if group["_i"].iloc[0] == group["_j"].iloc[0] else int((group["_block"] == group["_i"].iloc[0]).sum())
-    empty = pd.DataFrame({"_rep": rep[:0], "_links": size[:0], "_to": rep[:0]})
-    if len(rep) < 2 or (group["_i"].iloc[0] != group["_j"].iloc[0] and cut in (0, len(rep))):
-        return empty
     both = shared(sets, cut)
     if cut:
         linked = np.zeros((len(rep), len(rep)), bool)
@@ -126,19 +121,35 @@ def _verify(group: pd.DataFrame) -> pd.DataFrame:
     else:
         linked = both >= THRESHOLD * (size[:, None] + size - both) - 1e-6
         np.fill_diagonal(linked, False)
-    if group["_split"].iloc[0]:  # a pair belongs to the bucket of its first common band
+    if bands is not None:
         a, b = np.nonzero(linked)
-        bands = np.stack(group["_bands"].to_list()).astype(np.int64)
+        bands = np.stack(bands).astype(np.int64)
         for at in range(0, len(a), 1 << 15):
             x, y = a[at : at + (1 << 15)], b[at : at + (1 << 15)]
             first = (bands[x] == bands[y]).argmax(1)
-            linked[x, y] = bands[x, first] == group["_g"].iloc[0]
+            linked[x, y] = bands[x, first] == band
     label, before = rep.copy(), None
     while before is None or (label != before).any():
         before = label
         label = np.minimum(label, np.where(linked, label, np.iinfo(np.int64).max).min(1))
     hit = linked.any(1)
-    return pd.DataFrame({"_rep": rep[hit], "_links": linked.sum(1)[hit], "_to": label[hit]})
+    return rep[hit], linked.sum(1)[hit], label[hit]
+
+
+def _verify(part: pd.DataFrame) -> pd.DataFrame:
+    """Links of some pairs of blocks, one pair after the other."""
+    part = part.sort_values(["_split", "_g", "_i", "_j", "_block", "_rep"])
+    rep, block, split, g, i, j = (part[c].to_numpy() for c in ("_rep", "_block", "_split", "_g", "_i", "_j"))
+    sets, bands = [np.asarray(s, np.int64) for s in part["_set"]], part["_bands"].tolist()
+    new = np.ones(len(part), bool)
+    new[1:] = (split[1:] != split[:-1]) | (g[1:] != g[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+    starts = np.flatnonzero(new)
+    found = [(rep[:0], rep[:0], rep[:0])]
+    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(part)], strict=True):
+        cut = 0 if i[a] == j[a] else int((block[a:b] == i[a]).sum())
+        if b - a > 1 and (i[a] == j[a] or 0 < cut < b - a):
+            found.append(_linked(rep[a:b], sets[a:b], cut, bands[a:b] if split[a] else None, g[a]))
+    return pd.DataFrame({c: np.concatenate([f[k] for f in found]) for k, c in enumerate(("_rep", "_links", "_to"))})
 
 
 def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -155,8 +166,8 @@ def _classify(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     signed = save(signed.mapInPandas(_sign, f"_id {kind}, _key long, _th long, _h1 long, _h2 long, _n int, _bands array<long>"), "signatures")
     total = signed.count()
     worded = signed.where("_n > 0").withColumn("_set_id", F.struct("_h1", "_h2"))
-    reps = worded.groupBy("_set_id").agg(F.min(F.struct(F.col("_id").isNull().alias("_none"), "_id", "_key", "_th")).alias("_first"), F.count("*").alias("_copies"), F.min("_bands").alias("_bands"))
-    reps = save(reps.select("_set_id", F.col("_first._id").alias("_rid"), F.col("_first._key").alias("_rep"), F.col("_first._th").alias("_th"), "_copies", "_bands"), "reps")
+    reps = worded.groupBy("_set_id").agg(F.min(F.struct(F.col("_id").isNull().alias("_none"), "_id", "_key", "_th")).alias("_first"), F.count("*").alias("_copies"), F.min("_bands").alias("_bands"), F.min("_n").alias("_size"))
+    reps = save(reps.select("_set_id", "_size", F.col("_first._id").alias("_rid"), F.col("_first._key").alias("_rep"), F.col("_first._th").alias("_th"), "_copies", "_bands"), "reps")
 
     # candidates: components of the edges from each member of a bucket to its smallest member
     banded = reps.select("_rep", F.explode("_bands").alias("_band"))
@@ -173,8 +184,11 @@ def _classify(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     near = join_groups(near, members, "root", "_m", max(1, near.count()), F.xxhash64("node", F.lit(3)))
     near = near.withColumn("_split", F.col("_by_bucket") < F.col("_m") * blocks("_m"))
     near = near.withColumn("_in", F.when(F.col("_split"), F.col("_in")).otherwise(F.array(F.struct(F.col("root").alias("g"), blocks("_m").alias("n")))))
-    asked = near.drop("_rep").join(reps, F.col("node") == F.col("_rep")).select("_rep", "_rid", "_split", "_in.g", "_in.n", F.when(F.col("_split"), F.col("_bands")).alias("_bands"), F.col("_set_id._h1").alias("_h1"), F.col("_set_id._h2").alias("_h2"), "_th")
+    asked = near.drop("_rep").join(reps, F.col("node") == F.col("_rep")).select("_rep", "_rid", "_split", "_in.g", "_in.n", F.when(F.col("_split"), F.col("_bands")).alias("_bands"), F.col("_set_id._h1").alias("_h1"), F.col("_set_id._h2").alias("_h2"), "_th", "_size")
     asked = save(asked.withColumnsRenamed({"g": "_groups", "n": "_blocks", "_th": "_rth"}), "candidates")
+    held = asked.agg(F.sum(F.aggregate("_blocks", F.lit(0).cast("long"), lambda out, n: out + n) * F.col("_size") * 8)).first()[0] or 0
+    parts = held // PART_BYTES + 1  # many small pairs of blocks go to one call, dealt by hash
+    asked = asked.drop("_size")
     asked = F.broadcast(asked) if asked.count() <= MAX_BROADCAST else asked
     sets = rows.withColumn("_th", F.xxhash64("_text")).join(asked, F.col("_id").eqNullSafe(F.col("_rid")) & (F.col("_th") == F.col("_rth")))
     sets = sets.select("_text", "_rep", "_split", "_groups", "_blocks", "_bands", "_h1", "_h2")
@@ -183,7 +197,9 @@ def _classify(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     sets = sets.withColumn("_block", F.pmod(F.xxhash64("_rep", "_g"), F.col("_n")).cast("int"))
     sets = sets.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
     sets = sets.select("_rep", "_split", "_g", "_bands", "_block", "_set", F.least("_block", "_other").alias("_i"), F.greatest("_block", "_other").alias("_j"))
-    verified = sets.dropDuplicates(["_rep", "_split", "_g", "_i", "_j"]).groupBy("_split", "_g", "_i", "_j").applyInPandas(_verify, "_rep long, _links long, _to long")
+    pair = ["_split", "_g", "_i", "_j"]
+    sets = sets.dropDuplicates(["_rep", *pair]).withColumn("_part", F.pmod(F.xxhash64(*pair), F.lit(parts)))
+    verified = sets.groupBy("_part").applyInPandas(_verify, "_rep long, _links long, _to long")
     verified = save(verified, "links")
 
     # classes

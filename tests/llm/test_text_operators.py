@@ -420,7 +420,7 @@ def test_ngram_join_blocks(monkeypatch):
     rng = np.random.default_rng(5)
     base = np.arange(100)
     sets = [np.unique(np.where(rng.random(100) < 0.05, rng.integers(1000, 2000, 100), base)) for _ in range(20)]
-    frame = lambda i, j, keep: pd.DataFrame({"_rep": [k for k in range(20) if keep(k)], "_set": [sets[k] for k in range(20) if keep(k)], "_block": [k % 2 for k in range(20) if keep(k)], "_i": i, "_j": j, "_split": False})
+    frame = lambda i, j, keep: pd.DataFrame({"_rep": [k for k in range(20) if keep(k)], "_set": [sets[k] for k in range(20) if keep(k)], "_block": [k % 2 for k in range(20) if keep(k)], "_i": i, "_j": j, "_split": False, "_g": 0, "_bands": None})
     whole = frame(0, 0, lambda k: True).assign(_block=0)
     one = ngram_join._verify(whole).set_index("_rep")["_links"]
     parts = [ngram_join._verify(frame(0, 0, lambda k: k % 2 == 0)), ngram_join._verify(frame(1, 1, lambda k: k % 2 == 1)), ngram_join._verify(frame(0, 1, lambda k: True))]
@@ -435,7 +435,8 @@ def test_ngram_join_chain(spark, monkeypatch, block):
     plain = ngram_join._verify
 
     def watched(group):
-        assert len(group) <= 2 * block and (block == 256) == (not group["_split"].any())
+        sizes = group.groupby(["_split", "_g", "_i", "_j"]).size()
+        assert sizes.max() <= 2 * block and (block == 256) == (not group["_split"].any())
         return plain(group)
 
     words = [f"c{k}" for k in range(2000)]
