@@ -41,7 +41,7 @@ _UNIT = re.compile(" +[^ ]*")
 _B = np.uint64(0x9E3779B97F4A7C15)
 #: Characters worked on together, rows of a batch made text at a time and ids of units kept: what bounds a
 #: worker's memory.
-_CHUNK, _ROWS, _KEEP = 1 << 18, 500, 3 << 18
+_CHUNK, _ROWS, _KEEP = 1 << 18, 500, 1 << 18
 
 
 class _Seen(dict):

@@ -29,7 +29,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def chunks(texts: list[str], most: int = 1 << 20) -> Iterator[list[str]]:
+def chunks(texts: list[str], most: int = 1 << 19) -> Iterator[list[str]]:
     """Consecutive texts of about so many characters together; a longer text stands alone."""
     part, size = [], 0
     for text in texts:
