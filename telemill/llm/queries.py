@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from telemill.llm import decontaminate, exact_dedup, licenses, ngram_join, passages, quality, secrets, sentencepiece_sampling, substring_dedup, warc
+from telemill.llm import decontaminate, exact_dedup, licenses, ngram_join, passages, periodic_runs, quality, secrets, sentencepiece_sampling, substring_dedup, warc
 from telemill.llm.common import read_table
 
 
@@ -57,6 +57,11 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(read_table(spark, sf_dir, "documents"))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periodic_runs.planted(read_table(spark, sf_dir, "documents"))
+    return periodic_runs.digest(periodic_runs.runs(docs))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": corpus_pipeline.run,
     "op1_ngram_join": op1_ngram_join,
@@ -69,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_licenses": op8_licenses,
     "op9_secrets": op9_secrets,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLES: dict[str, str] = {
