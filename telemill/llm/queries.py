@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from telemill.llm import decontaminate, exact_dedup, licenses, ngram_join, passages, periodic_runs, quality, secrets, sentencepiece_sampling, substring_dedup, token_alignment, warc
+from telemill.llm import decontaminate, exact_dedup, licenses, ngram_join, passages, periodic_runs, quality, secrets, sentencepiece_sampling, site_tree, substring_dedup, token_alignment, warc
 from telemill.llm.common import read_table
 
 
@@ -57,6 +57,10 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(read_table(spark, sf_dir, "documents"))
 
 
+def op11_site_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_tree.extract(read_table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.digest(token_alignment.align(read_table(spark, sf_dir, "documents")))
 
@@ -78,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_licenses": op8_licenses,
     "op9_secrets": op9_secrets,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_site_tree": op11_site_tree,
     "op12_token_alignment": op12_token_alignment,
     "op13_periodic_runs": op13_periodic_runs,
 }
