@@ -27,28 +27,56 @@ def _per_month(false_days: Column, months: Column) -> Column:
     return round_half(F.try_divide(false_days, months), 3)
 
 
+#: Thresholds between two of the coarse ones that a day is held against first.
+_STRIDE = 128
+
+
+def _below(sorted_: Column, value: Column) -> Column:
+    """How many of sorted numbers are below a value: among every 128th first, then among the 128 between two of them."""
+    coarse = F.size(F.filter(F.filter(sorted_, lambda x, i: i % _STRIDE == 0), lambda x: x < value))
+    at = (coarse - 1) * _STRIDE
+    return F.when(coarse > 0, at + F.size(F.filter(F.slice(sorted_, at + 1, _STRIDE), lambda x: x < value))).otherwise(0)
+
+
 def sweep(scores: DataFrame, reports: DataFrame, thresholds: DataFrame, score: str = "peak", keys: list[str] | None = None, extra: DataFrame | None = None) -> DataFrame:
     """By threshold: alarm days, detected reports, false alarm days and false alarms a month, in one pass.
 
     A day alarms when its score exceeds the threshold; a report is detected when it holds an alarm day; an alarm
     day outside every report is false.  Months are those with a score.  With ``extra`` reports the same pass also
     gives detected_with, false_days_with and false_per_month_with, in which these count as reports.
+
+    A day falls between two thresholds and alarms for all up to there, a report for all up to its highest day.  Days and
+    reports are counted by that place, and the sums from each place on are the answers: rows are days and thresholds,
+    not their product.
     """
     keys = keys or []
     events = event_days(reports).select(*keys, "day", F.struct("nr", "began").alias("event"), F.lit(False).alias("_x"))
     if extra is not None:
         events = events.union(event_days(extra).select(*keys, "day", F.struct("nr", "began").alias("event"), F.lit(True).alias("_x")))
-    days = events.groupBy(*keys, "day").agg(F.collect_set(F.when(~F.col("_x"), F.col("event"))).alias("_own"), F.collect_set("event").alias("_all"))
-    months = scores.groupBy(*keys).agg(F.count_distinct(month_of("day")).alias("months"))
-    hit = scores.select(*keys, "day", F.col(score).alias("_s")).join(days, [*keys, "day"], "left").crossJoin(F.broadcast(thresholds))
-    alarm = F.col("_s") > F.col("threshold")
-    false = lambda c: F.count_if(alarm & (F.coalesce(F.size(c), F.lit(0)) < 1))
-    found = lambda c: F.size(F.array_distinct(F.flatten(F.collect_set(F.when(alarm, F.col(c))))))
-    out = hit.groupBy(*keys, "threshold").agg(
-        F.count_if(alarm).alias("alarm_days"), found("_own").cast("long").alias("detected"), false("_own").alias("false_days"),
-        found("_all").cast("long").alias("detected_with"), false("_all").alias("false_days_with"),
+    months = scores.groupBy(*keys).agg(F.count_distinct(month_of("day")).alias("months"), F.count("*").alias("_scored")).where("_scored > 0").drop("_scored")
+    steps = thresholds.select("threshold").distinct().agg(F.array_sort(F.collect_list("threshold")).alias("_steps"))
+    days = scores.crossJoin(F.broadcast(steps)).select(*keys, "day", F.coalesce(_below(F.col("_steps"), F.col(score)), F.lit(0)).alias("_place"))
+    own = events.groupBy(*keys, "day").agg(F.max(~F.col("_x")).alias("_own"), F.lit(True).alias("_any"))
+    flagged = days.join(own, [*keys, "day"], "left")
+    false = lambda c: F.count_if(~F.coalesce(F.col(c), F.lit(False)))
+    zero = F.lit(0).cast("long")
+    by_day = flagged.groupBy(*keys, "_place").agg(F.count("*").alias("alarm_days"), false("_own").alias("false_days"), false("_any").alias("false_days_with"))
+    by_day = by_day.select(*keys, "_place", "alarm_days", "false_days", "false_days_with", zero.alias("detected"), zero.alias("detected_with"), F.lit(None).cast("double").alias("threshold"))
+    reached = events.join(days, [*keys, "day"]).groupBy(*keys, "event").agg(F.max(F.when(~F.col("_x"), F.col("_place"))).alias("_p"), F.max("_place").alias("_with"))
+    once = lambda c, n: F.struct(F.coalesce(F.col(c), zero).alias("_place"), *[F.lit(int(n == x)).cast("long").alias(x) for x in ("detected", "detected_with")])
+    by_event = reached.select(*keys, F.inline(F.array(once("_p", "detected"), once("_with", "detected_with"))))
+    by_event = by_event.select(*keys, "_place", zero, zero, zero, "detected", "detected_with", F.lit(None).cast("double"))
+    asked = steps.select(F.posexplode("_steps").alias("_at", "threshold"))
+    asked = months.drop("months").crossJoin(F.broadcast(asked)) if keys else asked.join(months.select(F.lit(True).alias("_some")), F.lit(True), "left_semi")
+    asked = asked.select(*keys, (F.col("_at") + 1).alias("_place"), zero, zero, zero, zero, zero, F.col("threshold").cast("double"))
+    names = ["alarm_days", "false_days", "false_days_with", "detected", "detected_with"]
+    # a threshold's alarms are those of its place and all beyond; there are as many rows as places and thresholds
+    onward = W.partitionBy(*(keys or [F.lit(0)])).orderBy(F.col("_place").desc()).rangeBetween(W.unboundedPreceding, 0)
+    summed = by_day.union(by_event).union(asked).select(*keys, "threshold", *[F.sum(n).over(onward).alias(n) for n in names]).where("threshold IS NOT NULL")
+    out = _beside(summed, months, keys).select(
+        *keys, "threshold", "alarm_days", "detected", "false_days", "detected_with", "false_days_with",
+        _per_month(F.col("false_days"), F.col("months")).alias("false_per_month"), _per_month(F.col("false_days_with"), F.col("months")).alias("false_per_month_with"),
     )
-    out = _beside(out, months, keys).withColumn("false_per_month", _per_month(F.col("false_days"), F.col("months"))).withColumn("false_per_month_with", _per_month(F.col("false_days_with"), F.col("months"))).drop("months")
     return out if extra is not None else out.drop("detected_with", "false_days_with", "false_per_month_with")
 
 

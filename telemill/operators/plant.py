@@ -7,13 +7,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from telemill.functions import round_half
+from telemill.operators.quantiles import quantiles
 from telemill.operators.windows import ordered_lag, segment_rows, segment_steps, segments
 
 
 def thresholds(df: DataFrame, state: str, value: str, order: list[str], chunk: str = "day", keys: list[str] | None = None) -> DataFrame:
     """Median value at each direction of a transition."""
     t = ordered_lag(df, {state: "_was"}, order, chunk, keys).where(F.col("_was") != F.col(state))
-    return t.groupBy(*(keys or []), F.when(F.col(state) == 1, "start").otherwise("stop").alias("direction")).agg(F.count("*").alias("n"), round_half(F.median(value), 3).alias("threshold"))
+    t = t.withColumn("direction", F.when(F.col(state) == 1, "start").otherwise("stop"))
+    out = quantiles(t, {"threshold": (F.col(value), 0.5)}, [F.count("*").alias("n")], [*(keys or []), "direction"])
+    return out.select(*(keys or []), "direction", "n", round_half("threshold", 3).alias("threshold"))
 
 
 def clean_segments(df: DataFrame, state: str, value: str, max_gap: int, order: list[str], minutes_per_reading: float, keys: list[str] | None = None) -> DataFrame:
@@ -24,7 +27,8 @@ def clean_segments(df: DataFrame, state: str, value: str, max_gap: int, order: l
 
 def durations(segs: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """By state: segments, their usual and longest counted minutes."""
-    return segs.groupBy(*(keys or []), "state").agg(F.count("*").alias("n"), round_half(F.median("counted_minutes"), 3).alias("typical_minutes"), round_half(F.max("counted_minutes"), 3).alias("longest"))
+    out = quantiles(segs, {"typical": (F.col("counted_minutes"), 0.5)}, [F.count("*").alias("n"), F.max("counted_minutes").alias("most")], [*(keys or []), "state"])
+    return out.select(*(keys or []), "state", "n", round_half("typical", 3).alias("typical_minutes"), round_half("most", 3).alias("longest"))
 
 
 def balance(segs: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -49,18 +53,17 @@ def slopes(df: DataFrame, state: str, value: str, order: list[str], chunk: str =
     w = W.partitionBy(*(keys or []), chunk).orderBy(*order)
     d = df.withColumn("_d", F.lead(value).over(w) - F.col(value)).withColumn("_next", F.lead(state).over(w))
     same = F.col("_next") == F.col(state)
-    return d.groupBy(*(keys or [])).agg(
-        round_half(F.median(F.when(same & (F.col(state) == 1), F.col("_d"))), 3).alias("loaded_step"),
-        round_half(F.median(F.when(same & (F.col(state) == 0), F.col("_d"))), 3).alias("idle_step"),
-        round_half(F.min(F.when(F.abs("_d") > 1e-9, F.abs("_d"))), 3).alias("smallest_step"),
-    )
+    steps = {name: (F.when(same & (F.col(state) == s), F.col("_d")), 0.5) for name, s in (("loaded_step", 1), ("idle_step", 0))}
+    out = quantiles(d, steps, [F.min(F.when(F.abs("_d") > 1e-9, F.abs("_d"))).alias("smallest_step")], keys)
+    return out.select(*(keys or []), *[round_half(c, 3).alias(c) for c in ("loaded_step", "idle_step", "smallest_step")])
 
 
 def ramp(df: DataFrame, state: str, value: str, order: list[str], steps: int = 10, chunk: str = "day", keys: list[str] | None = None) -> DataFrame:
     """Median change at each of the first steps of a loaded segment."""
     rows = segment_steps(segment_rows(df, state, order, chunk, keys), {value: "_before"}, order, chunk, keys).where((F.col(state) == 1) & F.col("step").between(2, steps + 1))
-    out = rows.withColumn("_d", F.col(value) - F.col("_before")).groupBy(*(keys or []), (F.col("step") - 1).cast("long").alias("step"))
-    return out.agg(F.count("*").alias("n"), round_half(F.median("_d"), 3).alias("change"))
+    rows = rows.withColumns({"_d": F.col(value) - F.col("_before"), "step": (F.col("step") - 1).cast("long")})
+    out = quantiles(rows, {"change": (F.col("_d"), 0.5)}, [F.count("*").alias("n")], [*(keys or []), "step"])
+    return out.select(*(keys or []), "step", "n", round_half("change", 3).alias("change"))
 
 
 def predictions(params: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from telemill.functions import frame_median, round_half, trunc_ts
+from telemill.operators.quantiles import quantiles
+from telemill.operators.ranks import trailing
 
 
 def hourly_residual(df: DataFrame, state: str, delivery: float, consumption: float, least: int, ts: str = "timestamp", keys: list[str] | None = None) -> DataFrame:
@@ -22,16 +24,16 @@ def daily_peaks(hours: DataFrame, keys: list[str] | None = None) -> DataFrame:
 
 
 def with_baseline(days: DataFrame, frame: int = 14, keys: list[str] | None = None) -> DataFrame:
-    """Median of the peaks of the days before, and the deviation from it.  Rows are days: few per key."""
-    w = W.partitionBy(*(keys or [])).orderBy("day").rowsBetween(-frame, -1)
-    out = days.withColumn("baseline", round_half(frame_median("peak").over(w), 6))
+    """Median of the peaks of the days before, and the deviation from it; a long series is cut into blocks."""
+    out = trailing(days, "day", frame, {"baseline": frame_median("peak")}, keys).withColumn("baseline", round_half("baseline", 6))
     return out.withColumn("deviation", round_half(F.col("peak") - F.col("baseline"), 6))
 
 
 def noise_floor(hours: DataFrame, first: str, last: str, keys: list[str] | None = None) -> DataFrame:
     h = hours.where(F.col("day").between(F.lit(first).cast("date"), F.lit(last).cast("date")))
-    q = h.groupBy(*(keys or [])).agg(F.count("*").alias("hours"), F.percentile("residual", [0.5, 0.95, 0.99]).alias("q"), F.max("residual").alias("high"))
-    return q.select(*(keys or []), "hours", *[round_half(F.col("q")[i], 6).alias(n) for i, n in enumerate(("median", "p95", "p99"))], "high")
+    shares = {"median": 0.5, "p95": 0.95, "p99": 0.99}
+    q = quantiles(h, {n: (F.col("residual"), p) for n, p in shares.items()}, [F.count("*").alias("hours"), F.max("residual").alias("high")], keys)
+    return q.select(*(keys or []), "hours", *[round_half(n, 6).alias(n) for n in shares], "high")
 
 
 def minute_curve(df: DataFrame, state: str, every: int = 1, ts: str = "timestamp", keys: list[str] | None = None) -> DataFrame:

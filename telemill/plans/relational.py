@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from telemill.functions import boundary_diff, bucket, epoch_seconds, frame_median, month_of, on_days, round_half, share, trunc_ts, upper_median
+from telemill.operators.intervals import interval_join
+from telemill.operators.quantiles import quantiles
+from telemill.operators.ranks import global_rank, same_order, trailing
 from telemill.operators.windows import islands, ordered_lag, ordered_running_sum, segment_rows, segment_steps
 from telemill.plans.registry import ORDER, Lake, query, r, tel_sql
 
@@ -149,13 +152,14 @@ REP_DAYS_SQL = "rd AS (SELECT nr, began, ended, failure, CAST(unnest(generate_se
 @query("joi_04_range_left", tel_sql("n AS (SELECT day, count(*) AS readings FROM tel GROUP BY day) SELECT n.day, n.readings, rep.nr IS NOT NULL AS reported, rep.began FROM n LEFT JOIN rep ON n.day BETWEEN CAST(rep.began AS DATE) AND CAST(rep.ended AS DATE)", rep=True))
 def joi_04(k: Lake) -> DataFrame:
     n = k.tel.groupBy("day").agg(F.count("*").alias("readings"))
-    return n.join(report_days(k), "day", "left").select("day", "readings", col("nr").isNotNull().alias("reported"), "began")
+    return interval_join(n, k.reports, "day", "began", "ended", how="left", exact=False).select("day", "readings", col("nr").isNotNull().alias("reported"), "began")
 
 
 @query("joi_05_readings_per_report", tel_sql("SELECT rep.nr, rep.began, count(tel.event_id) AS readings, CAST(coalesce(sum(tel.dv), 0) AS BIGINT) AS loaded FROM rep LEFT JOIN tel ON tel.day BETWEEN CAST(rep.began AS DATE) AND CAST(rep.ended AS DATE) GROUP BY rep.nr, rep.began", rep=True))
 def joi_05(k: Lake) -> DataFrame:
     n = k.tel.groupBy("day").agg(F.count("event_id").alias("n"), F.sum("dv").alias("up"))
-    j = report_days(k).join(n, "day", "left")
+    held = interval_join(n, k.reports.select("nr", "began", "ended"), "day", "began", "ended", exact=False).select("nr", "began", "n", "up")
+    j = k.reports.select("nr", "began").join(held, ["nr", "began"], "left")
     return j.groupBy("nr", "began").agg(F.coalesce(F.sum("n"), lit(0)).alias("readings"), F.coalesce(F.sum("up"), lit(0.0)).cast("bigint").alias("loaded"))
 
 
@@ -229,7 +233,20 @@ def joi_14(k: Lake) -> DataFrame:
 
 @query("joi_15_point_in_interval", tel_sql("SELECT d.day, rep.nr, rep.began FROM (SELECT DISTINCT day FROM tel) d JOIN rep ON d.day >= CAST(rep.began AS DATE) AND d.day <= CAST(rep.ended AS DATE)", rep=True))
 def joi_15(k: Lake) -> DataFrame:
-    return k.tel.select("day").distinct().join(report_days(k), "day").select("day", "nr", "began")
+    return interval_join(k.tel.select("day").distinct(), k.reports, "day", "began", "ended", exact=False).select("day", "nr", "began")
+
+
+SPANS = [("years", "2021-03-01 00:00:00", "2024-01-20 12:00:00"), ("decades", "1969-12-31 00:00:00", "2031-05-05 05:05:05"), ("minutes", "2024-01-12 10:03:30", "2024-01-12 11:47:10"), ("seconds", "2024-01-15 00:00:05", "2024-01-15 00:20:09"), ("nothing", "2024-01-18 02:00:00", "2024-01-18 01:00:00")]
+SPANS_SQL = "spans AS (SELECT name, CAST(a AS TIMESTAMP) AS began, CAST(b AS TIMESTAMP) AS ended FROM (VALUES " + ", ".join(str(x) for x in SPANS) + ") v(name, a, b))"
+
+
+@query("joi_17_dyadic_cover", tel_sql(f"{SPANS_SQL} SELECT name, began, count(*) AS readings, {r('sum(pressure)', 2)} AS pressure, min(event_id) AS least_id FROM tel JOIN spans ON tel.timestamp BETWEEN began AND ended GROUP BY name, began"))
+def joi_17(k: Lake) -> DataFrame:
+    """Readings in intervals of decades and of minutes at once: blocks of seconds of several sizes, equi-joins only."""
+    at = lambda c: col(c).cast("timestamp_ntz")
+    spans = k.spark.createDataFrame(SPANS, "name string, a string, b string").select("name", at("a").alias("began"), at("b").alias("ended"))
+    held = interval_join(k.tel, spans, "timestamp", "began", "ended", seconds=1)
+    return held.groupBy("name", "began").agg(F.count("*").alias("readings"), round_half(F.sum("pressure"), 2).alias("pressure"), F.min("event_id").alias("least_id"))
 
 
 @query("joi_16_interval_days", tel_sql(f"{REP_DAYS_SQL} SELECT nr, began, rd.day, count(event_id) AS readings FROM rd LEFT JOIN tel ON tel.day = rd.day GROUP BY nr, began, rd.day", rep=True))
@@ -305,13 +322,21 @@ def agg_10(k: Lake) -> DataFrame:
 
 @query("agg_11_median", tel_sql(f"SELECT event_type, {r('median(pressure)')} AS mid, {r('median(CASE WHEN pressure > 50 THEN pressure END)')} AS mid_high FROM tel GROUP BY event_type"))
 def agg_11(k: Lake) -> DataFrame:
-    return k.tel.groupBy("event_type").agg(round_half(F.median("pressure"), 3).alias("mid"), round_half(F.median(F.when(col("pressure") > 50, col("pressure"))), 3).alias("mid_high"))
+    q = quantiles(k.tel, {"mid": (col("pressure"), 0.5), "mid_high": (F.when(col("pressure") > 50, col("pressure")), 0.5)}, keys=["event_type"])
+    return q.select("event_type", *[round_half(c, 3).alias(c) for c in ("mid", "mid_high")])
 
 
 @query("agg_12_quantiles", tel_sql(f"SELECT {r('quantile_cont(pressure, 0.95)')} AS p95, {r('quantile_cont(pressure, 0.99)')} AS p99 FROM tel"))
 def agg_12(k: Lake) -> DataFrame:
-    q = k.tel.agg(F.percentile("pressure", [0.95, 0.99]).alias("q"))
-    return q.select(round_half(col("q")[0], 3).alias("p95"), round_half(col("q")[1], 3).alias("p99"))
+    q = quantiles(k.tel, {"p95": (col("pressure"), 0.95), "p99": (col("pressure"), 0.99)})
+    return q.select(*[round_half(c, 3).alias(c) for c in ("p95", "p99")])
+
+
+@query("agg_25_ranks_selected", tel_sql(f"SELECT event_type, {r('quantile_cont(pressure, 0.1)')} AS p10, {r('median(oil)')} AS mid, {r('quantile_cont(pressure, 0.999)')} AS p999, count(*) AS n FROM tel GROUP BY event_type"))
+def agg_25(k: Lake) -> DataFrame:
+    """The same quantiles as from a group too large for a task: ranks are selected whatever the size."""
+    q = quantiles(k.tel, {"p10": (col("pressure"), 0.1), "mid": (col("oil"), 0.5), "p999": (col("pressure"), 0.999)}, [F.count("*").alias("n")], ["event_type"], limit=20, accuracy=100)
+    return q.select("event_type", *[round_half(c, 3).alias(c) for c in ("p10", "mid", "p999")], "n")
 
 
 @query("agg_13_upper_median", tel_sql("n AS (SELECT event_type, day, count(*) AS c FROM tel GROUP BY 1, 2) SELECT event_type, (list_sort(list(c)))[len(list(c)) // 2 + 1] AS upper_mid FROM n GROUP BY event_type"))
@@ -431,7 +456,15 @@ def win_07(k: Lake) -> DataFrame:
 @query("win_08_trailing_median", tel_sql(f"d AS (SELECT day, {r('max(pressure)')} AS peak FROM tel GROUP BY day) SELECT day, peak, {r('median(peak) OVER (ORDER BY day ROWS BETWEEN 14 PRECEDING AND 1 PRECEDING)')} AS baseline FROM d"))
 def win_08(k: Lake) -> DataFrame:
     d = k.tel.groupBy("day").agg(round_half(F.max("pressure"), 3).alias("peak"))
-    return d.select("day", "peak", round_half(frame_median("peak").over(W.orderBy("day").rowsBetween(-14, -1)), 3).alias("baseline"))
+    return trailing(d, "day", 14, {"baseline": frame_median("peak")}).withColumn("baseline", round_half("baseline", 3))
+
+
+@query("win_14_trailing_blocks", tel_sql(f"d AS (SELECT day, {r('max(pressure)')} AS peak, count(*) AS n FROM tel GROUP BY day) SELECT day, {r('median(peak) OVER w')} AS baseline, CAST(sum(n) OVER w AS BIGINT) AS readings_before FROM d WINDOW w AS (ORDER BY day ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING)"))
+def win_14(k: Lake) -> DataFrame:
+    """A series of many blocks: frames that reach over the edges of blocks of the calendar and of ranks."""
+    d = k.tel.groupBy("day").agg(round_half(F.max("pressure"), 3).alias("peak"), F.count("*").alias("n"))
+    out = trailing(d, "day", 3, {"baseline": frame_median("peak"), "readings_before": F.sum("n")}, block_rows=4, block_days=5)
+    return out.select("day", round_half("baseline", 3).alias("baseline"), "readings_before")
 
 
 @query("win_09_cumulative", tel_sql("SELECT event_id, day, CAST(sum(dv) OVER (PARTITION BY day ORDER BY timestamp, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS loaded_so_far FROM tel"))
@@ -499,8 +532,13 @@ ORDERS_SQL = f"m AS (SELECT day, {r('avg(dv)', 6)} AS a, {r('max(pressure)')} AS
 @query("srt_06_same_order", tel_sql(f"{ORDERS_SQL} SELECT count(*) AS days, count(*) FILTER (WHERE ra <> rb) AS moved FROM n"))
 def srt_06(k: Lake) -> DataFrame:
     m = k.tel.groupBy("day").agg(round_half(F.avg("dv"), 6).alias("a"), round_half(F.max("pressure"), 3).alias("b"))
-    rank = lambda c: F.row_number().over(W.orderBy(c, "day"))
-    return m.select(rank("a").alias("ra"), rank("b").alias("rb")).agg(F.count("*").alias("days"), F.count_if(col("ra") != col("rb")).alias("moved"))
+    return same_order(m, "a", "b", "day").withColumnRenamed("rows", "days")
+
+
+@query("srt_07_global_rank", tel_sql("SELECT event_id, row_number() OVER (ORDER BY pressure DESC, event_id) AS place FROM tel"))
+def srt_07(k: Lake) -> DataFrame:
+    """The place of every reading among all, by ranges of the order instead of one task."""
+    return global_rank(k.tel.select("event_id", "pressure"), [(-col("pressure")), "event_id"], "place").select("event_id", "place")
 
 
 # ---- set operations

@@ -8,6 +8,8 @@ from pyspark.sql import Window as W
 
 from telemill.functions import month_of, on_days, round_half, share, trunc_ts, upper_median
 from telemill.operators import gold, grading, plant, profile, residual
+from telemill.operators.quantiles import quantiles
+from telemill.operators.ranks import same_order
 from telemill.operators.resample import conservation, resample
 from telemill.operators.windows import ordered_lag, segments
 from telemill.plans.registry import ORDER, Lake, query, r, tel_sql
@@ -265,7 +267,7 @@ def ts_28(k: Lake) -> DataFrame:
 @query("ts_29_grains", tel_sql(f"{PEAK_SQL}, {REP_DAYS_SQL}, f AS (SELECT quantile_cont(residual, 0.99) AS floor FROM hres WHERE day BETWEEN DATE '{HEALTHY[0]}' AND DATE '{HEALTHY[1]}'), d AS (SELECT day, avg(residual) AS daily, max(residual) AS hourly FROM hres GROUP BY day) SELECT rd.nr, d.day, {r('daily / floor', 4)} AS day_in_floors, {r('hourly / floor', 4)} AS hour_in_floors FROM rd JOIN d ON rd.day = d.day CROSS JOIN f", rep=True))
 def ts_29(k: Lake) -> DataFrame:
     h = hours_of(k)
-    f = on_days(h, *HEALTHY).agg(F.percentile("residual", lit(0.99)).alias("floor"))
+    f = quantiles(on_days(h, *HEALTHY), {"floor": (col("residual"), 0.99)}, [F.count("*").alias("hours")]).select("floor")
     d = h.groupBy("day").agg(F.avg("residual").alias("daily"), F.max("residual").alias("hourly")).crossJoin(F.broadcast(f))
     return grading.event_days(k.reports).join(d, "day").select("nr", "day", round_half(col("daily") / col("floor"), 4).alias("day_in_floors"), round_half(col("hourly") / col("floor"), 4).alias("hour_in_floors"))
 
@@ -294,7 +296,9 @@ def ts_33(k: Lake) -> DataFrame:
 
 @query("ts_34_drift", tel_sql(f"{RES_SQL} SELECT strftime(day, '%Y-%m') AS month, count(DISTINCT CASE WHEN residual > 0.9 THEN day END) AS days_above, {r('median(residual)', 6)} AS typical FROM hres GROUP BY 1"))
 def ts_34(k: Lake) -> DataFrame:
-    return hours_of(k).groupBy(month_of("day").alias("month")).agg(F.count_distinct(F.when(col("residual") > 0.9, col("day"))).alias("days_above"), round_half(F.median("residual"), 6).alias("typical"))
+    above = F.count_distinct(F.when(col("residual") > 0.9, col("day"))).alias("days_above")
+    out = quantiles(hours_of(k).withColumn("month", month_of("day")), {"typical": (col("residual"), 0.5)}, [above], ["month"])
+    return out.select("month", "days_above", round_half("typical", 6).alias("typical"))
 
 
 @query("ts_35_plateau", tel_sql(f"SELECT count(*) AS n, {r('avg(oil)')} AS mean, min(oil) AS low, max(oil) AS high, {r('stddev_samp(oil)')} AS spread FROM tel WHERE timestamp >= TIMESTAMP '2024-01-07 10:00:00' AND timestamp < TIMESTAMP '2024-01-07 16:00:00'"))
@@ -369,8 +373,8 @@ def thresholds_of(k: Lake) -> DataFrame:
     return k.spark.range(THRESHOLDS).select(round_half(lit(0.3) + lit(0.05) * col("id"), 2).alias("threshold"))
 
 
-def _sweep_sql(score: str) -> str:
-    return tel_sql(f"{PEAK_SQL}, {REP_DAYS_SQL}, {THR_SQL}, s AS (SELECT day, {score} AS score FROM based WHERE {score} IS NOT NULL), {SWEEP_SQL} SELECT threshold, count(DISTINCT day) FILTER (WHERE alarm) AS alarm_days, count(DISTINCT began) FILTER (WHERE alarm) AS detected, count(DISTINCT day) FILTER (WHERE alarm AND began IS NULL) AS false_days, {r('count(DISTINCT day) FILTER (WHERE alarm AND began IS NULL) / (SELECT m FROM months)')} AS false_per_month FROM x GROUP BY threshold", rep=True)
+def _sweep_sql(score: str, thr: str = THR_SQL) -> str:
+    return tel_sql(f"{PEAK_SQL}, {REP_DAYS_SQL}, {thr}, s AS (SELECT day, {score} AS score FROM based WHERE {score} IS NOT NULL), {SWEEP_SQL} SELECT threshold, count(DISTINCT day) FILTER (WHERE alarm) AS alarm_days, count(DISTINCT began) FILTER (WHERE alarm) AS detected, count(DISTINCT day) FILTER (WHERE alarm AND began IS NULL) AS false_days, {r('count(DISTINCT day) FILTER (WHERE alarm AND began IS NULL) / (SELECT m FROM months)')} AS false_per_month FROM x GROUP BY threshold", rep=True)
 
 
 @query("evt_01_report_days", tel_sql(f"{REP_DAYS_SQL}, n AS (SELECT day, count(*) AS c FROM tel GROUP BY day) SELECT nr, began, count(*) AS days, min(rd.day) AS first_day, max(rd.day) AS last_day, CAST(sum(c) AS BIGINT) AS readings FROM rd LEFT JOIN n ON rd.day = n.day GROUP BY nr, began", rep=True))
@@ -403,6 +407,15 @@ def evt_03_deviation(k: Lake) -> DataFrame:
     return grading.sweep(s, k.reports, thresholds_of(k), "deviation")
 
 
+DENSE = 10_000
+
+
+@query("evt_15_dense_sweep", _sweep_sql("peak", f"thr AS (SELECT CAST(i AS DOUBLE) / 8000 AS threshold FROM range({DENSE}) t(i))"))
+def evt_15(k: Lake) -> DataFrame:
+    """Ten thousand thresholds at once: rows are days and thresholds, never their product."""
+    return grading.sweep(peaks_of(k), k.reports, k.spark.range(DENSE).select((col("id").cast("double") / 8000).alias("threshold")))
+
+
 EXTRA = ("#9", "2024-01-15 00:00:00", "2024-01-16 23:00:00")
 EXTRA_SQL = f"ex AS (SELECT '{EXTRA[0]}' AS nr, TIMESTAMP '{EXTRA[1]}' AS began, unnest([DATE '2024-01-15', DATE '2024-01-16']) AS day)"
 
@@ -449,8 +462,7 @@ def evt_07(k: Lake) -> DataFrame:
 @query("evt_08_order_rival", tel_sql(f"{PEAK_SQL}, n AS (SELECT d.day, row_number() OVER (ORDER BY peak, d.day) AS a, row_number() OVER (ORDER BY duty, d.day) AS b FROM peaks p JOIN (SELECT day, {r('avg(dv)', 6)} AS duty FROM tel GROUP BY day) d ON p.day = d.day) SELECT count(*) AS days, count(*) FILTER (WHERE a <> b) AS moved FROM n"))
 def evt_08(k: Lake) -> DataFrame:
     d = peaks_of(k).join(k.tel.groupBy("day").agg(round_half(F.avg("dv"), 6).alias("duty")), "day")
-    rank = lambda c: F.row_number().over(W.orderBy(c, "day"))
-    return d.select(rank("peak").alias("a"), rank("duty").alias("b")).agg(F.count("*").alias("days"), F.count_if(col("a") != col("b")).alias("moved"))
+    return same_order(d.select("peak", "duty", "day"), "peak", "duty", "day").withColumnRenamed("rows", "days")
 
 
 CLASS_SQL = f"{PEAK_SQL}, {REP_DAYS_SQL}, cal AS (SELECT CAST(unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-02-02', INTERVAL 1 DAY)) AS DATE) AS day), cls AS (SELECT cal.day, peak, CASE WHEN peak IS NULL THEN 'not judged' WHEN cal.day IN (SELECT day FROM rd) AND peak > {ALARM_LEVEL} THEN 'hit' WHEN cal.day IN (SELECT day FROM rd) THEN 'missed' WHEN peak > {ALARM_LEVEL} THEN 'false' WHEN peak > 0.7 THEN 'above noise' ELSE 'normal' END AS class FROM cal LEFT JOIN peaks ON cal.day = peaks.day)"
