@@ -15,8 +15,9 @@ Byte offsets where a token of both ends cut the tokens into groups; a link is a
 What all tasks get of the counts is bounded by the two vocabularies, whatever the corpus: of two tokens that end
 together the shorter's bytes end the longer's, see ``most_pairs`` (under a million for the files here).
 
-Texts are cut before a single space between two characters that are no space; no token of A or B spans such a place
-(``Units`` refuses a B model with one), so each unit is encoded once and kept.
+Texts are cut where a space, tab or line end follows another character; no token of A or B spans such a place
+(``vocabularies`` refuses a B model with one), so each unit is encoded once and kept.  Texts with other white space are
+encoded whole.
 
 Defined cases: a text that is null, empty, or whose joined tokens are not its bytes again has no tokens: zeros and
 groups ''; special tokens' strings are plain text; repeated and null ids stay separate rows; an empty table gives an
@@ -43,11 +44,13 @@ from telemill.llm.shingles import chunks
 
 A_FILE, B_FILE = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
 #: Parts by the low bits of the B id, characters of text of a spill, runs that a heap merges at a time.
-PARTS, SPILL, FAN_IN = 16, 1 << 22, 64
+PARTS, SPILL, FAN_IN = 16, 1 << 21, 64
 #: Units that a worker keeps, and characters of their groups.
-KEPT_UNITS, KEPT_CHARS = 200_000, 1 << 25
+KEPT_UNITS, KEPT_CHARS = 250_000, 1 << 25
 _A_BITS, _DOC_BITS = 17, 26
-_CUT = re.compile(r"(?<=\S) (?=\S)")
+#: A unit is space with what follows it; texts with other white space are one unit.
+_UNIT = re.compile("[ \\n\\t]*[^ \\n\\t]+|[ \\n\\t]+")
+_OTHER_SPACE = re.compile("[^\\S \\n\\t]")
 
 
 def byte_of() -> dict[str, int]:
@@ -71,8 +74,8 @@ def vocabularies(a_file: str = A_FILE, b_file: str = B_FILE):
         a_bytes[k] = bytes(table[c] for c in token) if all(c in table for c in token) else token.encode()
     b = sentencepiece.SentencePieceProcessor(model_file=b_file)
     pieces = [b.id_to_piece(k) for k in range(b.get_piece_size())]
-    if any("▁" in p.lstrip("▁") for k, p in enumerate(pieces) if not b.is_control(k)):
-        raise ValueError("a piece of B spans the end of a word")
+    if any("▁" in p.lstrip("▁") or set(p) & set("\n\t") for k, p in enumerate(pieces) if not b.is_control(k) and not b.is_byte(k)):
+        raise ValueError("a piece of B spans the end of a word or line")
     b_bytes = [bytes([int(p[3:5], 16)]) if b.is_byte(k) else p.replace("▁", " ").encode() for k, p in enumerate(pieces)]
     return a, a_bytes, b, b_bytes
 
@@ -89,7 +92,11 @@ class Units:
 
     def __init__(self, a_file: str, b_file: str):
         self.a, self.a_bytes, self.b, self.b_bytes = vocabularies(a_file, b_file)
-        self.a_sizes, self.b_sizes = list(map(len, self.a_bytes)), list(map(len, self.b_bytes))
+        self.a_sizes, self.b_sizes = (np.array(list(map(len, x)), np.int64) for x in (self.a_bytes, self.b_bytes))
+        self.space = self.b.piece_to_id("▁")
+        ids = np.arange(max(len(self.a_bytes), len(self.b_bytes))).astype(str).astype(object)
+        #: A and B ids with what follows them: within a group, at the end of its part of A, of it, and of the unit
+        self.shown = np.concatenate([ids + ",", ids + "|", ids + ";", ids])
         self.clear()
 
     def clear(self) -> None:
@@ -99,50 +106,82 @@ class Units:
         self.numbers = np.zeros((1024, 5), np.int64)  # tokens of A, of B, groups, 1 if bytes differ, end of the pairs
         self.pairs = np.zeros(4096, np.int64)
 
-    def _align(self, unit: str, a: list[int], b: list[int]) -> tuple[list[str], list[int], bool]:
-        text = f" {unit}".encode("utf-8", "surrogatepass")
-        if b"".join([self.a_bytes[x] for x in a]) != text or b"".join([self.b_bytes[x] for x in b]) != text:
-            return [], [], True
-        told, pairs = [], []
-        i = j = from_i = from_j = at_a = at_b = 0
-        while i < len(a):
-            at_a += self.a_sizes[a[i]]
-            i += 1
-            while at_b < at_a:
-                at_b += self.b_sizes[b[j]]
-                j += 1
-            if at_a == at_b:
-                told.append(f"{','.join(map(str, a[from_i:i]))}|{','.join(map(str, b[from_j:j]))}")
-                pairs.append(b[j - 1] << _A_BITS | a[i - 1])
-                from_i, from_j = i, j
-        return told, pairs, False
+    def _encode(self, units: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        """Tokens of A and B of units that start a text or with white space; B's own space stands before each."""
+        a = [e.ids for e in self.a.encode_batch(units, add_special_tokens=False)]
+        b = self.b.encode([u[1:] if u[0] == " " else u for u in units], num_threads=1)
+        for k, unit in enumerate(units):
+            if unit[0] != " ":
+                if b[k][:1] != [self.space]:
+                    raise ValueError("B joins its space to what follows a line")
+                b[k] = b[k][1:]
+            elif unit == " ":
+                b[k] = [self.space]
+        return a, b
+
+    def _together(self, units: list[str], raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        """(tokens of A and B by unit, all A ids, all B ids), encoded as one text; None where bytes differ."""
+        (a,), (b,) = self._encode(["".join(units)])
+        want = b"".join(raw)
+        if b"".join([self.a_bytes[t] for t in a]) != want or b"".join([self.b_bytes[t] for t in b]) != want:
+            return None
+        a_ids, b_ids, ends = np.array(a, np.int64), np.array(b, np.int64), np.cumsum(list(map(len, raw)))
+        cut = [np.diff(np.searchsorted(np.cumsum(sizes[ids]), ends, side="right"), prepend=0) for sizes, ids in ((self.a_sizes, a_ids), (self.b_sizes, b_ids))]
+        return np.stack(cut, axis=1), a_ids, b_ids
+
+    def _apart(self, units: list[str], raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As _together, unit by unit; those whose bytes differ have no tokens."""
+        a, b = self._encode(units)
+        same = [b"".join([self.a_bytes[t] for t in x]) == r == b"".join([self.b_bytes[t] for t in y]) for r, x, y in zip(raw, a, b, strict=True)]
+        a, b = ([x if ok else [] for x, ok in zip(of, same, strict=True)] for of in (a, b))
+        numbers = np.array([(len(x), len(y)) for x, y in zip(a, b, strict=True)], np.int64).reshape(-1, 2)
+        return numbers, np.array([t for x in a for t in x], np.int64), np.array([t for y in b for t in y], np.int64)
 
     def add(self, units: list[str]) -> None:
-        a = [e.ids for e in self.a.encode_batch([f" {u}" for u in units], add_special_tokens=False)]
-        b = self.b.encode(units, num_threads=1)
-        at = len(self.told)
+        """Encode new units, those that end with white space by themselves: it would join the next one's."""
+        open_, closed = [u for u in units if u[-1].isspace()], [u for u in units if not u[-1].isspace()]
+        for part, together in ((closed, True), (open_, False)):
+            if part:
+                raw = [u.encode("utf-8", "surrogatepass") for u in part]
+                self._keep(part, *(together and self._together(part, raw) or self._apart(part, raw)))
+
+    def _keep(self, units: list[str], numbers: np.ndarray, a_ids: np.ndarray, b_ids: np.ndarray) -> None:
+        differs = numbers[:, 0] == 0
+        a_ends, b_ends = np.cumsum(self.a_sizes[a_ids]), np.cumsum(self.b_sizes[b_ids])
+        last_a, last_b = np.isin(a_ends, b_ends, assume_unique=True), np.isin(b_ends, a_ends, assume_unique=True)
+        group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
+        # place of each token where groups stand in a row, A before B
+        of_a, of_b = np.bincount(group_a), np.bincount(group_b)
+        at_a = np.arange(len(a_ids)) + (np.cumsum(of_b) - of_b)[group_a]
+        at_b = np.arange(len(b_ids)) + np.cumsum(of_a)[group_b]
+        unit_of_b = np.repeat(np.arange(len(units)), numbers[:, 1])
+        closes = last_b & np.append(unit_of_b[1:] != unit_of_b[:-1], [True] * min(1, len(b_ids)))
+        step = len(self.shown) // 4
+        shown = np.empty(len(a_ids) + len(b_ids), object)
+        shown[at_a] = self.shown[a_ids + step * last_a]
+        shown[at_b] = self.shown[b_ids + step * (2 * last_b + closes)]
+        groups = np.bincount(unit_of_b[last_b], minlength=len(units))
+        pieces, edges = shown.tolist(), np.cumsum(numbers.sum(axis=1)).tolist()
+        at, start = len(self.told), 0
+        for k, (unit, end) in enumerate(zip(units, edges, strict=True), at):
+            told = "".join(pieces[start:end])
+            self.told.append(told)
+            self.ids[unit] = k
+            self.chars += len(told) + len(unit)
+            start = end
+        flat = b_ids[last_b] << _A_BITS | a_ids[last_a]
+        before = int(self.numbers[at - 1, 4]) if at else 0
         while at + len(units) > len(self.numbers):
             self.numbers = np.concatenate([self.numbers, np.zeros_like(self.numbers)])
-        end = int(self.numbers[at - 1, 4]) if at else 0
-        flat: list[int] = []
-        for k, unit in enumerate(units, at):
-            told, pairs, differs = self._align(unit, a[k - at], b[k - at])
-            flat += pairs
-            self.told.append(";".join(told))
-            self.chars += len(self.told[-1]) + len(unit)
-            self.numbers[k] = len(a[k - at]), len(b[k - at]), len(told), differs, end + len(flat)
-            self.ids[unit] = k
-        while end + len(flat) > len(self.pairs):
+        while before + len(flat) > len(self.pairs):
             self.pairs = np.concatenate([self.pairs, np.zeros_like(self.pairs)])
-        self.pairs[end : end + len(flat)] = flat
+        self.pairs[before : before + len(flat)] = flat
+        self.numbers[at : at + len(units)] = np.column_stack([numbers, groups, differs, before + np.cumsum(groups)])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]:
         """Of each text its numbers (tokens of A, of B, links) and groups; all links as pairs, and the text of each."""
-        cut = []
-        for text in texts:
-            words = text.split()
-            cut.append(words if " ".join(words) == text else _CUT.split(text))
-        new = list(dict.fromkeys(u for units in cut for u in units if u not in self.ids))
+        cut = [[] if not text else [f" {text}"] if _OTHER_SPACE.search(text) else _UNIT.findall(f" {text}") for text in texts]
+        new = list({u: None for units in cut for u in units if u not in self.ids})
         if new:
             self.add(new)
         sizes = np.array([len(units) for units in cut], np.int64)
