@@ -83,8 +83,8 @@ def select_ranks(df: DataFrame, wanted: Wanted, keys: list[str], limit: int, acc
     group = [*keys, "_i"]
     inside = _by(group, longer, targets.select(*group, "_lo", "_hi")).where("_v >= _lo AND _v <= _hi")
     inside = _saved(inside.groupBy(*group, "_v").agg(F.count("*").alias("_c")), "inside")
-    while (inside.groupBy(*group).count().agg(F.max("count")).first()[0] or 0) > limit:
-        inside, targets = _cut(inside, targets, group, accuracy)
+    while (inside.groupBy(*group).count().agg(F.max("count")).first()[0] or 0) > max(limit, 2 * CELLS):
+        inside, targets = _cut(inside, targets, group)
     numbered = W.partitionBy(*group).orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
     ranked = inside.withColumn("_last", F.sum("_c").over(numbered) - 1)  # last rank inside the bracket that has the value
     ranked = _by(group, ranked, targets.select(*group, "_n", "_at", "_below")).withColumn("_last", F.col("_last") + F.col("_below"))
@@ -96,9 +96,10 @@ def select_ranks(df: DataFrame, wanted: Wanted, keys: list[str], limit: int, acc
     return value.groupBy(*keys).agg(*[F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(n) for i, n in enumerate(names)])
 
 
-def _cut(inside: DataFrame, targets: DataFrame, group: list[str], accuracy: int) -> tuple[DataFrame, DataFrame]:
-    """Keep of each bracket the cells of its two ranks; cells end at approximate percentiles of the distinct values."""
-    edges = inside.groupBy(*group).agg(F.array_distinct(F.percentile_approx("_v", [k / CELLS for k in range(1, CELLS)], accuracy)).alias("_edges"))
+def _cut(inside: DataFrame, targets: DataFrame, group: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Keep of each bracket the cells of its two ranks; cells end at approximate percentiles of the distinct values, whose
+    error is far below a cell, so every cut drops most of them."""
+    edges = inside.groupBy(*group).agg(F.array_distinct(F.percentile_approx("_v", [k / CELLS for k in range(1, CELLS)], ACCURACY)).alias("_edges"))
     cell = F.size(F.filter("_edges", lambda e: e <= F.col("_v")))
     celled = _saved(_by(group, inside, edges).withColumn("_cell", cell).drop("_edges"), "cells")
     counts = celled.groupBy(*group, "_cell").agg(F.sum("_c").alias("_m"))

@@ -26,6 +26,11 @@ def _offsets(counts: DataFrame, part: str, keys: list[str]) -> DataFrame:
     return told.select(*[f"_o_{k}" for k in keys], F.col("p").alias("_o_part"), F.col("o").alias("_offset"))
 
 
+def offset_of_parts(counts: DataFrame, part: str) -> DataFrame:
+    """Adds _offset, the sum of ``_count`` over the parts before."""
+    return _with_offset(counts, counts, part, [])
+
+
 def _with_offset(rows: DataFrame, counts: DataFrame, part: str, keys: list[str]) -> DataFrame:
     same = [F.col(k).eqNullSafe(F.col(f"_o_{k}")) for k in keys] + [F.col(part).eqNullSafe(F.col("_o_part"))]
     return rows.join(_offsets(counts, part, keys), reduce(lambda a, b: a & b, same), "left").drop("_o_part", *[f"_o_{k}" for k in keys])

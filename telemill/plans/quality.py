@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from telemill.functions import bit_distance, on_days, round_half
+from telemill.functions.canonical import MODULUS, hash_sql
 from telemill.operators import contracts as dq
 from telemill.operators import profile, reconcile
 from telemill.plans.registry import ORDER, Lake, query, r, tel_sql
@@ -160,9 +161,12 @@ def dq_15(k: Lake) -> DataFrame:
 # ---- fingerprints
 
 
-@query("fpr_02_table_fingerprint")
+TEL_KINDS = {"event_id": "plain", "user_id": "plain", "event_type": "plain", "timestamp": "time", "day": "date", "pressure": "number", "oil": "number", "current": "number", "dv": "number", "comp": "number", "lps": "number"}
+
+
+@query("fpr_02_table_fingerprint", tel_sql(f"SELECT count(*) AS rows, CAST(sum(CAST({hash_sql(TEL_KINDS)} AS HUGEINT)) % {MODULUS} AS BIGINT) AS hash_sum FROM tel"))
 def fpr_02(k: Lake) -> DataFrame:
-    return reconcile.fingerprint(k.tel)
+    return reconcile.portable_fingerprint(k.tel.select(*TEL_KINDS))
 
 
 @query("fpr_03_semantic", tel_sql(f"SELECT count(*) AS rows, count(*) FILTER (WHERE dv = 1) AS filtered, {r('sum(pressure)', 2)} AS sum_pressure, {r('sum(oil)', 2)} AS sum_oil, count(DISTINCT day) AS days FROM tel"))
@@ -171,7 +175,13 @@ def fpr_03(k: Lake) -> DataFrame:
     return f.withColumns({c: round_half(c, 2) for c in ("sum_pressure", "sum_oil")})
 
 
-@query("fpr_04_before_after", "SELECT * FROM (VALUES ('silver', TRUE), ('events', FALSE), ('orders', TRUE)) v(\"table\", same)")
+FPR_04_SQL = " UNION ALL ".join(
+    f"SELECT '{name}' AS \"table\", (SELECT count(*) FROM (SELECT * FROM {before} EXCEPT ALL SELECT * FROM {after})) + (SELECT count(*) FROM (SELECT * FROM {after} EXCEPT ALL SELECT * FROM {before})) = 0 AS same"
+    for name, before, after in (("silver", "silver", "silver"), ("events", "events", "(SELECT * FROM events WHERE event_id > 0)"), ("orders", "orders", "(SELECT * FROM orders ORDER BY o_orderkey)"))
+)
+
+
+@query("fpr_04_before_after", tel_sql(f"{SILVER_SQL} {FPR_04_SQL}"))
 def fpr_04(k: Lake) -> DataFrame:
     """Fingerprints before and after: one table rebuilt, one changed, one left."""
 
@@ -193,12 +203,23 @@ def fpr_05(k: Lake) -> DataFrame:
 # ---- reconciliation
 
 
-@query("rec_01_same_rows", "SELECT 0::BIGINT AS only_left, 1::BIGINT AS only_right")
+@query("rec_01_same_rows", "SELECT (SELECT count(*) FROM (SELECT event_id, value FROM events WHERE event_id > 0 EXCEPT ALL SELECT event_id, value FROM events)) AS only_left, (SELECT count(*) FROM (SELECT event_id, value FROM events EXCEPT ALL SELECT event_id, value FROM events WHERE event_id > 0)) AS only_right")
 def rec_01(k: Lake) -> DataFrame:
     e = k.table("events").select("event_id", "value")
     return reconcile.same_rows(e.where("event_id > 0"), e.repartition(3))
 
 
+REC_07_SQL = "a AS (SELECT user_id, event_type, dv FROM tel), b AS (SELECT user_id, CASE WHEN event_id % 97 = 5 THEN NULL ELSE event_type END AS event_type, dv FROM tel WHERE event_id % 50 <> 7), l AS (SELECT user_id, event_type, dv, count(*) AS n FROM a GROUP BY ALL), m AS (SELECT user_id, event_type, dv, count(*) AS n FROM b GROUP BY ALL)"
+
+
+@query("rec_07_differing_rows", tel_sql(f"{REC_07_SQL}, j AS (SELECT coalesce(l.user_id, m.user_id) AS user_id, coalesce(l.event_type, m.event_type) AS event_type, coalesce(l.dv, m.dv) AS dv, coalesce(l.n, 0) - coalesce(m.n, 0) AS more FROM l FULL JOIN m ON l.user_id = m.user_id AND l.event_type IS NOT DISTINCT FROM m.event_type AND l.dv = m.dv) SELECT user_id, event_type, dv, greatest(more, 0) AS only_left, greatest(-more, 0) AS only_right FROM j WHERE more <> 0"))
+def rec_07(k: Lake) -> DataFrame:
+    """Two tables with repeated rows and nulls: only buckets of keys whose fingerprints differ are compared row by row."""
+    a = k.tel.select("user_id", "event_type", "dv")
+    b = k.tel.where("event_id % 50 <> 7").select("user_id", F.when(col("event_id") % 97 != 5, col("event_type")).alias("event_type"), "dv")
+    return reconcile.differing_rows(a, b, ["user_id"], buckets=64)
+
+
 DRAWN = ("2024-01-05", "2024-01-20")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from telemill.functions import boundary_diff, bucket, epoch_seconds, frame_median, month_of, on_days, round_half, share, trunc_ts, upper_median
+from telemill.functions.canonical import hash_sql, row_hash
 from telemill.operators.intervals import interval_join
 from telemill.operators.quantiles import quantiles
 from telemill.operators.ranks import global_rank, same_order, trailing
@@ -613,16 +614,26 @@ def fn_08(k: Lake) -> DataFrame:
     return b.select(F.explode(F.sequence("a", "z", F.expr("interval 6 hours"))).alias("at"))
 
 
-@query("fn_14_typeof")
+#: Names of types: what SQL calls them, and what they are called here; a sum of decimals keeps one digit less.
+TYPE_NAMES = {"TIMESTAMP": "timestamp_ntz", "DOUBLE": "double", "DECIMAL(3,1)": "decimal(2,1)", "BIGINT": "bigint", "VARCHAR": "string", "DATE": "date", "BOOLEAN": "boolean"}
+_TYPE_SQL = "(VALUES " + ", ".join(str(x) for x in TYPE_NAMES.items()) + ") names(theirs, ours)"
+
+
+@query("fn_14_typeof", tel_sql(f"t AS (SELECT DISTINCT unnest(['timestamp', 'dv', 'day', 'event_id', 'event_type', 'decimal_sum', 'double_sum']) AS what, unnest([typeof(timestamp), typeof(dv), typeof(day), typeof(event_id), typeof(event_type), typeof(0.1 + 0.2), typeof(0.1::DOUBLE + 0.2::DOUBLE)]) AS theirs FROM tel) SELECT what, ours AS type FROM t JOIN {_TYPE_SQL} USING (theirs)"))
 def fn_14(k: Lake) -> DataFrame:
-    """Type names differ between engines; the tests hold them."""
-    return k.tel.select(F.typeof("timestamp").alias("at"), F.typeof("dv").alias("dv"), F.typeof(F.expr("0.1 + 0.2")).alias("decimal_sum"), F.typeof(lit(0.1) + lit(0.2)).alias("double_sum")).distinct()
+    """Type names differ between engines; the SQL looks them up."""
+    of = {"timestamp": col("timestamp"), "dv": col("dv"), "day": col("day"), "event_id": col("event_id"), "event_type": col("event_type"), "decimal_sum": F.expr("0.1 + 0.2"), "double_sum": lit(0.1) + lit(0.2)}
+    told = F.array(*[F.struct(lit(n).alias("what"), F.typeof(c).alias("type")) for n, c in of.items()])
+    return k.tel.select(F.inline(told)).distinct()
+
+
+FN_15_KINDS = {"event_id": "plain", "event_type": "plain", "timestamp": "time", "day": "date", "pressure": "number", "dv": "number"}
 
 
-@query("fn_15_row_hash")
+@query("fn_15_row_hash", tel_sql(f"SELECT event_id, {hash_sql(FN_15_KINDS)} AS row_hash FROM tel"))
 def fn_15(k: Lake) -> DataFrame:
-    """The engines' hash functions differ; equal rows have equal hashes."""
-    return k.tel.select("event_id", F.xxhash64(*k.tel.columns).alias("row_hash"))
+    """A hash of each row by the text of its values, the same in any engine."""
+    return k.tel.select("event_id", row_hash(k.tel, list(FN_15_KINDS)).alias("row_hash"))
 
 
 @query("fn_19_column_list", "SELECT column_name, (SELECT count(*) FROM events) AS rows FROM (DESCRIBE SELECT * FROM events)")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -174,10 +176,16 @@ def snk_03(k: Lake) -> DataFrame:
     return t.agg(F.count("*").alias("n"), round_half(F.sum("pressure"), 2).alias("pressure"), F.min("timestamp").alias("first_ts"))
 
 
-@query("snk_04_jdbc", tel_sql("SELECT count(DISTINCT day) AS sent, count(DISTINCT day) AS arrived, TRUE AS same FROM tel"))
+DERBY = "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+
+
+@query("snk_04_jdbc", tel_sql(f"SELECT CAST(event_id % 8 AS INTEGER) AS load_part, count(*) AS sent, count(*) AS arrived, {r('sum(pressure)')} AS total FROM tel GROUP BY 1"))
 def snk_04(k: Lake) -> DataFrame:
-    """Bulk load into the database that comes with Spark; any JDBC URL works alike."""
-    return sinks.load_jdbc(per_day(k.tel), "jdbc:derby:memory:lake;create=true", "days", "org.apache.derby.iapi.jdbc.AutoloadedDriver")
+    """Bulk load of the record into the database that comes with Spark, any JDBC URL works alike: sent from the lake, arrived and total from the database."""
+    name = scratch(k.spark, "readings").rsplit("-", 1)[1][:12]
+    rows = k.tel.select("event_id", F.date_format("timestamp", TEXT_TS).alias("at"), "pressure", "dv")
+    out = sinks.load_with_ledger(rows, f"jdbc:derby:memory:lake{name};create=true", f"readings_{name}", DERBY, col("event_id") % 8, 8, "pressure")
+    return out.select("load_part", "sent", col("arrived").cast("bigint").alias("arrived"), round_half(col("total"), 3).alias("total"))
 
 
 @query("snk_05_metrics", tel_sql(f"SELECT count(*) AS readings, {r('avg(dv)', 6)} AS duty FROM tel"))
@@ -187,9 +195,12 @@ def snk_05(k: Lake) -> DataFrame:
     return k.spark.read.json(path, schema="readings long, duty double")
 
 
-@query("snk_06_versions", tel_sql("SELECT * FROM (VALUES (0::BIGINT), (1::BIGINT)) v(version) WHERE (SELECT count(*) FROM tel) > 0"))
+@query("snk_06_versions", tel_sql("SELECT 0::BIGINT AS version, count(DISTINCT day) FILTER (WHERE event_type <> 'error') AS rows FROM tel UNION ALL SELECT 1::BIGINT, count(DISTINCT day) FROM tel"))
 def snk_06(k: Lake) -> DataFrame:
-    return sinks.versions(k.spark, _versions(k)).select("version")
+    """Every version of the manifest with the rows it still has."""
+    root = _versions(k)
+    told = [sinks.read_version(k.spark, root, v).agg(F.count("*").alias("rows")).select(lit(v).cast("bigint").alias("version"), "rows") for v in range(2)]
+    return sinks.versions(k.spark, root).select("version").join(told[0].union(told[1]), "version", "left")
 
 
 @query("snk_07_samples", tel_sql("SELECT event_id, timestamp, dv FROM tel WHERE day = DATE '2024-01-12'"))
@@ -245,6 +256,20 @@ def snk_10(k: Lake) -> DataFrame:
     return told(a, "one").union(told(b, "other")).crossJoin(F.broadcast(same))
 
 
+AIM = 100
+
+
+@query("snk_12_sized_days", tel_sql(f"SELECT day, count(*) AS n, CAST(greatest(1, round(count(*) / {AIM}.0)) AS BIGINT) AS files, TRUE AS near_aim, sum(event_id)::BIGINT AS ids FROM tel GROUP BY day"))
+def snk_12(k: Lake) -> DataFrame:
+    """Days in files of a hundred rows or so: files as found in the folders, and whether each is within a factor of two of its share."""
+    path = scratch(k.spark, "sized")
+    sinks.write_days_sized(k.tel, path, ["event_id"], AIM, order=["timestamp", "event_id"])
+    held = k.spark.read.parquet(path)
+    files = held.groupBy("day", F.input_file_name().alias("file")).agg(F.count("*").alias("c"), F.sum("event_id").alias("i"))
+    share = F.sum("c") / F.count("*")
+    return files.groupBy("day").agg(F.sum("c").alias("n"), F.count("*").alias("files"), ((F.min("c") * 2 >= share) & (F.max("c") <= 2 * share)).alias("near_aim"), F.sum("i").alias("ids"))
+
+
 @query("snk_11_table", PER_DAY)
 def snk_11(k: Lake) -> DataFrame:
     """A table of the catalog made from a view, its files in the shared folder."""
@@ -290,23 +315,34 @@ def ing_03(k: Lake) -> DataFrame:
 
 def _guarded(k: Lake, change: bool) -> DataFrame:
     source, target, manifest = (scratch(k.spark, n) for n in ("source", "target", "manifest"))
-    k.tel.select("event_id", "pressure").write.csv(source, header=True)
     read = lambda paths: k.spark.read.csv(paths, header=True, schema="event_id long, pressure double")
-    runs = [ingest.guarded_append(k.spark, source, target, manifest, read) > 0]
-    runs.append(ingest.guarded_append(k.spark, source, target, manifest, read) > 0)
+
+    def run(number: int) -> DataFrame:
+        ingest.guarded_append(k.spark, source, target, manifest, read)
+        held = ingest.read_committed(k.spark, target, manifest).agg(F.count("*").alias("rows"), round_half(F.sum("pressure"), 2).alias("pressure"), F.count_distinct("event_id").alias("readings"))
+        return k.spark.createDataFrame([(number, *held.first())], "run int, rows long, pressure double, readings long")
+
+    k.tel.select("event_id", "pressure").write.csv(source, header=True)
+    runs = [run(0), run(1)]
     if change:
         k.tel.select("event_id", (col("pressure") + 1).alias("pressure")).write.mode("overwrite").csv(source, header=True)
-        runs.append(ingest.guarded_append(k.spark, source, target, manifest, read) > 0)
-    return k.spark.read.parquet(target).agg(F.count("*").alias("n")).select("n", *[lit(x).alias(f"run_{i}") for i, x in enumerate(runs)])
+        runs.append(run(2))
+    return reduce(DataFrame.union, runs)
+
+
+RUN_SQL = f"SELECT {{run}} AS run, {{times}} * count(*) AS rows, {r('{total}', 2)} AS pressure, count(DISTINCT event_id) AS readings FROM tel"
+RUNS_SQL = " UNION ALL ".join(RUN_SQL.format(run=n, times=1, total="sum(pressure)") for n in range(2))
 
 
-@query("ing_04_guarded_append", tel_sql("SELECT count(*) AS n, TRUE AS run_0, FALSE AS run_1 FROM tel"))
+@query("ing_04_guarded_append", tel_sql(RUNS_SQL))
 def ing_04(k: Lake) -> DataFrame:
+    """What is held after the first run and after a second one that must add nothing."""
     return _guarded(k, False)
 
 
-@query("ing_05_changed_source", tel_sql("SELECT 2 * count(*) AS n, TRUE AS run_0, FALSE AS run_1, TRUE AS run_2 FROM tel"))
+@query("ing_05_changed_source", tel_sql(f"{RUNS_SQL} UNION ALL {RUN_SQL.format(run=2, times=2, total='2 * sum(pressure) + count(*)')}"))
 def ing_05(k: Lake) -> DataFrame:
+    """As ing_04, and a third run over a source whose files all changed."""
     return _guarded(k, True)
 
 
@@ -332,6 +368,19 @@ def fpr_01(k: Lake) -> DataFrame:
     return ingest.file_hashes(k.spark, path, "*.txt").select(F.to_date(F.regexp_extract("path", "day=([0-9-]+)", 1)).alias("day"), "sha256")
 
 
+LINES_SQL = "l AS (SELECT day, event_id, CAST(event_id AS VARCHAR) AS line FROM tel), o AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY day ORDER BY event_id) AS upto FROM l), b AS (SELECT *, upto - length(line) - 1 AS since, CAST(upto - length(line) - 1 AS BIGINT) // 64 AS block FROM o)"
+
+
+@query("fpr_07_block_hashes", tel_sql(f"{LINES_SQL} SELECT day, CAST(block AS BIGINT) AS block, CAST(min(since) AS BIGINT) AS from_byte, CAST(max(upto) AS BIGINT) AS to_byte, sha256(string_agg(line, chr(10) ORDER BY event_id)) AS sha256 FROM b GROUP BY day, block"))
+def fpr_07(k: Lake) -> DataFrame:
+    """Source files hashed in blocks of 64 bytes, wherever the reader splits them."""
+    path = scratch(k.spark, "lines")
+    lines = k.tel.select("day", "event_id").repartition("day").sortWithinPartitions("day", "event_id")
+    lines.select(col("event_id").cast("string").alias("value"), "day").write.partitionBy("day").text(path)
+    found = ingest.block_hashes(k.spark, path, 64, "*.txt")
+    return found.select(F.to_date(F.regexp_extract("path", "day=([0-9-]+)", 1)).alias("day"), "block", "from_byte", "to_byte", "sha256")
+
+
 @query("fpr_06_missing_paths", tel_sql("SELECT 2::BIGINT AS gone FROM tel LIMIT 1"))
 def fpr_06(k: Lake) -> DataFrame:
     path = _days(k)

@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from telemill.operators.ranks import offset_of_parts
+from telemill.sources.scratch import scratch
+
 
 def write_days(df: DataFrame, path: str, day: str = "day", mode: str = "overwrite", order: list[str] | None = None) -> None:
     """Parquet folders by day, ZSTD; a day's rows meet in one task and, with ``order``, in one order.
 
-    A day that outgrows a task is for ``files_per_day`` of ``write_days_salted``.
+    A day that outgrows a task is for ``write_days_sized``, or ``files_per_day`` of ``write_days_salted``.
     """
     out = df.repartition(day)
     out = out.sortWithinPartitions(day, *order) if order else out
@@ -22,6 +25,31 @@ def write_days_salted(df: DataFrame, path: str, files_per_day: int, by: list[str
     out.write.mode(mode).partitionBy(day).option("compression", "zstd").parquet(path)
 
 
+#: Rows of a file of ``write_days_sized``.
+ROWS_PER_FILE = 4_000_000
+
+
+def write_days_sized(df: DataFrame, path: str, by: list[str], rows_per_file: int = ROWS_PER_FILE, day: str = "day", mode: str = "overwrite", order: list[str] | None = None) -> DataFrame:
+    """As write_days, each day in as many files as its rows ask for; (day, rows, files) as counted before the write.
+
+    A day's rows are counted, and dealt by a hash of ``by`` into its number of pieces, one piece a task and file.  Counts
+    and hash depend on the rows alone, so the same rows give the same cut in any run.
+    """
+    counts = df.groupBy(day).agg(F.count("*").alias("_count"))
+    pieces = F.greatest(F.lit(1), F.round(F.col("_count") / rows_per_file)).cast("long")
+    counts = counts.select(F.col(day).alias("_day"), F.col("_count").alias("_rows"), pieces.alias("_count"))
+    plan_path = scratch(df.sparkSession, "day-pieces")
+    offset_of_parts(counts, "_day").write.parquet(plan_path)
+    plan = df.sparkSession.read.parquet(plan_path)
+    total = plan.agg(F.sum("_count")).first()[0] or 1
+    salt = F.pmod(F.xxhash64(*by), F.col("_count"))
+    out = df.join(F.broadcast(plan), F.col(day).eqNullSafe(F.col("_day")), "left")  # one row a day of the calendar
+    out = out.repartitionById(int(total), (F.col("_offset") + salt).cast("int")).select(*df.columns)
+    out = out.sortWithinPartitions(day, *order) if order else out
+    out.write.mode(mode).partitionBy(day).option("compression", "zstd").parquet(path)
+    return plan.select(F.col("_day").alias(day), F.col("_rows").alias("rows"), F.col("_count").alias("files"))
+
+
 def write_single(df: DataFrame, path: str, drop: list[str] | None = None) -> None:
     """One file, for small reference tables."""
     df.drop(*(drop or [])).coalesce(1).write.mode("overwrite").option("compression", "zstd").parquet(path)
@@ -68,6 +96,60 @@ def load_jdbc(df: DataFrame, url: str, table: str, driver: str, properties: dict
     return df.agg(F.count("*").alias("sent")).crossJoin(back.agg(F.count("*").alias("arrived"))).withColumn("same", F.col("sent") == F.col("arrived"))
 
 
+def _statement(spark: SparkSession, url: str, *texts: str) -> None:
+    """Run statements of the database, each on its own."""
+    connection = spark._jvm.java.sql.DriverManager.getConnection(url)
+    try:
+        for text in texts:
+            run = connection.createStatement()
+            run.executeUpdate(text)
+            run.close()
+    finally:
+        connection.close()
+
+
+def _loaded(spark: SparkSession, url: str, table: str, props: dict, values: str) -> DataFrame | None:
+    """(part, arrived, ...) as the database counts them; None where it has no such table."""
+    connection = spark._jvm.java.sql.DriverManager.getConnection(url)
+    there = connection.getMetaData().getTables(None, None, table.upper(), None).next()
+    connection.close()
+    if not there:
+        return None
+    return spark.read.jdbc(url, f"(SELECT \"load_part\", count(*) AS \"arrived\"{values} FROM {table} GROUP BY \"load_part\") counted", properties=props)
+
+
+def load_with_ledger(df: DataFrame, url: str, table: str, driver: str, part: Column, parts: int, total: str | None = None, tries: int = 3, properties: dict | None = None) -> DataFrame:
+    """Bulk load of a whole record into an external database that survives failures; (load_part, sent, arrived[, total]).
+
+    ``part`` deals the rows into ``parts`` parts, 0 on, which are written in parallel into a staging table.  The ledger of
+    a part is what the database itself counts for it: a part whose count is not the source's is deleted and sent again, in
+    this run or in the next, so nothing stands there twice.  When all counts are equal the staging table takes the
+    table's name.  ``total`` names a column whose sum by part the database tells too.
+    """
+    spark, props = df.sparkSession, {"driver": driver, **(properties or {})}
+    spark._jvm.java.lang.Class.forName(driver)
+    staging = f"{table}_staging"
+    rows = df.withColumn("load_part", part.cast("int"))
+    path = scratch(spark, "sent")
+    rows.groupBy("load_part").agg(F.count("*").alias("sent")).write.parquet(path)
+    sent = spark.read.parquet(path)
+    for _ in range(tries):
+        there = _loaded(spark, url, staging, props, "")
+        want = sent if there is None else sent.join(there, "load_part", "left")
+        missing = [r.load_part for r in (want if there is None else want.where("arrived IS NULL OR arrived <> sent")).select("load_part").collect()]  # at most parts
+        if there is not None and not missing:
+            break
+        if there is not None:
+            _statement(spark, url, f"DELETE FROM {staging} WHERE \"load_part\" IN ({', '.join(map(str, missing))})")
+        rows.where(F.col("load_part").isin(missing)).repartition(min(parts, max(1, len(missing))), "load_part").write.mode("append").jdbc(url, staging, properties=props)
+    else:
+        raise OSError(f"{table}: parts {missing} did not arrive whole")
+    if _loaded(spark, url, table, props, "") is not None:
+        _statement(spark, url, f"DROP TABLE {table}")
+    _statement(spark, url, f"RENAME TABLE {staging} TO {table}")
+    return sent.join(_loaded(spark, url, table, props, f", sum(\"{total}\") AS \"total\"" if total else ""), "load_part", "full")
+
+
 # ---- versions: a folder per version, and a manifest row for each
 
 
