@@ -46,7 +46,7 @@ A_FILE, B_FILE = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe
 #: Parts by the low bits of the B id, characters of text of a spill, runs that a heap merges at a time.
 PARTS, SPILL, FAN_IN = 16, 1 << 21, 64
 #: Units that a worker keeps, and characters of their groups.
-KEPT_UNITS, KEPT_CHARS = 250_000, 1 << 25
+KEPT_UNITS, KEPT_CHARS = 200_000, 1 << 25
 _A_BITS, _DOC_BITS = 17, 26
 #: A unit is space with what follows it; texts with other white space are one unit.
 _UNIT = re.compile("[ \\n\\t]*[^ \\n\\t]+|[ \\n\\t]+")
@@ -269,7 +269,7 @@ def _spiller(a_file: str, b_file: str, spill: int):
         size = 0
         for batch in batches:
             at = 0
-            for part in chunks(batch["_text"].tolist()):
+            for part in chunks(batch["_text"].tolist(), 1 << 18):
                 n, groups, pairs, docs = units.encode(part)
                 numbers.append(n)
                 told += groups
