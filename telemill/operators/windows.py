@@ -80,20 +80,41 @@ def segment_steps(rows: DataFrame, cols: dict[str, str], order: list[str], chunk
 
 
 def segments(df: DataFrame, state: str, value: str, max_gap: int, order: list[str], chunk: str = "day", keys: list[str] | None = None, minutes_per_reading: float = 1 / 6) -> DataFrame:
-    """Maximal runs of equal state: readings, counted minutes (n - 1 steps), wall minutes, broken, first and last value."""
+    """Maximal runs of equal state: readings, counted minutes (n - 1 steps), wall minutes, broken, first and last value.
+
+    The record is sorted and shuffled once, by chunk, and summed up to the runs within a chunk; of these only the first
+    and the last of each chunk, one row a chunk, tell which runs go on over its edge.
+    """
     keys = keys or []
     ts = order[0]
-    rows = segment_rows(df, state, order, chunk, keys)
-    inner = F.col("previous_state").eqNullSafe(F.col(state)) & (boundary_diff("second", "previous_ts", ts) > max_gap)
-    n = F.count("*")
-    out = rows.groupBy(*keys, "segment").agg(
-        F.max(state).alias("state"),
-        n.alias("readings"),
-        F.min(ts).alias("from_ts"),
-        F.max(ts).alias("to_ts"),
-        F.max(F.coalesce(inner, F.lit(False))).alias("broken"),
-        F.min_by(value, F.struct(*order)).alias("first_value"),
-        F.max_by(value, F.struct(*order)).alias("last_value"),
+    inside = W.partitionBy(*keys, chunk).orderBy(*order)
+    was, first = F.lag(state).over(inside), F.row_number().over(inside) == 1
+    rows = df.select(*dict.fromkeys([*keys, chunk, state, value, *order]), (~first & was.eqNullSafe(F.col(state))).alias("_goes_on"), F.lag(ts).over(inside).alias("_before"))
+    rows = rows.withColumn("_part", F.sum(F.when(F.col("_goes_on"), 0).otherwise(1)).over(inside.rowsBetween(W.unboundedPreceding, 0)))
+    far = lambda start, end: F.coalesce(boundary_diff("second", start, end) > max_gap, F.lit(False))
+    at = F.struct(*order)
+    parts = rows.groupBy(*keys, chunk, "_part").agg(
+        F.max(state).alias("_state"), F.count("*").alias("_n"), F.min(ts).alias("_from"), F.max(ts).alias("_to"), F.max(F.col("_goes_on") & far("_before", ts)).alias("_broken"),
+        F.min_by(value, at).alias("_first"), F.max_by(value, at).alias("_last"), F.min(at).alias("_begins"), F.max(at).alias("_ends"),
+    )
+    by_chunk = _edges(parts, keys, chunk, [
+        F.max("_part").alias("_e_parts"), F.min_by("_state", "_part").alias("_e_first"), F.max_by("_state", "_part").alias("_e_last"), F.min("_from").alias("_e_from"), F.max("_to").alias("_e_to"),
+    ])
+    before = W.partitionBy(*["_e_" + k for k in keys]).orderBy("_e_" + chunk)  # one row a chunk
+    some = F.lag(F.lit(True)).over(before)
+    joined = F.coalesce(some, F.lit(False)) & F.lag("_e_last").over(before).eqNullSafe(F.col("_e_first"))
+    by_chunk = by_chunk.withColumn("_joined", joined).withColumn("_torn", F.col("_joined") & far(F.lag("_e_to").over(before), F.col("_e_from")))
+    new = F.sum(F.col("_e_parts") - F.col("_joined").cast("int")).over(before.rowsBetween(W.unboundedPreceding, -1))
+    by_chunk = by_chunk.withColumn("_shift", F.coalesce(new, F.lit(0)) - F.col("_joined").cast("int")).drop("_e_parts", "_e_first", "_e_last", "_e_from", "_e_to", "_joined")
+    whole = parts.join(by_chunk, _same(parts, [*keys, chunk], "_e_"), "left").withColumn("segment", F.col("_shift") + F.col("_part"))
+    out = whole.groupBy(*keys, "segment").agg(
+        F.max("_state").alias("state"),
+        F.sum("_n").alias("readings"),
+        F.min("_from").alias("from_ts"),
+        F.max("_to").alias("to_ts"),
+        F.max(F.col("_broken") | (F.col("_torn") & (F.col("_part") == 1))).alias("broken"),
+        F.min_by("_first", "_begins").alias("first_value"),
+        F.max_by("_last", "_ends").alias("last_value"),
     )
     wall = boundary_diff("second", "from_ts", "to_ts") / F.lit(60.0)
     return out.withColumn("counted_minutes", (F.col("readings") - 1) * F.lit(float(minutes_per_reading))).withColumn("wall_minutes", wall)
