@@ -93,7 +93,27 @@ CHANGES = {
 }
 
 
-@query("dq_09_breakage", "SELECT * FROM (VALUES ('renamed', 'old', 1::BIGINT), ('renamed', 'new', 4::BIGINT), ('unit', 'old', 0::BIGINT), ('unit', 'new', 1::BIGINT), ('extra column', 'old', 0::BIGINT), ('extra column', 'new', 1::BIGINT), ('twice', 'old', 1::BIGINT), ('twice', 'new', 1::BIGINT), ('negative', 'old', 1::BIGINT), ('negative', 'new', 1::BIGINT)) v(change, contract, noticed)")
+def _broken_sql(change: str, rows: str, columns: tuple[int, int], oil: str | None = "oil") -> str:
+    """Promises that a change breaks, counted on its rows; ``columns``: those on names, and those that cannot run without one, of the old contract and the new."""
+    old = ["(SELECT count(*) > count(DISTINCT timestamp) FROM x)", "(SELECT count(*) > 0 FROM x WHERE readings < 0)"]
+    new = [*old, "(SELECT count(*) > 0 FROM x WHERE dv NOT IN (0, 1))", "(SELECT count(*) > 0 FROM x WHERE day <> CAST(timestamp AS DATE))"]
+    if oil:
+        new += [f"(SELECT avg({oil}) NOT BETWEEN 1 AND 50 FROM x)", f"(SELECT count(*) > 0 FROM x WHERE NOT measured AND {oil} IS NOT NULL)"]
+    total = lambda n, promises: " + ".join([f"{n}::BIGINT", *[f"CAST(coalesce({q}, TRUE) AS BIGINT)" for q in promises]])
+    head = f"WITH x AS ({rows}) SELECT '{change}' AS change"
+    return f"SELECT * FROM ({head}, 'old' AS contract, {total(columns[0], old)} AS noticed) UNION ALL SELECT * FROM ({head}, 'new', {total(columns[1], new)})"
+
+
+BREAKAGE_SQL = " UNION ALL ".join([
+    _broken_sql("renamed", "SELECT * FROM silver", (1, 4), None),
+    _broken_sql("unit", "SELECT * REPLACE (oil * 1000 AS oil) FROM silver", (0, 0)),
+    _broken_sql("extra column", "SELECT *, 'x' AS note FROM silver", (0, 1)),
+    _broken_sql("twice", "SELECT * FROM silver UNION ALL SELECT * FROM silver", (0, 0)),
+    _broken_sql("negative", "SELECT * REPLACE (CASE WHEN measured THEN -readings ELSE readings END AS readings) FROM silver", (0, 0)),
+])
+
+
+@query("dq_09_breakage", tel_sql(f"{SILVER_SQL} {BREAKAGE_SQL}"))
 def dq_09(k: Lake) -> DataFrame:
     return dq.breakage(silver(k), CHANGES, {"old": old_contract(), "new": new_contract()})
 
