@@ -124,26 +124,27 @@ def load_with_ledger(df: DataFrame, url: str, table: str, driver: str, part: Col
     ``part`` deals the rows into ``parts`` parts, 0 on, which are written in parallel into a staging table.  The ledger of
     a part is what the database itself counts for it: a part whose count is not the source's is deleted and sent again, in
     this run or in the next, so nothing stands there twice.  When all counts are equal the staging table takes the
-    table's name.  ``total`` names a column whose sum by part the database tells too.
+    table's name; a run that dies in between is completed by the next.  A staging table is taken up for the same source
+    only: drop it where the source has changed since.  ``total`` names a column whose sum by part the database tells too.
     """
     spark, props = df.sparkSession, {"driver": driver, **(properties or {})}
     spark._jvm.java.lang.Class.forName(driver)
     staging = f"{table}_staging"
-    rows = df.withColumn("load_part", part.cast("int"))
+    rows = df.withColumn("load_part", F.coalesce(part.cast("int"), F.lit(0)))
     path = scratch(spark, "sent")
     rows.groupBy("load_part").agg(F.count("*").alias("sent")).write.parquet(path)
     sent = spark.read.parquet(path)
-    for _ in range(tries):
+    for attempt in range(tries + 1):
         there = _loaded(spark, url, staging, props, "")
         want = sent if there is None else sent.join(there, "load_part", "left")
         missing = [r.load_part for r in (want if there is None else want.where("arrived IS NULL OR arrived <> sent")).select("load_part").collect()]  # at most parts
         if there is not None and not missing:
             break
+        if attempt == tries:
+            raise OSError(f"{table}: parts {missing} did not arrive whole")
         if there is not None:
             _statement(spark, url, f"DELETE FROM {staging} WHERE \"load_part\" IN ({', '.join(map(str, missing))})")
         rows.where(F.col("load_part").isin(missing)).repartition(min(parts, max(1, len(missing))), "load_part").write.mode("append").jdbc(url, staging, properties=props)
-    else:
-        raise OSError(f"{table}: parts {missing} did not arrive whole")
     if _loaded(spark, url, table, props, "") is not None:
         _statement(spark, url, f"DROP TABLE {table}")
     _statement(spark, url, f"RENAME TABLE {staging} TO {table}")
