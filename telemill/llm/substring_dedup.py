@@ -18,8 +18,9 @@ have equal anchors, so the index that holds all strings of an anchor answers exa
 
 Exact copies of a whole text are settled beforehand: all but the first lose every byte where there are REACH.
 
-Defined cases: a null text is empty; null ids are smaller than others; rows of equal id are ordered by a hash of
-their text, and of equal id and text one row counts as the first; other columns are never read.
+Defined cases: ids are whole numbers, others raise a TypeError at once; a null text is empty; null ids are smaller
+than others; rows of equal id are ordered by a hash of their text, and of equal id and text one row counts as the
+first; other columns are never read.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from telemill.llm.common import join_groups, save, text_of
@@ -209,6 +211,8 @@ def _small(df: DataFrame) -> DataFrame | None:
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_bytes: bool = False) -> DataFrame:
     """One row per document: id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, with ``keep_bytes``, for texts that lost bytes)."""
+    if not isinstance(docs.schema[id_col].dataType, T.IntegralType):
+        raise TypeError(f"{id_col} orders the texts and must be a whole number, not {docs.schema[id_col].dataType.simpleString()}")
     identity = lambda: (F.coalesce(F.col(id_col).cast("long"), F.lit(NONE)).alias("_oid"), F.xxhash64(text_of(text_col)).alias("_h"))
     rows = docs.select(*identity(), text_of(text_col).alias("_text"))
     digests = save(docs.select(F.col(id_col).alias("_id"), *identity(), F.octet_length(text_of(text_col)).cast("long").alias("n_bytes"), F.unhex(F.sha2(text_of(text_col), 256)).alias("_sha"), F.monotonically_increasing_id().alias("_key")), "digests")

@@ -95,6 +95,11 @@ def test_ties_and_nulls(spark):
     assert {bytes(r.kept) for r in substring_dedup.remove_repeats(frame, keep_bytes=True).where("doc_id = 7").collect()} == {b"q"}
 
 
+def test_ids_are_whole_numbers(spark):
+    with pytest.raises(TypeError, match="doc_id"):
+        substring_dedup.remove_repeats(spark.createDataFrame([("a", "text")], "doc_id string, text string"))
+
+
 def test_no_index_grows_with_a_string(spark, monkeypatch):
     """A passage in many different surroundings: none of its strings meets in one index more than HOT times."""
     monkeypatch.setattr(substring_dedup, "HOT", 20)
