@@ -16,7 +16,16 @@ def save(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.saved_at = path
+    return out
+
+
+def discard(saved: DataFrame) -> None:
+    """Delete a table that save returned, once all that is made of it is written itself."""
+    spark = saved.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(saved.saved_at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
