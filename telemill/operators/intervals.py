@@ -3,6 +3,9 @@
 An interval of n units is the disjoint union of at most two aligned blocks of each size 1, 2, 4, ..., 2 log n blocks in
 all, instead of n rows.  A point lies in one block of each size, so it meets an interval in exactly one of its blocks.
 Points are looked up once per distinct unit and only in the sizes that some interval uses.
+
+Blocks and units of the intervals are counted before the joins: up to MAX_BROADCAST of them are broadcast, beyond that
+they are shuffled.  Points, and what they are looked up by, are never broadcast.
 """
 
 from __future__ import annotations
@@ -16,6 +19,8 @@ from telemill.functions import epoch_seconds
 
 #: Sizes up to 2^39 seconds, beyond any time stamp.
 LEVELS = 40
+#: rows of the intervals' side that a join broadcasts
+MAX_BROADCAST = 100_000
 
 
 def unit_of(c: Column, seconds: int) -> Column:
@@ -49,14 +54,17 @@ def interval_join(points: DataFrame, intervals: DataFrame, at: str, began: str,
     """
     keys = keys or []
     covered = cover(intervals, unit_of(F.col(began), seconds), unit_of(F.col(ended), seconds))
-    sizes = covered.agg(F.sort_array(F.collect_set("_level"))).first()[0]
+    units = F.sum(F.call_function("power", F.lit(2.0), F.col("_level")))
+    sizes, n_blocks, n_units = covered.agg(F.sort_array(F.collect_set("_level")), F.count("*"), units).first()
     if not sizes:
         sizes = [0]
+    side = lambda df, n: F.broadcast(df) if n <= MAX_BROADCAST else df.hint("merge")
     slots = points.select(*keys, unit_of(F.col(at), seconds).alias("_unit")).where("_unit IS NOT NULL").distinct()
     looked = F.array(*[F.struct(F.lit(s).alias("_level"), F.call_function("shiftright", F.col("_unit"), F.lit(s)).alias("_block")) for s in sizes])
-    held = slots.select(*keys, "_unit", F.inline(looked)).join(covered, [*keys, "_level", "_block"]).drop("_level", "_block")
+    held = slots.select(*keys, "_unit", F.inline(looked)).join(side(covered, n_blocks), [*keys, "_level", "_block"]).drop("_level", "_block")
     other = held.select(*[F.col(k).alias(f"_i_{k}") for k in keys], F.col("_unit").alias("_i_unit"), *[c for c in intervals.columns if c not in keys])
     on = [F.col(k) == F.col(f"_i_{k}") for k in keys] + [unit_of(F.col(at), seconds) == F.col("_i_unit")]
     if exact:
         on.append((F.col(at) >= F.col(began)) & (F.col(at) <= F.col(ended)))
-    return points.join(other, reduce(lambda a, b: a & b, on), how).drop("_i_unit", *[f"_i_{k}" for k in keys])
+    # an interval has one row there for each of its units at most
+    return points.join(side(other, n_units or 0), reduce(lambda a, b: a & b, on), how).drop("_i_unit", *[f"_i_{k}" for k in keys])

@@ -158,6 +158,20 @@ def test_intervals_by_dyadic_cover(spark, seconds, how):
         assert "NestedLoop" not in out._jdf.queryExecution().executedPlan().toString()
 
 
+def test_points_are_never_broadcast(spark, tmp_path, monkeypatch):
+    """Points in a small file beside intervals whose size the planner does not know: only what was counted is broadcast."""
+    path = str(tmp_path / "points")
+    spark.range(20_000).select("id", F.timestamp_seconds(F.col("id") * 7).cast("timestamp_ntz").alias("t")).write.parquet(path)
+    points, text = spark.read.parquet(path), [("long", "1960-01-01 00:00:00", "2030-01-01 00:00:00"), ("short", "1970-01-01 00:00:10", "1970-01-01 00:02:00")]
+    s = spark.createDataFrame(text, "name string, a string, b string").select("name", F.col("a").cast("timestamp_ntz").alias("began"), F.col("b").cast("timestamp_ntz").alias("ended"))
+    for seconds, most, sides in ((1, 100_000, 1), (86400, 100_000, 2), (86400, 3, 0)):
+        monkeypatch.setattr(intervals, "MAX_BROADCAST", most, raising=False)
+        out = intervals.interval_join(points, s, "t", "began", "ended", seconds)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("BuildLeft") == 0 and plan.count("BroadcastExchange") == plan.count("BuildRight") == sides
+        assert Counter(r.name for r in out.collect()) == {"long": 20_000, "short": 16}
+
+
 def test_cover_is_small_and_disjoint(spark):
     rows = [(a, a + n) for a in range(-9, 9) for n in range(-1, 20)] + [(-(10**9), 10**9)]
     df = spark.createDataFrame(rows, "a long, b long")
