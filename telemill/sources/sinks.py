@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from telemill.operators.ranks import offset_of_parts
 from telemill.sources.scratch import scratch
@@ -25,23 +26,28 @@ def write_days_salted(df: DataFrame, path: str, files_per_day: int, by: list[str
     out.write.mode(mode).partitionBy(day).option("compression", "zstd").parquet(path)
 
 
-#: Rows of a file of ``write_days_sized``.
-ROWS_PER_FILE = 4_000_000
+#: Rows of a file of ``write_days_sized``, and at most so many rows, and files, of one of its tasks where files are smaller.
+ROWS_PER_FILE, FILES_PER_TASK = 4_000_000, 64
 
 
 def write_days_sized(df: DataFrame, path: str, by: list[str], rows_per_file: int = ROWS_PER_FILE, day: str = "day", mode: str = "overwrite", order: list[str] | None = None) -> DataFrame:
     """As write_days, each day in as many files as its rows ask for; (day, rows, files) as counted before the write.
 
-    A day's rows are counted, and dealt by a hash of ``by`` into its number of pieces, one piece a task and file.  Counts
-    and hash depend on the rows alone, so the same rows give the same cut in any run.
+    A day's rows are counted, and dealt by a hash of ``by`` into its number of pieces, one piece a file.  Counts and hash
+    depend on the rows alone, so the same rows give the same cut in any run.  A task writes a piece of each day of a group
+    of days: its rows are those of one file where files are large, and small files ask for no task each.
     """
     counts = df.groupBy(day).agg(F.count("*").alias("_count"))
     pieces = F.greatest(F.lit(1), F.round(F.col("_count") / rows_per_file)).cast("long")
     counts = counts.select(F.col(day).alias("_day"), F.col("_count").alias("_rows"), pieces.alias("_count"))
+    # groups of days with like numbers of pieces; the window holds one row a day of the calendar
+    most = min(FILES_PER_TASK, max(1, ROWS_PER_FILE // rows_per_file))
+    counts = counts.withColumn("_group", F.floor((F.row_number().over(W.orderBy(F.desc("_count"), "_day")) - 1) / most))
+    tasks = offset_of_parts(counts.groupBy("_group").agg(F.max("_count").alias("_count")), "_group").withColumnRenamed("_count", "_tasks")
     plan_path = scratch(df.sparkSession, "day-pieces")
-    offset_of_parts(counts, "_day").write.parquet(plan_path)
+    counts.join(tasks, "_group").drop("_group").write.parquet(plan_path)
     plan = df.sparkSession.read.parquet(plan_path)
-    total = plan.agg(F.sum("_count")).first()[0] or 1
+    total = plan.agg(F.max(F.col("_offset") + F.col("_tasks"))).first()[0] or 1
     salt = F.pmod(F.xxhash64(*by), F.col("_count"))
     out = df.join(F.broadcast(plan), F.col(day).eqNullSafe(F.col("_day")), "left")  # one row a day of the calendar
     out = out.repartitionById(int(total), (F.col("_offset") + salt).cast("int")).select(*df.columns)

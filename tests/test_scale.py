@@ -311,6 +311,24 @@ def test_a_day_of_a_third_of_all_rows(spark):
     sinks.write_days_sized(df.limit(0), scratch(spark, "none"), ["id"])
 
 
+def test_small_files_ask_for_no_task_each(spark, monkeypatch):
+    """A task writes a file of each day of a group of days; large files have a task each, small groups several."""
+    frame, dealt = type(spark.range(0)), []
+    save = frame.repartitionById
+    monkeypatch.setattr(frame, "repartitionById", lambda df, n, by: dealt.append(n) or save(df, n, by))
+    df = spark.range(6000, numPartitions=4).select("id", F.date_add(F.lit("2024-01-01"), F.floor(F.sqrt(F.col("id") / 60)).cast("int")).alias("day"))
+    want = {r.day: (r.n, max(1, int(r.n / 100 + 0.5))) for r in df.groupBy("day").agg(F.count("*").alias("n")).collect()}
+    found = sorted((files for _, files in want.values()), reverse=True)
+    for most, rows in ((64, 4_000_000), (4, 4_000_000), (64, 300), (64, 100)):
+        monkeypatch.setattr(sinks, "FILES_PER_TASK", most, raising=False)
+        monkeypatch.setattr(sinks, "ROWS_PER_FILE", rows)
+        path = scratch(spark, "small")
+        sinks.write_days_sized(df, path, ["id"], 100)
+        held = spark.read.parquet(path).withColumn("file", F.input_file_name()).groupBy("day").agg(F.count("*").alias("n"), F.count_distinct("file").alias("files")).collect()
+        assert {r.day: (r.n, r.files) for r in held} == want
+        assert dealt.pop() == sum(found[:: min(most, rows // 100)])
+
+
 def test_bulk_load_after_a_failure(spark, monkeypatch):
     url, name = "jdbc:derby:memory:retry;create=true", "readings"
     df = spark.range(1000).select("id", (F.col("id") * 0.5).alias("x"))
