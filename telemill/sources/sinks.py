@@ -30,7 +30,7 @@ def write_days_salted(df: DataFrame, path: str, files_per_day: int, by: list[str
 ROWS_PER_FILE, FILES_PER_TASK = 4_000_000, 64
 
 
-def write_days_sized(df: DataFrame, path: str, by: list[str], rows_per_file: int = ROWS_PER_FILE, day: str = "day", mode: str = "overwrite", order: list[str] | None = None) -> DataFrame:
+def write_days_sized(df: DataFrame, path: str, by: list[str], rows_per_file: int = ROWS_PER_FILE, day: str = "day", mode: str = "overwrite", order: list[str] | None = None, rows_per_task: int | None = None) -> DataFrame:
     """As write_days, each day in as many files as its rows ask for; (day, rows, files) as counted before the write.
 
     A day's rows are counted, and dealt by a hash of ``by`` into its number of pieces, one piece a file.  Counts and hash
@@ -41,7 +41,7 @@ def write_days_sized(df: DataFrame, path: str, by: list[str], rows_per_file: int
     pieces = F.greatest(F.lit(1), F.round(F.col("_count") / rows_per_file)).cast("long")
     counts = counts.select(F.col(day).alias("_day"), F.col("_count").alias("_rows"), pieces.alias("_count"))
     # groups of days with like numbers of pieces; the window holds one row a day of the calendar
-    most = min(FILES_PER_TASK, max(1, ROWS_PER_FILE // rows_per_file))
+    most = min(FILES_PER_TASK, max(1, (rows_per_task or ROWS_PER_FILE) // rows_per_file))
     counts = counts.withColumn("_group", F.floor((F.row_number().over(W.orderBy(F.desc("_count"), "_day")) - 1) / most))
     tasks = offset_of_parts(counts.groupBy("_group").agg(F.max("_count").alias("_count")), "_group").withColumnRenamed("_count", "_tasks")
     plan_path = scratch(df.sparkSession, "day-pieces")
@@ -76,14 +76,18 @@ def write_sample(df: DataFrame, path: str, columns: list[str], where: Column | N
     out.select(*columns).orderBy(*(order or columns[:1])).write.mode("overwrite").option("compression", "zstd").parquet(path)
 
 
+#: Rows of a file of a layout: a task sorts them.
+LAYOUT_ROWS = 1_000_000
+
+
 def write_layouts(df: DataFrame, root: str, ts: str = "timestamp") -> dict[str, str]:
-    """The same rows as one folder, by month, by week and by day."""
+    """The same rows as one folder, by month, by week and by day; none of them in one task, a part in as many files as it asks for."""
     paths = {"single": f"{root}/single"}
-    df.coalesce(1).write.mode("overwrite").parquet(paths["single"])
+    df.write.mode("overwrite").parquet(paths["single"])
     for name in ("month", "week", "day"):
         paths[name] = f"{root}/{name}"
         part = F.date_trunc(name, F.col(ts)).cast("date")
-        df.withColumn("part", part).repartition("part").write.mode("overwrite").partitionBy("part").parquet(paths[name])
+        write_days_sized(df.withColumn("part", part), paths[name], df.columns, LAYOUT_ROWS, day="part", rows_per_task=LAYOUT_ROWS)
     return paths
 
 

@@ -329,6 +329,17 @@ def test_small_files_ask_for_no_task_each(spark, monkeypatch):
         assert dealt.pop() == sum(found[:: min(most, rows // 100)])
 
 
+def test_layouts_pass_through_no_single_task(spark, monkeypatch):
+    """A month of rows in several files in each layout that it fills, and the same rows in all."""
+    monkeypatch.setattr(sinks, "LAYOUT_ROWS", 500, raising=False)
+    df = spark.range(6000, numPartitions=4).select("id", F.timestamp_seconds(1_706_745_600 + F.col("id") * 400).cast("timestamp_ntz").alias("timestamp"))
+    for name, path in sinks.write_layouts(df, scratch(spark, "layouts")).items():
+        held = spark.read.parquet(path).withColumn("file", F.input_file_name())
+        files = [r.n for r in held.groupBy("file").agg(F.count("*").alias("n")).collect()]
+        assert sum(files) == 6000 and held.select("id").distinct().count() == 6000
+        assert len(files) >= 4 and max(files) <= 1500, name
+
+
 def test_bulk_load_after_a_failure(spark, monkeypatch):
     url, name = "jdbc:derby:memory:retry;create=true", "readings"
     df = spark.range(1000).select("id", (F.col("id") * 0.5).alias("x"))
